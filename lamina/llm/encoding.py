@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -129,28 +130,47 @@ def _believable(decoded: str) -> bool:
     return True
 
 
-def _spans(text: str, page: str) -> list[tuple[int, int, str]]:
+_RUN = re.compile("[^\x00-\x7f]{2,}")
+
+
+def _runs_of(text: str) -> tuple[str, list[int], list[int]]:
+    """The runs of two or more characters outside ASCII, which hold every multibyte span, joined by spaces,
+    with each run's place in the joined string and in the text."""
+    joined, here, there, at = [], [], [], 0
+    for m in _RUN.finditer(text):
+        joined.append(m.group())
+        here.append(at)
+        there.append(m.start())
+        at += len(m.group()) + 1
+    return " ".join(joined), here, there
+
+
+def _spans(text: str, page: str, runs: tuple[str, list[int], list[int]] | None = None) -> list[tuple[int, int, str]]:
     """Maximal well-formed multibyte spans of the text under one code page, decoded."""
-    shadow = text.translate(_translator(page))
-    if len(shadow) != len(text):
-        return []
+    joined, here, there = runs or _runs_of(text)
     found = []
-    for m in _UTF8.finditer(shadow):
+    for m in _UTF8.finditer(joined.translate(_translator(page))):
         try:
             decoded = m.group().encode("latin-1").decode("utf-8")
         except UnicodeDecodeError:
             continue
-        stored = text[m.start() : m.end()]
+        run = bisect_right(here, m.start()) - 1
+        start = there[run] + m.start() - here[run]
+        stored = joined[m.start() : m.end()]
         if not _believable(decoded) or (len(decoded) == 1 and not _clear(decoded) and decoded not in _stage_characters()):
             continue
-        if len(decoded) == 1 and len(stored) == 2 and stored[1] in _CLOSERS and stored[0].isalpha():
-            before = text[max(0, m.start() - 1) : m.start()]
-            if before.isupper() or stored[1] in "…–—" or text.count("“", 0, m.start()) > text.count("”", 0, m.start()) or text.count("«", 0, m.start()) > text.count("»", 0, m.start()):
-                continue
-        found.append((m.start(), m.end(), decoded))
+        if len(decoded) == 1 and len(stored) == 2 and stored[1] in _CLOSERS and stored[0].isalpha() and _quoted(text, start, stored):
+            continue
+        found.append((start, start + len(stored), decoded))
     return found if any(_clear(d) for _, _, d in found) else []
 
 
+def _quoted(text: str, start: int, stored: str) -> bool:
+    """A letter before a closing quotation mark or dash is writing, not a garbled letter."""
+    before = text[max(0, start - 1) : start]
+    return before.isupper() or stored[1] in "…–—" or any(text.count(a, 0, start) > text.count(b, 0, start) for a, b in ("“”", "«»"))
+
+
 def _outside(text: str, spans: list[tuple[int, int, str]]) -> str:
     edges = [0, *(x for a, b, _ in spans for x in (a, b)), len(text)]
     return "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -177,8 +197,11 @@ def undo_utf8(text: str, rounds: int = 4) -> tuple[str, int]:
             break
         odd = {c for c in text if ord(c) > 0x7F and (c not in LETTERS or c in "ÂÃ")}
         best, score = [], 0.0
+        runs = _runs_of(text)
+        if not runs[0]:
+            break
         for page in sorted(CODE_PAGES, key=lambda p: -len(odd & _page_set(p))):
-            spans = _spans(text, page)
+            spans = _spans(text, page, runs)
             if spans and (w := _weight(spans)) > score:
                 best, score = spans, w
                 if not _gate().search(_outside(text, spans)):
