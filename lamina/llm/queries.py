@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import confusables, encoding, mixing, packing, split, tokens
+from lamina.llm import confusables, encoding, mixing, packing, residue, split, tokens
 from lamina.sources import table
 
 
@@ -75,6 +75,21 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p8_selection(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold residue, and by what they were found."""
+    return residue.judge_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p9_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Mined templates that are no prose, with their number of lines."""
+    lines = residue.lines_of(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return residue.mine_templates(lines).filter("verdict <> 'prose'").select("template", "n_lines", "verdict")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_judged(spark, d).select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -86,6 +101,9 @@ QUERIES = {
     "p7_report": p7_report,
     "p8_selection": p8_selection,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_judged": p9_judged,
+    "p9_templates": p9_templates,
 }
 
 SQL = {
