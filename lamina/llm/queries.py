@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import confusables, encoding, mixing, packing, residue, split, tokens
+from lamina.llm import confusables, encoding, mixing, packing, residue, split, tokens, variants
 from lamina.sources import table
 
 
@@ -21,6 +21,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("n_pieces > 1 AND piece_no = 1").select("chunk_id").distinct()
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    entities = table(spark, d, "entities")
+    columns = [(entities, "original_name"), (entities, "canonical_name"), (table(spark, d, "extracted_entities_raw"), "entity")]
+    parts = [df.filter(F.col("entity_type").isin("CoQuan", "NguoiKy")).select(F.col(c).alias("name"), F.col("entity_type").alias("kind")) for df, c in columns]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p2_names(spark: SparkSession, d: str) -> DataFrame:
+    """Every string with the name it stands for."""
+    return variants.link_variants(_names(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return variants.variant_pairs(p2_names(spark, d))
+
+
 def _keyed(spark: SparkSession, d: str, name: str, key: str, column: str) -> DataFrame:
     return table(spark, d, name).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.col(column).alias("text"))
 
@@ -93,6 +109,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_names": p2_names,
     "p3_found": p3_found,
     "p3_unified": p3_unified,
     "p4_found": p4_found,
