@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import confusables, encoding, mixing, packing, residue, split, tokens, variants
+from lamina.llm import confusables, encoding, mixing, packing, residue, scans, split, tokens, variants
 from lamina.sources import table
 
 
@@ -69,6 +69,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).filter("text_disguised").select("table_name", "row_key").distinct()
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "raw_pages").select("page_id", "source", "page", "ocr_used", "text")
+    return scans.repair_scans(pages, scans.fit(pages))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Noisy pages with their content as continuous paragraphs, and what was mended."""
+    return _repaired(spark, d).filter("noisy").select("page_id", "joins", "words", "furniture", "repaired").distinct()
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _repaired(spark, d).filter("noisy").select("page_id").distinct()
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source", tokens.count_tokens("text").alias("n_tokens"))
 
@@ -115,6 +129,8 @@ QUERIES = {
     "p3_unified": p3_unified,
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p7_containers": p7_containers,
     "p7_report": p7_report,
     "p8_selection": p8_selection,

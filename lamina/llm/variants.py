@@ -227,8 +227,9 @@ def block_keys(tokens: tuple[str, ...]) -> list[str]:
     for turned in turns(tokens):
         plain = [t.rstrip(".") for t in turned]
         for i in range(len(turned) - 1):
-            if not turned[i].endswith(".") and not turned[i + 1].endswith(".") and len(plain[i]) + len(plain[i + 1]) >= 4:
-                keys.add(f"{plain[i]} {plain[i + 1]}")
+            for j in (i + 1, i + 2):  # the second skips a token that is mistyped
+                if j < len(turned) and not turned[i].endswith(".") and not turned[j].endswith(".") and len(plain[i]) + len(plain[j]) >= 4:
+                    keys.add(f"{plain[i]} {plain[j]}" + "~" * (j - i - 1))
         keys.add(f"{plain[-1]}|{plain[0][:1]}")
         keys.add(f"{plain[0]}|{plain[-1][:1]}|")
     return sorted(keys)
