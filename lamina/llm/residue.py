@@ -40,7 +40,9 @@ SLOTS = (
     f"\\[\\s*{_PHRASE}\\s*\\]", f"\\{{\\s*(?:{_PHRASE}|[a-z]{{4,}})\\s*\\}}", f"<\\s*{_PHRASE}\\s*>", f"«\\s*{_PHRASE}\\s*»",
     "\\[\\s*(?:●|•|_+|\\?+|x{2,}|X{2,}|\\.{3,}| ?)\\s*\\]", "\\{\\s*(?:[0-9]{1,2}(?::[A-Z][0-9]?)?)?\\s*\\}", "(?<![\\p{L}\\d])(?:XX/XX/|[xX]{2}/[xX]{2}/|dd/mm/yyyy|DD/MM/YYYY)", "(?<![\\p{L}\\d])20XX(?![\\p{L}\\d])",
 )
-SLOT = "|".join(f"(?:{s})" for s in SLOTS)
+#: The look-ahead keeps the engine from trying every alternative at every letter.
+SLOT = "(?=[{\\[<$%_#:@&«])(?:" + "|".join(s for s in SLOTS if not s.startswith("(?<!")) + ")"
+DATE_SLOT = "|".join(s for s in SLOTS if s.startswith("(?<!"))
 
 # Wording of messages, in lower case with digits masked.
 _MESSAGE = re.compile(
@@ -94,22 +96,30 @@ def classify(line: str) -> str:
 _DOMAIN = re.compile(r"giao dịch viên|nhật ký|hồ sơ được|biên bản|chi nhánh|tổ công nghệ|nhân viên|khách hàng|hướng dẫn khách|the audit|clerk|the branch|bút toán|người dùng thấy|quy định|hợp đồng|khoản vay|tổ trưởng|kiểm soát viên|điều khoản|câu cũ")
 
 
-def _masked(line: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(line, "[\\s\\x{a0}]+", " "))), "\\d+", "#")
+def mask(line: str) -> str:
+    """The line in lower case, spaces run together, digits masked."""
+    return re.sub(r"\d+", "#", re.sub(r"[\s\xa0]+", " ", line).strip().lower())
+
+
+def has_slot(text: str) -> Column:
+    """Whether the text holds an unresolved slot; dates to be filled in are looked for only where XX or a mask of letters stands."""
+    body = F.col(text)
+    dated = (body.contains("XX") | body.contains("xx/") | F.lower(body).contains("dd/mm/")) & body.rlike(DATE_SLOT)
+    return body.rlike(SLOT) | dated
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Non-blank lines of all texts: key, masked line, its leaf in the prefix tree and its length."""
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.explode(F.split(F.col(text), "\\r?\\n")).alias("__raw"))
-    rows = rows.select("__id", _masked(F.col("__raw")).alias("__line")).filter("__line <> ''")
-    tokens = F.split("__line", " ")
-    leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH), F.element_at(tokens, -1))
-    return rows.select("__id", "__line", leaf.alias("__leaf"), F.length("__line").alias("__size"))
+    """Non-blank lines of all texts: key, line, its leaf in the prefix tree and its length."""
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.explode(F.split(F.col(text), "\n")).alias("__line"))
+    rows = rows.withColumn("__line", F.trim("__line")).filter("__line <> ''")
+    tokens = F.split("__line", "[\\s\\x{a0}]+")
+    path = F.regexp_replace(F.lower(F.concat_ws(" ", F.slice(tokens, 1, DEPTH), F.element_at(tokens, -1))), "[0-9]+", "#")
+    return rows.select("__id", "__line", F.xxhash64(F.size(tokens), path).alias("__leaf"), F.length("__line").alias("__size"))
 
 
 @F.pandas_udf(T.StringType())
 def _classify_batch(lines: pd.Series) -> pd.Series:
-    return lines.map(classify)
+    return lines.map(lambda x: classify(mask(x)))
 
 
 def mine_templates(lines: DataFrame) -> DataFrame:
@@ -133,6 +143,6 @@ def judge_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         F.sum(F.when(F.col("verdict").isNull(), F.col("__size")).otherwise(0)).alias("__prose"),
     )
     per = per.withColumn("message_share", F.coalesce(F.try_divide(F.col("__message"), F.col("__message") + F.col("__prose")), F.lit(0.0)))
-    slots = df.filter(F.col(text).rlike(SLOT)).select(F.col(key).alias("__id"), F.lit(True).alias("__slot")).distinct()
+    slots = df.filter(has_slot(text)).select(F.col(key).alias("__id"), F.lit(True).alias("__slot")).distinct()
     out = per.join(slots, "__id", "left").withColumn("has_slot", F.coalesce("__slot", F.lit(False)))
     return out.filter("has_slot OR filler_lines > 0 OR message_share >= 0.5").select(F.col("__id").alias(key), "has_slot", "filler_lines", "message_share")
