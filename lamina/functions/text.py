@@ -150,7 +150,7 @@ def yaml_id(c: str | Column) -> Column:
 
 def wikilinks(c: str | Column) -> Column:
     """Targets of [[target]] and [[target|alias]], in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
 
 
 def structure_path(struct: str, joiner: str = " › ") -> Column:
