@@ -49,7 +49,7 @@ def fold(c: str | Column) -> Column:
 
 def tokens(c: str | Column) -> Column:
     """Words of letters, digits and underscores, folded; an empty array for null."""
-    return F.coalesce(F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.coalesce(fold(c), F.lit("")), r"[^\p{L}\p{N}_]+"), "")
 
 
 def text_problems(c: str | Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamina.functions.text import secure_citation
 from lamina.operators import dense, fusion, graph, lexical, quality, security
 from lamina.operators.references import ENTITY_TARGETS
-from lamina.plans.retrieval import questions
+from lamina.plans.retrieval import corpus, questions
 from lamina.sources import files, table
 
 ALLOWED = ("THAM_CHIEU", "SUA_DOI_BO_SUNG", "THAY_THE_BOI", *ENTITY_TARGETS)
@@ -244,7 +244,7 @@ def law_roles(spark: SparkSession, d: str) -> DataFrame:
 
 def _secure(spark: SparkSession, d: str, user: list[str], k: int) -> DataFrame:
     docs = _tagged(spark, d).filter(security.may_see("roles", user)).select(F.col("doc_id").alias("id"))
-    return lexical.top_k(lexical.bm25_scores(table(spark, d, "documents"), questions(spark), "doc_id", "text").join(docs, "id", "left_semi"), k)
+    return lexical.top_k(lexical.bm25_scores(corpus(spark, d), questions(spark), "doc_id", "text").join(docs, "id", "left_semi"), k)
 
 
 def secure_bm25(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lamina.functions.scores import cosine_distance, vector_problem
 from lamina.functions.text import citation, preview, squeeze
 from lamina.operators import answers, dense, fusion, lexical, metrics
-from lamina.sources import table
+from lamina.sources import spread, table
 
 QUESTIONS = (
     (100, "Điều kiện bảo đảm tiền vay và tài sản bảo đảm là gì?"),
@@ -25,8 +25,12 @@ def questions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUESTIONS, "query_id long, question string")
 
 
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def bm25(spark: SparkSession, d: str, asked: DataFrame, k: int) -> DataFrame:
-    return lexical.top_k(lexical.bm25_scores(table(spark, d, "documents"), asked, "doc_id", "text"), k)
+    return lexical.top_k(lexical.bm25_scores(corpus(spark, d), asked, "doc_id", "text"), k)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +136,7 @@ def ask_simple(spark: SparkSession, d: str) -> DataFrame:
 def variant_hits(spark: SparkSession, d: str) -> DataFrame:
     v = spark.createDataFrame(VARIANTS, "query_id long, variant_id string, question string")
     keyed = v.select(F.concat_ws("#", F.col("query_id").cast("string"), "variant_id").alias("query_id"), "question")
-    hits = lexical.top_k(lexical.bm25_scores(table(spark, d, "documents"), keyed, "doc_id", "text"), 12)
+    hits = lexical.top_k(lexical.bm25_scores(corpus(spark, d), keyed, "doc_id", "text"), 12)
     return hits.select(F.split("query_id", "#")[0].cast("long").alias("query_id"), F.split("query_id", "#")[1].alias("variant_id"), "id", "rank")
 
 

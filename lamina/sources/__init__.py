@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from lamina.sources.tables import table
+from lamina.sources.tables import spread, table
 
-__all__ = ["table"]
+__all__ = ["spread", "table"]
