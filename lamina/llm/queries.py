@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.llm import confusables, encoding, mixing, packing, residue, scans, split, tokens, variants
-from lamina.sources import table
+from lamina.session import cut_lineage
+from lamina.sources import spread, table
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +85,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "source", tokens.count_tokens("text").alias("n_tokens"))
+    """Token counts, made once: what follows reads the three small columns several times."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return cut_lineage(docs.select("doc_id", "source", tokens.count_tokens("text").alias("n_tokens")))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
