@@ -8,7 +8,8 @@ rewritten greedily, longest match first, by a multi-pattern automaton; a match
 inside a genuine word of another script, and typographic or mathematical signs,
 stay as they are.
 
-Defined cases: null stays null, empty stays empty; texts of any length are processed
+Defined cases: null stays null, empty stays empty; columns with the names of the result
+give way, others pass through; texts of any length are processed
 whole; a tie in frequency is won by the member that is plain ASCII, then composed
 Vietnamese, then the smallest string.
 """

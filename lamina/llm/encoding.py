@@ -7,7 +7,8 @@ twice is restored too.  Vietnamese single-byte and base-plus-modifier fonts have
 no multibyte structure; for them runs of tokens are converted by table and kept
 only where the result is well-formed syllables and the stored text is not.
 
-Defined cases: null text gives null text, no mark; empty text is clean; text of
+Defined cases: null text gives null text, no mark; empty text is clean; columns with the
+names of the result give way, others pass through; text of
 any length is processed whole; a U+FFFD, or a question mark inside words, marks
 the row as garbled with nothing to restore.
 """

@@ -9,7 +9,8 @@ capacity the number of windows rises and the block is differenced again.
 Defined cases: an item above the capacity is divided into full containers of its own
 and a rest that is packed like any item; an item of no tokens (null or empty text)
 goes into a block's first container at no cost; equal sizes are ordered by item key,
-so results are repeatable; an empty table gives no rows.
+so results are repeatable; an item without a key is packed like any other; repeated
+rows are items of their own; other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def pack_items(items: DataFrame, profiles: DataFrame, key: str = "doc_id", size:
 def _pack_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     profile, capacity, block = key[0], int(key[1]), int(key[2])
     rows, rest = [], []
-    for k, s in sorted(zip(frame["__key"], frame["__size"].astype("int64"), strict=True), key=lambda x: (-x[1], x[0])):
+    for k, s in sorted(zip(frame["__key"], frame["__size"].astype("int64"), strict=True), key=lambda x: (-x[1], x[0] is None, x[0] or "")):
         full = (s - 1) // capacity if s > capacity else 0
         for part in range(full):
             rows.append((profile, capacity, f"{profile}-{block}-{k}-{part}", k, part, part * capacity, capacity))

@@ -9,8 +9,8 @@ Defined cases: a null text gives no piece; a text within the limit, the empty on
 included, gives one piece that is the text itself; a row without a limit is never
 cut; a text without any boundary is cut at its midpoint, never before a combining
 mark or joiner; null pages stay null, one known page stands for both.  Repeated
-rows give repeated pieces; extra columns pass through, and clashing names of the
-result must be renamed by the caller (ValueError).
+rows give repeated pieces; extra columns pass through, and a column with the name of
+a result column gives way to it.
 """
 
 from __future__ import annotations
@@ -101,9 +101,7 @@ def split_oversized(df: DataFrame, limits: DataFrame, key: str = "strategy", tex
 
     `limits` has `key`, max_chars and overlap_chars, one row per key.  Only texts over their
     limit travel to Python, and only the cut positions come back; the pieces are cut in the JVM."""
-    clash = set(df.columns) & {*RESULT_COLUMNS, "__limit", "__overlap", "__cuts"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} clash with the result")
+    df = df.drop(*[c for c in df.columns if c in {*RESULT_COLUMNS, "__limit", "__overlap", "__cuts", "__key"}])
     rule = limits.select(F.col(key).alias("__key"), F.col("max_chars").alias("__limit"), F.col("overlap_chars").alias("__overlap"))
     body = F.col(text)
     over = F.length(body) > F.col("__limit")
