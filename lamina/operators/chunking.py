@@ -118,7 +118,8 @@ def _python_chunks(documents: DataFrame, kind: str, size: int) -> DataFrame:
             for source, text in zip(frame["source"], frame["text"], strict=True):
                 pieces = [(t, {}) for t in semantic_pieces(text, size)] if kind == "semantic" else hierarchical_pieces(text, size)
                 rows += [(source, i + 1, t, *[p.get(x) for x in LEVELS]) for i, (t, p) in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=["source", "number", "text", *LEVELS])
+            if rows:
+                yield pd.DataFrame(rows, columns=["source", "number", "text", *LEVELS])
 
     return documents.filter(F.col("text").isNotNull()).select("source", "text").mapInPandas(cut, schema)
 

@@ -39,11 +39,11 @@ def resolve_references(refs: DataFrame, parents: DataFrame, salts: int = SALTS)
     `refs` has table_name, ref_field, row_id, kind, key, at.  A null or empty key is no reference
     and is left out.  found: a live record existed at `at` (untimed kinds: exists).  late: a live
     record exists but only later, or one of the two times is null.  deleted: only deleted records.
-    missing: no record.  Repeated rows stay repeated; extra columns pass through."""
+    missing: no record.  Repeated rows stay repeated; extra columns pass through; a column `status` gives way."""
     if salts < 1:
         raise ValueError("salts must be positive")
     known = parent_intervals(parents).select(
-        F.col("kind").alias("__kind"), F.col("key").alias("__key"), "live_from", "always", "ever_live",
+        F.col("kind").alias("__kind"), F.col("key").alias("__key"), F.col("live_from").alias("__live_from"), F.col("always").alias("__always"), F.col("ever_live").alias("__ever_live"),
         F.explode(F.array([F.lit(i) for i in range(salts)])).alias("__psalt"),
     )
     asked = refs.filter(F.col("key").isNotNull() & (F.col("key") != "")).withColumn("__salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
@@ -53,12 +53,12 @@ def resolve_references(refs: DataFrame, parents: DataFrame, salts: int = SALTS)
         "left",
     )
     status = (
-        F.when(F.col("ever_live").isNull(), "missing")
-        .when(~F.col("ever_live"), "deleted")
-        .when(F.coalesce(F.col("always"), F.lit(False)) | F.coalesce(F.col("live_from") <= F.col("at"), F.lit(False)), "found")
+        F.when(F.col("__ever_live").isNull(), "missing")
+        .when(~F.col("__ever_live"), "deleted")
+        .when(F.coalesce(F.col("__always"), F.lit(False)) | F.coalesce(F.col("__live_from") <= F.col("at"), F.lit(False)), "found")
         .otherwise("late")
     )
-    return joined.withColumn("status", status).drop("__kind", "__key", "__salt", "__psalt", "live_from", "always", "ever_live")
+    return joined.withColumn("status", status).drop("__kind", "__key", "__salt", "__psalt", "__live_from", "__always", "__ever_live")
 
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:

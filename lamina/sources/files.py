@@ -43,7 +43,7 @@ def strict(chunks: DataFrame) -> DataFrame:
     wrong = F.col("problem").isNotNull() & (F.col("problem") != "skipped_blank")
     from pyspark.sql import Window
 
-    rows = chunks.withColumn("chunk_id", F.when(wrong, F.raise_error(place)).otherwise(F.col("chunk_id"))).filter("problem IS NULL")
+    rows = chunks.filter(F.when(wrong, F.raise_error(place).cast("boolean")).otherwise(F.col("problem").isNull()))
     n = F.count("*").over(Window.partitionBy("chunk_id"))
     return rows.withColumn("__n", n).withColumn("chunk_id", F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated id "), "chunk_id"))).otherwise(F.col("chunk_id"))).drop("__n", "problem")
 
