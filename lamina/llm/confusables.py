@@ -268,7 +268,8 @@ def character_counts(df: DataFrame, column: str) -> DataFrame:
             for text in frame[column]:
                 if text:
                     total.update(text)
-        yield pd.DataFrame({"ch": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"ch": list(total), "n": list(total.values())})
 
     return df.select(column).mapInPandas(count, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
 

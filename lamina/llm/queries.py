@@ -39,7 +39,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, d: str, name: str, key: str, column: str) -> DataFrame:
-    return table(spark, d, name).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.col(column).alias("text"))
+    return spread(table(spark, d, name).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_key"), F.col(column).alias("text")))
 
 
 def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +71,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "raw_pages").select("page_id", "source", "page", "ocr_used", "text")
+    pages = spread(table(spark, d, "raw_pages").select("page_id", "source", "page", "ocr_used", "text"))
     return scans.repair_scans(pages, scans.fit(pages))
 
 
