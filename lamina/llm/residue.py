@@ -56,7 +56,7 @@ _MESSAGE = re.compile(
 _OPENS = re.compile(r"^(?:#|http|error|lỗi|traceback|file|at |java|warning|notice|fatal|ora-|db-|sqlstate|access|you |your |this |the (?:requested|selected)|too many|không tìm|hệ thống|phiên|lượt|tài khoản này|bạn|trang|bài|liên kết|please|xin|vui lòng|hãy|mời|cần|phải|noscript|javascript|tập lệnh|trình duyệt|checking|verifying|service|search|gazette|system|site|type exception|[a-z]+error)")
 _FILLER = re.compile(
     r"(?:sẽ|đang|được|chưa|chờ)[^.]{0,12}(?:viết|bổ sung|cập nhật|biên tập|có dữ liệu|soạn)|(?:chưa có|đang chờ) (?:dữ liệu|nội dung|bài)|^(?:todo|tbd|tbc|fixme)\b|^(?:chèn|dán|đặt|thêm) [^.]{0,40}(?:chỗ trống|khung này|vào đây|ở đây)|"
-    r"(?:chữ|đoạn|văn bản|nội dung|câu|bài) (?:mẫu|giả|thử)\b|^(?:placeholder|dummy|sample|test|example|filler) (?:text|content|paragraph|title|heading|post|page)|(?:text|content|paragraph) goes here|replace before release|your text here|^(?:tiêu đề|tên|phụ đề|tựa|mô tả)[^.]{0,24}(?:ở đây|số #)$|coming soon|under construction|to be (?:added|completed|written|announced)|lorem ipsum|chạy thử|(?:kiểm tra|thử) (?:đăng )?bài|thử nghiệm bài"
+    r"(?:chữ|đoạn|văn bản|nội dung|câu|bài) (?:mẫu|giả|thử)\b|^(?:placeholder|dummy|sample|test|example|filler) (?:text|content|paragraph|title|heading|post|page)|(?:text|content|paragraph) goes here|replace before release|do not publish|your text here|^(?:tiêu đề|tên|phụ đề|tựa|mô tả)[^.]{0,24}(?:ở đây|số #)$|coming soon|under construction|to be (?:added|completed|written|announced)|lorem ipsum|chạy thử|(?:kiểm tra|thử) (?:đăng )?bài|thử nghiệm bài"
 )
 _FILLER_SHORT = re.compile(r"^(?:phần|mục|đoạn|nội dung|bài viết|chuyên mục|trang|văn bản|chương|bảng) (?:này )?(?:đang|sẽ|chưa|chờ)")
 #: The words of the customary Latin dummy text.
@@ -79,6 +79,8 @@ def classify(line: str) -> str:
         return "filler"
     if len(words) == 1 and re.fullmatch(r"(?:(\w)\1{2,}|asdf\w*|qwer\w*|lorem|xyz|abc)", bare[0]):
         return "filler"
+    if re.match(r"(?:todo|tbd|tbc|fixme)\b", line):
+        return "filler"
     if len(words) <= 14 and (_FILLER.search(line) or _FILLER_SHORT.search(line)) and "“" not in line and not _DOMAIN.search(line):
         return "filler"
     if len(words) <= 24 and (m := _MESSAGE.search(line)) and "“" not in line and not _DOMAIN.search(line):

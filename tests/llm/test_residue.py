@@ -11,7 +11,7 @@ REAL = "Giới hạn tín dụng với một nhóm khách hàng liên quan khôn
     [
         ("404 Not Found", "message"), ("The requested page could not be located on this server.", "message"), ("Hệ thống đang bảo trì, mời quý khách thử lại sau 5 phút.", "message"), ("Phiên làm việc bị ngắt. Mời đăng nhập lại.", "message"),
         ("Hãy kích hoạt JavaScript rồi tải lại trang.", "message"), ("Traceback (most recent call last):", "message"), ("Đoạn này sẽ viết ở vòng hai.", "filler"), ("xxx xxx xxx", "filler"), ("Lorem ipsum dolor sit amet sed labore", "filler"),
-        ("TODO: chờ tổ 3 gửi bài", "filler"), ("Chèn hình số 4 vào chỗ trống.", "filler"), ("Đăng nhập  Đăng ký  Trợ giúp", "furniture"), ("Từ “lorem” trong bản nháp đã bị xóa theo góp ý số 7 của tổ biên tập.", "prose"),
+        ("TODO: chờ tổ 3 gửi bài", "filler"), ("FIXME: bổ sung nội dung điều khoản", "filler"), ("Chèn hình số 4 vào chỗ trống.", "filler"), ("Đăng nhập  Đăng ký  Trợ giúp", "furniture"), ("Từ “lorem” trong bản nháp đã bị xóa theo góp ý số 7 của tổ biên tập.", "prose"),
         ("Khi phiên làm việc hết hạn, giao dịch viên đăng nhập lại và kiểm tra 5 bút toán cuối.", "prose"), ("The audit notes that access was denied 3 times to one clerk, which the branch explained.", "prose"), ("", "furniture"),
     ],
 )
