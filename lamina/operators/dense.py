@@ -17,15 +17,14 @@ QUERY_BLOCK = 128
 def dense_top_k(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows by cosine distance, ties by id.
 
-    Queries are gathered into blocks of QUERY_BLOCK; each batch of the corpus meets each block in one
+    Queries are dealt by hash into blocks of about QUERY_BLOCK, however many there are; each batch of the corpus meets each block in one
     matrix product and passes on k rows per query only, so nothing the size of the product is shuffled.
     Rows whose vector is null or zero take no part."""
     kind = dict(corpus.dtypes)[key]
     fair = corpus.filter(F.exists(vector, lambda e: e != 0)).select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    numbered = queries.filter(F.exists("vector", lambda e: e != 0)).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)) % F.lit(8))
-    part = Window.partitionBy("block").orderBy("query_id")
-    numbered = numbered.withColumn("block", F.struct("block", F.floor((F.row_number().over(part) - 1) / QUERY_BLOCK)))
-    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("query_id", "vector")).alias("qs")).select("qs")
+    asked = queries.filter(F.exists("vector", lambda e: e != 0)).select("query_id", "vector")
+    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    blocks = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs")).select("qs")
     qkind = dict(queries.dtypes)["query_id"]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -182,7 +182,7 @@ def id_sets(spark: SparkSession, d: str) -> DataFrame:
     """Union, difference and intersection of the laws that documents and relations name."""
     a = table(spark, d, "documents").select("so_ky_hieu").filter("so_ky_hieu IS NOT NULL")
     b = table(spark, d, "relationships").select(F.col("source").alias("so_ky_hieu")).filter("so_ky_hieu IS NOT NULL")
-    parts = [("union", a.union(b).distinct()), ("difference", a.exceptAll(a.limit(0)).subtract(b)), ("intersection", a.intersect(b))]
+    parts = [("union", a.union(b).distinct()), ("difference", a.subtract(b)), ("intersection", a.intersect(b))]
     out = None
     for name, df in parts:
         one = df.select(F.lit(name).alias("kind"), "so_ky_hieu")
