@@ -6,7 +6,7 @@ is trained here, on words of unscanned pages with noise of a fixed visual channe
 in.  It runs where the text is in doubt: on words, and line ends, that unscanned pages
 do not attest, alone or with their neighbours; an edit stands only if it yields
 attested text.  A second perceptron removes running headers, footers and page numbers
-by position on the page, shape, and what recurs at page edges but never inside pages.
+by position on the page, shape, and what recurs at page edges, wherever it then stands.
 
 Bounds: the models are fitted on a sample of at most SAMPLE_WORDS words and
 SAMPLE_LINES lines; counts of words, neighbours and edge lines cover all pages, and
@@ -369,21 +369,33 @@ def line_features(line: str, top: int, bottom: int, page: int | None, width: int
     ]
 
 
+def evident(line: str, page: int | None, width: int, model: Model) -> bool:
+    """Whether a short line speaks for furniture wherever it stands: it has the page's number, or a form that recurs at edges."""
+    text = line.strip()
+    if len(text) >= 0.75 * width and len(text.split()) > 3:
+        return False
+    if page is not None and len(text.split()) <= 3 and page in [int(x) for x in re.findall(r"\d+", text) if len(x) < 6]:
+        return True
+    return any(form in model.edges for form in edge_forms(mask_line(text)))
+
+
 def is_furniture(line: str, top: int, bottom: int, page: int | None, width: int, model: Model) -> bool:
-    if top >= EDGE_TOP and bottom >= EDGE_BOTTOM:
+    """Lines at an edge are all scored, those inside the page where there is evidence."""
+    if top >= EDGE_TOP and bottom >= EDGE_BOTTOM and not evident(line, page, width, model):
         return False
     s = model.furniture.scores(line_features(line, top, bottom, page, width, model), ("F", "K"))
     return s["F"] > s["K"]
 
 
 def train_furniture(model: Model, lines: list[tuple[str, int, int, int | None, bool, int]], seed: int = 7) -> None:
-    """Lines of unscanned pages, and inner lines, are content; lines at an edge whose form recurs there are furniture."""
+    """Lines of unscanned pages are content; lines whose form recurs at edges are furniture, inside the page if the whole line does."""
     rng = random.Random(seed)
     data = []
     for line, top, bottom, page, scanned, width in lines[:SAMPLE_LINES]:
         edge = top < EDGE_TOP or bottom < EDGE_BOTTOM
-        recurs = any(form in model.edges for form in edge_forms(mask_line(line)))
-        truth = "F" if scanned and edge and recurs and not closed(line) and len(line.strip()) < 0.75 * width else "K"
+        forms = [form for form in edge_forms(mask_line(line)) if edge or not form.startswith("^")]
+        recurs = any(form in model.edges for form in forms)
+        truth = "F" if scanned and recurs and not closed(line) and len(line.strip()) < 0.75 * width else "K"
         data.append((line_features(line, top, bottom, page, width, model), truth))
         if truth == "F" and rng.random() < 0.4:
             data.append((line_features(line, top, bottom, page, width, model, hide=True), truth))
@@ -412,10 +424,15 @@ def repair_page(text: str, page: int | None, model: Model) -> tuple[str, int, in
 
 
 def _without_furniture(lines: list[str], page: int | None, model: Model) -> tuple[list[str], int]:
-    full = [i for i, x in enumerate(lines) if x.strip()]
-    width = max((len(lines[i]) for i in full), default=0)
-    dropped = {i for k, i in enumerate(full) if is_furniture(lines[i], k, len(full) - 1 - k, page, width, model)}
-    return [x for i, x in enumerate(lines) if i not in dropped], len(dropped)
+    """The lines that are content, and how many went; looked at again as long as lines go, since others then stand at the edge."""
+    n = 0
+    while True:
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        width = max((len(lines[i]) for i in full), default=0)
+        dropped = {i for k, i in enumerate(full) if is_furniture(lines[i], k, len(full) - 1 - k, page, width, model)}
+        if not dropped:
+            return lines, n
+        lines, n = [x for i, x in enumerate(lines) if i not in dropped], n + len(dropped)
 
 
 def unwrap(lines: list[str]) -> str:
@@ -462,10 +479,11 @@ def fit(pages: DataFrame) -> Model:
     lines = _page_lines(has)
     edge = (F.col("top") < EDGE_TOP) | (F.col("bottom") < EDGE_BOTTOM)
     short = (F.length(F.trim("line")) < 0.75 * F.col("width")) & ~F.col("line").rlike("[.;:,!?]\\s*$")
-    masks = lines.filter(short | ~F.col("scanned") | (F.length("line") < 60)).select("source", "scanned", edge.alias("edge"), short.alias("short"), F.explode(_forms_batch("line")).alias("form"))
+    numbered = F.array_contains(F.regexp_extract_all("line", F.lit("\\d+"), F.lit(0)), F.col("page").cast("string")) & (F.size(F.split(F.trim("line"), "\\s+")) <= 3)
+    masks = lines.filter(short | ~F.col("scanned") | (F.length("line") < 60)).select("source", "scanned", edge.alias("edge"), short.alias("short"), F.coalesce(numbered, F.lit(False)).alias("numbered"), F.explode(_forms_batch("line")).alias("form"))
     recur = masks.groupBy("form").agg(
         F.countDistinct(F.when(F.col("scanned") & F.col("edge") & F.col("short"), F.col("source"))).alias("sources"),
-        F.count_if(F.col("scanned") & ~F.col("edge") & F.col("short")).alias("inside"),
+        F.count_if(F.col("scanned") & ~F.col("edge") & F.col("short") & ~F.col("numbered")).alias("inside"),
         F.count_if(F.col("scanned") & F.col("edge") & F.col("short")).alias("n_edge"),
         F.count_if(~F.col("scanned") & ~F.col("form").startswith("^")).alias("clean"),
     )

@@ -68,3 +68,20 @@ def test_empty(spark):
     empty = df.limit(0)
     assert scans.repair_scans(empty, scans.fit(empty)).count() == 0
     assert scans.repair_page("trang 5", 5, scans.Model())[0] == "trang 5"
+
+
+def test_furniture_is_removed_at_any_depth(spark):
+    df, _ = pages(spark)
+    rng = random.Random(2)
+    rows = []
+    for i in range(600, 640):
+        lines = wrap(" ".join(rng.sample(SENTENCES, 5))).split("\n")
+        lines.insert(len(lines) // 2 if i % 4 == 0 else len(lines), f"– {i - 599} –")
+        rows.append((i, f"t{i // 5}.pdf", i - 599, True, "\n".join(lines), 0))
+    model = scans.fit(df.unionByName(spark.createDataFrame(rows, df.schema)))
+    for i, _, page, _, text, _ in rows:
+        repaired, _, _, furniture = scans.repair_page(text, page, model)
+        assert f"– {page} –" not in repaired and furniture == 1, i
+    assert scans.repair_page("– 2 –\n" * 3 + rows[1][4], 2, model)[3] == 4
+    content = wrap(" ".join(SENTENCES)).replace("21 phần", "21\nphần")
+    assert scans.repair_page(content, 3, model)[3] == 0
