@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.scores import cosine_distance, vector_problem
-from lamina.functions.text import citation, preview, squeeze
+from lamina.functions.text import citation, squeeze
 from lamina.operators import answers, dense, fusion, lexical, metrics
 from lamina.sources import spread, table
 
@@ -121,8 +121,8 @@ def pipeline_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_text(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled evidence of each question in rank order."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", preview("text").alias("text"))
+    """Labelled evidence of each question in rank order, with its whole text."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
     top = bm25(spark, d, questions(spark), 3).join(docs, "id").withColumn("display", citation("source", F.lit(1), F.lit(1), F.col("id").cast("string")))
     return answers.prompts(top)
 
