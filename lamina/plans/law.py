@@ -108,11 +108,11 @@ def search_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    """Model-made relations between known laws, by confidence, the best fifty."""
+    """Model-made relations between known laws, by confidence."""
     numbers = _laws(spark, d).select(F.col("so_ky_hieu").alias("k")).filter("k IS NOT NULL").distinct()
     rows = table(spark, d, "relationships").filter("method = 'llm' AND confidence IS NOT NULL").select("rel_id", "source", "target", "confidence").distinct()
     rows = rows.join(numbers, F.col("source") == F.col("k"), "left_semi").join(numbers, F.col("target") == F.col("k"), "left_semi")
-    return rows.orderBy(F.desc("confidence"), "rel_id").limit(50)
+    return rows.orderBy(F.desc("confidence"), "rel_id")
 
 
 def law_reasoning(spark: SparkSession, d: str) -> DataFrame:

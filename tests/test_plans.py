@@ -1,4 +1,4 @@
-from lamina.plans import retrieval
+from lamina.plans import law, retrieval
 
 
 def folder(spark, tmp_path, **tables):
@@ -13,3 +13,9 @@ def test_prompts_hold_the_whole_evidence(spark, tmp_path):
     d = folder(spark, tmp_path, documents=([(1, "a", text), (2, "b", "khác"), (3, "c", "nữa")], "doc_id long, source string, text string"))
     got = {r.query_id: r.prompt for r in retrieval.prompt_text(spark, d).collect()}
     assert text in got[100]
+
+
+def test_review_queue_has_every_relation(spark, tmp_path):
+    rows = [(f"r{i:03}", "A", "B", "llm", i / 100) for i in range(80)] + [("x", "A", "B", "rule", 0.5), ("y", "A", "C", "llm", 0.5)]
+    d = folder(spark, tmp_path, law_metadata=([("1", "A"), ("2", "B")], "id string, so_ky_hieu string"), relationships=(rows, "rel_id string, source string, target string, method string, confidence double"))
+    assert [r.rel_id for r in law.review_queue(spark, d).collect()] == [f"r{i:03}" for i in reversed(range(80))]
