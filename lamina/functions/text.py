@@ -161,9 +161,16 @@ def edge_label(source: str | Column, kind: str | Column, target: str | Column) -
     return F.format_string("%s ==[%s]==> %s", col(source), col(kind), col(target))
 
 
+def unescape(c: Column) -> Column:
+    """The text with the entities of the five marked characters decoded, & last."""
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(entity), F.lit(mark))
+    return c
+
+
 def html_paragraphs(c: str | Column, least: int = 20) -> Column:
     """Text of <p> elements longer than `least` characters; scripts and styles are removed first."""
     bare = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
     parts = F.slice(F.split(bare, "<p(?: [^>]*)?>"), 2, 1_000_000)
-    plain = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "<[^>]+>", "")))
+    plain = F.transform(parts, lambda p: F.trim(unescape(F.regexp_replace(p, "<[^>]+>", ""))))
     return F.filter(plain, lambda p: F.length(p) > least)

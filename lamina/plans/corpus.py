@@ -103,8 +103,9 @@ def hierarchy_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _html(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("text IS NOT NULL AND NOT contains(text, '<')")
-    page = F.concat(F.lit("<html><script>var p = '<p>';</script><p>"), F.replace("text", F.lit("\n"), F.lit('</p>\n<p class="x">')), F.lit("</p></html>"))
+    docs = table(spark, d, "documents").filter("text IS NOT NULL")
+    text = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<html><script>var p = '<p>';</script><p>"), F.replace(text, F.lit("\n"), F.lit('</p>\n<p class="x">')), F.lit("</p></html>"))
     return chunking.html_chunks(docs.select("doc_id", page.alias("html")), "doc_id", "html")
 
 

@@ -1,4 +1,4 @@
-from lamina.plans import law, retrieval
+from lamina.plans import corpus, law, retrieval
 
 
 def folder(spark, tmp_path, **tables):
@@ -19,3 +19,11 @@ def test_review_queue_has_every_relation(spark, tmp_path):
     rows = [(f"r{i:03}", "A", "B", "llm", i / 100) for i in range(80)] + [("x", "A", "B", "rule", 0.5), ("y", "A", "C", "llm", 0.5)]
     d = folder(spark, tmp_path, law_metadata=([("1", "A"), ("2", "B")], "id string, so_ky_hieu string"), relationships=(rows, "rel_id string, source string, target string, method string, confidence double"))
     assert [r.rel_id for r in law.review_queue(spark, d).collect()] == [f"r{i:03}" for i in reversed(range(80))]
+
+
+def test_html_keeps_documents_with_marks(spark, tmp_path):
+    texts = ["nhóm hai, <C> là nợ cần chú ý & &lt;theo dõi&gt;", "đoạn một không có dấu gì cả", "dòng thứ hai: a < b và c > d, x & y"]
+    d = folder(spark, tmp_path, documents=([(1, texts[0]), (2, "\n".join(texts[1:])), (3, None)], "doc_id long, text string"))
+    assert sorted(r.text.strip() for r in corpus._html(spark, d).collect()) == sorted(texts)
+    assert {(r.doc_id, r.number) for r in corpus.html_chunks(spark, d).collect()} == {(1, 0), (2, 0), (2, 1)}
+    assert {(r.src, r.dst, r.kind) for r in corpus.chunk_edges(spark, d).collect()} == {("2_chunk_0", "2_chunk_1", "NEXT"), ("2_chunk_0", "2_chunk_1", "PARENT_OF")}
