@@ -136,8 +136,8 @@ def variant_filter(spark: SparkSession, d: str) -> DataFrame:
     """C10 on the titles of documents: each asks, and its neighbours in id stand for generated variants."""
     docs = table(spark, d, "documents").filter("title IS NOT NULL").select("doc_id", "title")
     ask = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
-    near = docs.withColumn("query_id", F.floor(F.col("doc_id") / 100) * 100 + 100).select("query_id", F.col("doc_id").alias("n"), F.substring("title", 1, 60).alias("text"))
-    return answers.filter_variants(ask, near, 4, 60)
+    near = docs.withColumn("query_id", F.floor(F.col("doc_id") / 100) * 100 + 100).select("query_id", F.col("doc_id").alias("n"), F.col("title").alias("text"))
+    return answers.filter_variants(ask, near, 4)
 
 
 def cited_answers(spark: SparkSession, d: str) -> DataFrame:

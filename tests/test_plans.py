@@ -27,3 +27,10 @@ def test_html_keeps_documents_with_marks(spark, tmp_path):
     assert sorted(r.text.strip() for r in corpus._html(spark, d).collect()) == sorted(texts)
     assert {(r.doc_id, r.number) for r in corpus.html_chunks(spark, d).collect()} == {(1, 0), (2, 0), (2, 1)}
     assert {(r.src, r.dst, r.kind) for r in corpus.chunk_edges(spark, d).collect()} == {("2_chunk_0", "2_chunk_1", "NEXT"), ("2_chunk_0", "2_chunk_1", "PARENT_OF")}
+
+
+def test_variants_are_whole_titles(spark, tmp_path):
+    long = "Quy định về " + "tài sản " * 10
+    rows = [(100, "Hỏi"), (1, long + "bảo đảm"), (2, long + "theo Điều 9"), (3, "dài " * 80)]
+    d = folder(spark, tmp_path, documents=(rows, "doc_id long, title string"))
+    assert [(r.variant_id, r.text) for r in corpus.variant_filter(spark, d).orderBy("variant_id").collect()] == [("Q0", "Hỏi"), ("Q1", long + "bảo đảm")]
