@@ -244,7 +244,7 @@ def is_clean(tokens: tuple[str, ...]) -> bool:
 
 
 READ = T.StructType().add("tokens", T.ArrayType(T.StringType())).add("aliases", T.ArrayType(T.ArrayType(T.StringType())))
-KEYS = T.ArrayType(T.StructType().add("coarse", T.StringType()).add("fine", T.StringType()))
+KEYS = T.ArrayType(T.StringType())
 
 
 @F.pandas_udf(READ)
@@ -254,13 +254,7 @@ def _read_batch(names: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(KEYS)
 def _keys_batch(tokens: pd.Series) -> pd.Series:
-    """Block keys; the fine form adds the initials of the name's ends, in order of the alphabet."""
-    out = []
-    for t in tokens:
-        t = tuple(t)
-        ends = "".join(sorted({t[0][:1], t[-1][:1]}))
-        out.append([{"coarse": k, "fine": f"{k}#{ends}"} for k in block_keys(t)])
-    return pd.Series(out)
+    return tokens.map(lambda t: block_keys(tuple(t)))
 
 
 @F.pandas_udf(T.BooleanType())
@@ -293,22 +287,23 @@ def _groups(strings: DataFrame) -> DataFrame:
 
 
 def _candidates(groups: DataFrame) -> DataFrame:
-    """Pairs (g, h) that share a block; a block over BLOCK_LIMIT is first refined by the names' end letters."""
-    keyed = groups.select("*", F.explode(_keys_batch("tokens")).alias("__k"))
-    large = keyed.groupBy("kind", F.col("__k.coarse").alias("__c")).count().filter(F.col("count") > BLOCK_LIMIT).select("kind", "__c", F.lit(True).alias("__large"))
-    keyed = keyed.withColumn("__c", F.col("__k.coarse")).join(large, ["kind", "__c"], "left")
-    keyed = keyed.withColumn("__b", F.when(F.col("__large"), F.col("__k.fine")).otherwise(F.col("__c"))).drop("__c", "__large", "__k")
+    """Pairs (g, h) that share a block; the asking side of a block over BLOCK_LIMIT is dealt over several tasks, which meet all its names."""
+    keyed = groups.select("*", F.explode(_keys_batch("tokens")).alias("__b"))
+    parts = F.ceil(F.col("count") / F.lit(BLOCK_LIMIT)).cast("int").alias("__parts")
+    large = keyed.groupBy("kind", "__b").count().filter(F.col("count") > BLOCK_LIMIT).select("kind", "__b", parts)
+    keyed = keyed.join(large, ["kind", "__b"], "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
     own = (F.col("forms") >= OWN_FORMS) & F.col("clean")
-    asks = keyed.filter(~own & ~F.col("is_alias"))
+    asks = keyed.filter(~own & ~F.col("is_alias")).withColumn("__part", F.pmod(F.xxhash64("g"), F.col("__parts")).cast("int"))
     names = keyed.filter(F.col("clean") & ~F.col("is_alias")).select(
         F.col("g").alias("h"), F.col("kind").alias("__hk"), F.col("__b").alias("__hb"), F.col("tokens").alias("h_tokens"),
         F.col("support").alias("h_support"), F.col("forms").alias("h_forms"),
+        F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__hp"),
     )
     rank = lambda f, s, g: F.struct(F.least(F.col(f), F.lit(OWN_FORMS)), F.col(s), F.col(g))
     longer = F.size("h_tokens") != F.size("tokens")
     fair = F.col("short") | (F.size("h_tokens") > F.size("tokens")) | (rank("h_forms", "h_support", "h") > rank("forms", "support", "g"))
     fair &= F.col("short") | longer | (F.col("h_support") >= 2 * F.col("support"))
-    pairs = asks.join(names, (F.col("kind") == F.col("__hk")) & (F.col("__b") == F.col("__hb")) & (F.col("g") != F.col("h")))
+    pairs = asks.join(names, (F.col("kind") == F.col("__hk")) & (F.col("__b") == F.col("__hb")) & (F.col("__part") == F.col("__hp")) & (F.col("g") != F.col("h")))
     return pairs.filter(fair).select("g", "h", F.array_join("tokens", " ").alias("a"), F.array_join("h_tokens", " ").alias("b"), "h_support").distinct()
 
 

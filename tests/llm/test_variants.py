@@ -57,3 +57,13 @@ def test_table(spark):
 
 def test_empty(spark):
     assert v.link_variants(spark.createDataFrame([], "name string, kind string")).count() == 0
+
+
+def test_large_blocks_meet_the_same_names(spark, monkeypatch):
+    names = ["Ngân hàng Điều tiết Quốc gia"] * 9 + ["Ngân hàng Điều tiết Quốc gia."] * 3 + ["NGÂN HÀNG ĐIỀU TIẾT QUỐC GIA"] * 3 + ["Ngân hàng Điều tiết", "Mgân hàng Điều tiết Quốc gia", "Quốc gia, Ngân hàng Điều tiết"]
+    rows = spark.createDataFrame([(n, "CoQuan") for n in names], "name string, kind string")
+    groups = v._groups(v.spellings(rows))
+    want = {(r.g, r.h) for r in v._candidates(groups).collect()}
+    monkeypatch.setattr(v, "BLOCK_LIMIT", 1)
+    got = v._candidates(groups).collect()
+    assert want and {(r.g, r.h) for r in got} == want and len(got) == len(want)
