@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 def _within(name: str, value: float, low: float, high: float) -> None:
@@ -36,6 +37,9 @@ class Retrieval:
     parent_rrf_k: int = 60
     parent_candidates: int = 10
     final_parent_top_k: int = 3
+    reranker_max_length: int = 512
+    reranker_batch: int = 4
+    embedding_size: int = 768
 
     def __post_init__(self) -> None:
         if self.chunk_size <= 0 or not 0 <= self.chunk_overlap < self.chunk_size:
@@ -50,6 +54,9 @@ class Retrieval:
         _within("parent_max_chars", self.parent_max_chars, 1000, 20_000)
         _within("context_max_chars", self.context_max_chars, 1000, 100_000)
         _within("parent_child_limit", self.parent_child_limit, 1, 20)
+        _within("reranker_max_length", self.reranker_max_length, 64, 4096)
+        _within("reranker_batch", self.reranker_batch, 1, 64)
+        _within("embedding_size", self.embedding_size, 128, 3072)
         if self.final_top_k > self.rerank_candidates or self.final_parent_top_k > self.parent_candidates or self.context_max_chars < self.parent_max_chars:
             raise ValueError("a final number exceeds its candidates, or the context is smaller than a parent")
         for a, b in ((self.bm25_weight, self.semantic_weight), (self.original_weight, self.variant_weight)):
@@ -57,3 +64,17 @@ class Retrieval:
                 raise ValueError("weights must be 0 or more, one of them above 0")
         if self.max_distance < 0:
             raise ValueError("max_distance must be 0 or more")
+
+    @classmethod
+    def load(cls, values: Mapping[str, str]) -> Retrieval:
+        """From texts under the upper-case names of the parameters, an environment for example; absent or blank ones keep
+        their defaults, what is no number of the right kind raises."""
+        given = {}
+        for field in fields(cls):
+            text = (values.get(field.name.upper()) or "").strip()
+            if text:
+                try:
+                    given[field.name] = int(text) if field.type == "int" else float(text)
+                except ValueError:
+                    raise ValueError(f"{field.name.upper()} must be a number, not {text!r}") from None
+        return cls(**given)

@@ -19,7 +19,12 @@ def norm(a: str | Column) -> Column:
 
 def cosine_distance(a: str | Column, b: str | Column) -> Column:
     """1 - cosine; null if a vector is null or all zero."""
-    return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
+    return 1 - normalised_dot(a, b)
+
+
+def normalised_dot(a: str | Column, b: str | Column) -> Column:
+    """Dot product of the two unit vectors; null if a vector is null or all zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def vector_problem(v: str | Column, size: int) -> Column:

@@ -1,7 +1,8 @@
-"""Text functions as columns; only Unicode composition needs Python, in Arrow batches."""
+"""Text functions as columns; only Unicode composition needs Python, in Arrow batches and where it changes anything."""
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -9,37 +10,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Heading patterns by level, tried in this order.
+# Heading patterns by level, tried in this order; letter case plays no part.
 HEADINGS = {
-    "chapter": r"^\s*Chương\s+[IVXLCDM\d]+",
-    "section": r"^\s*Mục\s+\d+",
-    "article": r"^\s*Điều\s+\d+",
-    "clause": r"^\s*\d+\.\s",
-    "point": r"^\s*[a-zđ]\)\s",
+    "chapter": r"^\s*(CHƯƠNG|PHẦN)\s+[IVXLCDM0-9]+\b.*",
+    "section": r"^\s*MỤC\s+[IVXLCDM0-9]+\b.*",
+    "article": r"^\s*ĐIỀU\s+\d+\b.*",
+    "clause": r"^\s*\d+\.\s+.+",
+    "point": r"^\s*[a-zđ]\)\s+.+",
 }
 LEVELS = tuple(HEADINGS)
 # Kinds of provisions that a legal reference names.
 REFERENCE = r"(điều|khoản|điểm|chương|thông tư|nghị định|luật)\s+\d+"
-MOJIBAKE = "Ã.|Â.|á»|áº|Ä‘|â€"
+# Names of the quality flags of a page, in order.
+FLAGS = ("text_rong", "ky_tu_thay_the", "dau_hieu_loi_encoding", "so_chen_trong_tu_do_loi_font", "hoa_thuong_bat_thuong_trong_tu", "nhieu_ky_tu_dieu_khien")
+#: What counts as white space, as the inside of a character class that Java and RE2 both read.
+SPACE = r"\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: A character outside these blocks may be one that composition changes; few ranges keep the test short.
+_DECOMPOSED = r"[^\x{0}-\x{2ff}\x{1e00}-\x{1eff}\x{2002}-\x{206f}]"
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+def composed(c: str | Column) -> Column:
+    """Composed form; only texts that hold a character it may change travel to Python."""
+    text = col(c)
+    return F.coalesce(_nfc(F.when(text.rlike(_DECOMPOSED), text)), text)
 
 
 def normalise(c: str | Column) -> Column:
     """Composed form, line ends as line feeds.  Null stays null."""
-    return F.regexp_replace(_nfc(col(c)), "\r\n?", "\n")
+    return F.regexp_replace(composed(c), "\r\n?", "\n")
+
+
+def strip(c: str | Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def squeeze(c: str | Column) -> Column:
-    """Trimmed, runs of white space as one space; null as the empty string."""
-    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s+", " "))
+    """Composed, trimmed, runs of white space as one space; null as the empty string."""
+    return F.trim(F.regexp_replace(F.coalesce(composed(c), F.lit("")), f"[{SPACE}]+", " "))
 
 
 def fold(c: str | Column) -> Column:
@@ -48,47 +68,59 @@ def fold(c: str | Column) -> Column:
 
 
 def tokens(c: str | Column) -> Column:
-    """Words of letters, digits and underscores, folded; an empty array for null."""
-    return F.array_remove(F.split(F.coalesce(fold(c), F.lit("")), r"[^\p{L}\p{N}_]+"), "")
+    """Words of letters, digits and underscores of the composed text, folded; an empty array for null."""
+    return F.array_remove(F.split(F.coalesce(fold(composed(c)), F.lit("")), r"[^\p{L}\p{N}_]+"), "")
 
 
 def text_problems(c: str | Column) -> Column:
-    """Quality flags of a page: empty, replacement, mojibake, digits_in_words, mixed_case, control."""
+    """Quality flags of a page: empty, replacement characters, wrong encoding, digits in words, mixed case, controls."""
     t = F.coalesce(col(c), F.lit(""))
-    solid = F.length(F.regexp_replace(t, r"\s", ""))
-    controls = F.length(t) - F.length(F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    solid = F.length(F.regexp_replace(t, f"[{SPACE}]", ""))
+    controls = F.length(t) - F.length(F.regexp_replace(t, r"[\x00-\x08\x0b-\x1f]", ""))
+    letter = "A-Za-zĐđ"
     rules = [
-        ("empty", F.trim(t) == ""),
-        ("replacement", F.contains(t, F.lit("�"))),
-        ("mojibake", t.rlike(MOJIBAKE)),
-        ("digits_in_words", F.regexp_count(t, F.lit(r"\p{L}\d+\p{L}")) >= 3),
-        ("mixed_case", F.regexp_count(t, F.lit(r"\p{Ll}\p{Lu}")) >= 3),
-        ("control", controls > solid * 0.02),
+        solid == 0,
+        F.contains(t, F.lit("�")),
+        t.rlike("Ã.|Ä.|Â.|�"),
+        F.regexp_count(t, F.lit(rf"(?<=[{letter}])\p{{Nd}}(?=[{letter}])")) >= 3,
+        F.regexp_count(t, F.lit(rf"(?<![\p{{L}}\p{{N}}_])[{letter}]*[a-zđ][A-ZĐ][{letter}]*(?![\p{{L}}\p{{N}}_])")) >= 3,
+        (solid > 0) & (controls > solid * 0.02),
     ]
-    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in zip(FLAGS, rules, strict=True)]))
 
 
 def heading_level(c: str | Column) -> Column:
     """The first level whose pattern the line begins with, else null."""
     line = col(c)
-    return F.coalesce(*[F.when(line.rlike("(?iu)" + pattern), F.lit(level)) for level, pattern in HEADINGS.items()])
+    return F.coalesce(*[F.when(line.rlike(("(?U)" if level == "clause" else "(?iuU)") + pattern), F.lit(level)) for level, pattern in HEADINGS.items()])
 
 
 def leading_heading(c: str | Column) -> Column:
-    """'Chương X' or 'Điều n' at the very start of a text, else null."""
-    found = F.regexp_extract(F.coalesce(col(c), F.lit("")), r"(?iu)^(Chương [IVXLCDM]+|Điều \d+)", 1)
+    """'Chương X' or 'Điều n' at the very start of a text, white space aside, else null."""
+    found = F.regexp_extract(strip(F.coalesce(col(c), F.lit(""))), r"(?iuU)^(Chương\s+[IVXLCDM]+|Điều\s+\d+)", 1)
     return F.when(found != "", found)
 
 
 def trailing_number(c: str | Column) -> Column:
     """The number after the last colon, 0 if there is none."""
-    return F.coalesce(F.expr("try_cast(nullif(regexp_extract({0}, ':([0-9]+)$', 1), '') as long)".format(c if isinstance(c, str) else "value")), F.lit(0))
+    return F.coalesce(F.regexp_extract(col(c), ":([0-9]+)$", 1).try_cast("long"), F.lit(0))
 
 
 def chunk_id(stem: str | Column, strategy: str | Column, number: str | Column) -> Column:
     return F.format_string("%s:%s:%04d", col(stem), col(strategy), col(number))
 
 
+def file_stem(c: str | Column) -> Column:
+    """A file's name without folders and its last extension."""
+    return F.regexp_replace(F.regexp_replace(col(c), "^.*/", ""), r"(?<=.)\.[^.]*$", "")
+
+
+def page_range(ocr_used: str | Column, page_count: str | Column, first: str | Column, last: str | Column) -> tuple[Column, Column]:
+    """First and last page of a piece; a document read by OCR always stands on all its pages."""
+    ocr = F.coalesce(col(ocr_used), F.lit(False))
+    return F.when(ocr, F.lit(1)).otherwise(col(first)), F.when(ocr, col(page_count)).otherwise(col(last))
+
+
 def parent_key(source: str | Column, article: str | Column, window: str | Column) -> Column:
     """Twelve hexadecimal digits that name a parent window."""
     return F.substring(F.sha2(F.concat_ws("_", col(source), col(article), col(window).cast("string")), 256), 1, 12)
@@ -117,6 +149,11 @@ def citation(source: str | Column, first: str | Column, last: str | Column, chun
     return F.format_string("[Nguồn: %s, %s, chunk: %s]", col(source), page_label(first, last), col(chunk))
 
 
+def scored_citation(label: str | Column, source: str | Column, first: str | Column, last: str | Column, score: str | Column) -> Column:
+    """'[P1] Nguồn: source (p.a-b) - Rerank Score: 0.87'; both pages are always written."""
+    return F.format_string("[%s] Nguồn: %s (p.%d-%d) - Rerank Score: %.2f", col(label), col(source), col(first), col(last), F.coalesce(col(score), F.lit(0.0)))
+
+
 def secure_citation(number: str | Column, title: str | Column, article: str | Column, chunk: str | Column) -> Column:
     """By document number, or by title where there is none."""
     n = col(number)
@@ -126,14 +163,14 @@ def secure_citation(number: str | Column, title: str | Column, article: str | Co
 
 def file_name(c: str | Column) -> Column:
     """Nine characters that file systems refuse become underscores."""
-    return F.trim(F.translate(col(c), '<>:"/\\|?*', "_________"))
+    return strip(F.translate(col(c), '<>:"/\\|?*', "_________"))
 
 
-def money(c: str | Column, unit: str = "VND") -> Column:
-    """Thousands separated by commas and the unit; blank is 0; what is no number stays as it is."""
-    text = F.trim(F.coalesce(col(c).cast("string"), F.lit("")))
-    number = F.when(text == "", F.lit("0")).otherwise(text).try_cast("decimal(20,0)")
-    return F.when(number.isNotNull(), F.concat(F.format_number(number, 0), F.lit(f" {unit}"))).otherwise(text)
+def money(c: str | Column) -> Column:
+    """Rounded, thousands separated by commas, with the unit; blank is 0; what is no number keeps its text before the unit."""
+    text = F.coalesce(col(c).cast("string"), F.lit(""))
+    number = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
+    return F.concat(F.coalesce(F.format_number(F.when(~F.isnan(number), number), 0), text), F.lit(" VNĐ"))
 
 
 def entity_title(key: str | Column, name: str | Column) -> Column:
@@ -143,34 +180,49 @@ def entity_title(key: str | Column, name: str | Column) -> Column:
 
 
 def yaml_id(c: str | Column) -> Column:
-    """The first id of a leading YAML block, else null."""
-    found = F.regexp_extract(F.coalesce(col(c), F.lit("")), r"(?s)\A---\n(?:(?!\n---).)*?(?:\A---\n|\n)?id:\s*\"?([^\"\n]+)\"?", 1)
-    return F.when(found != "", F.trim(found))
+    """The first id of a YAML block between lines of dashes, else null."""
+    found = F.regexp_extract(F.coalesce(col(c), F.lit("")), r"(?sm)^---\s*\n.*?id:\s*([^\n]+).*?\n---", 1)
+    return F.when(found != "", strip(found))
 
 
 def wikilinks(c: str | Column) -> Column:
     """Targets of [[target]] and [[target|alias]], in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"), F.lit(1)), lambda x: F.trim(x))
+    return F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit(r"\[\[([^\|\]]+)(?:\|[^\]]+)?\]\]"), F.lit(1))
 
 
 def structure_path(struct: str, joiner: str = " › ") -> Column:
-    return F.concat_ws(joiner, *[F.col(f"{struct}.{level}") for level in LEVELS])
+    """The headings above a chunk; a dash where there are none."""
+    path = F.concat_ws(joiner, *[F.col(f"{struct}.{level}") for level in LEVELS])
+    return F.when(path == "", F.lit("—")).otherwise(path)
+
+
+def length_label(least: str | Column, most: str | Column) -> Column:
+    """'min–max'."""
+    return F.concat(col(least).cast("string"), F.lit("–"), col(most).cast("string"))
 
 
 def edge_label(source: str | Column, kind: str | Column, target: str | Column) -> Column:
     return F.format_string("%s ==[%s]==> %s", col(source), col(kind), col(target))
 
 
-def unescape(c: Column) -> Column:
-    """The text with the entities of the five marked characters decoded, & last."""
-    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(mark))
-    return c
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _entities(parts: pd.Series) -> pd.Series:
+    return parts.map(lambda xs: None if xs is None else [html.unescape(x) for x in xs])
+
+
+def unescape(parts: Column) -> Column:
+    """An array of texts with all character references decoded; arrays without & stay in the JVM."""
+    marked = F.exists(parts, lambda p: F.contains(p, F.lit("&")))
+    return F.coalesce(_entities(F.when(marked, parts)), parts)
 
 
 def html_paragraphs(c: str | Column, least: int = 20) -> Column:
-    """Text of <p> elements longer than `least` characters; scripts and styles are removed first."""
-    bare = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
-    parts = F.slice(F.split(bare, "<p(?: [^>]*)?>"), 2, 1_000_000)
-    plain = F.transform(parts, lambda p: F.trim(unescape(F.regexp_replace(p, "<[^>]+>", ""))))
-    return F.filter(plain, lambda p: F.length(p) > least)
+    """Text of <p> elements longer than `least` characters: tags in any case, character references decoded.
+
+    An element ends at </p>, at the next <p> or at the end; scripts, styles and comments are removed first,
+    and of a paragraph's text each part between tags is stripped."""
+    bare = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    parts = F.split(bare, r"(?i)<p(?=[\s>/])[^>]*>")
+    inner = F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: F.split(p, r"(?i)</p\s*>")[0])
+    plain = unescape(F.transform(inner, lambda p: F.array_join(F.transform(F.split(p, r"<[^>]+>"), lambda x: strip(x)), "")))
+    return F.filter(F.transform(plain, lambda p: strip(p)), lambda p: F.length(p) > least)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.functions.text import wikilinks, yaml_id
+
 
 def null_counts(df: DataFrame, name: str) -> DataFrame:
     """(table_name, column_name, n_null) for every column, in one pass."""
@@ -66,23 +68,28 @@ def validate_relations(edges: DataFrame, nodes: DataFrame, allowed: tuple[str, .
     return rows.select("source", "target", "relationship_type", "n_rows", reject_reason(rules).alias("reason"))
 
 
-def validate_wiki(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Checks of a set of pages (note, page_id, body) against the known ids: (check_name, n).
-
-    files, links, broken links, duplicate ids, unknown ids, pages that nothing links to (with and without Home)."""
-    from lamina.functions.text import wikilinks
+def validate_wiki(pages: DataFrame, nodes: DataFrame, relations: DataFrame, kinds: tuple[str, str, str] = ("RuiRo", "MITIGATES", "OBSERVED_AS")) -> DataFrame:
+    """Nine checks of a wiki against its entities and relations: (check_name, n).
 
-    links = pages.select(F.col("note").alias("src"), F.explode(wikilinks("body")).alias("dst"))
+    `pages` has note and body (with a YAML id), `nodes` id and type, `relations` source_id, relationship_type, target_id.
+    Counted are files, links, links to no page, ids that occur repeatedly, pages (Home aside) with an id that no entity has,
+    relations without a known source, without a known target, entities of the first kind that no relation of the second
+    goes to, that none of the third comes from, and pages without any link in or out, with and without those of Home."""
+    kind, into, outof = kinds
     notes = pages.select(F.col("note").alias("dst")).distinct()
-    ids = nodes.select(F.col("id").alias("page_id")).distinct()
-    linked = links.filter("src <> dst").select("dst").distinct()
-    body_linked = links.filter("src <> dst AND src <> 'Home'").select("dst").distinct()
-    others = notes.filter("dst <> 'Home'")
+    found = pages.select("note", "body", yaml_id("body").alias("page_id"))
+    links = found.select(F.col("note").alias("src"), F.explode(wikilinks("body")).alias("dst"))
+    ids = nodes.select("id").distinct()
+    named = found.filter("page_id IS NOT NULL AND page_id <> 'HOME'")
+    missing = lambda c: relations.join(ids, F.col(c) == F.col("id"), "left_anti")
+    ours = nodes.filter(F.col("type") == kind).select("id").distinct()
+    touched = lambda name, c: ours.join(relations.filter(F.col("relationship_type") == name).select(F.col(c).alias("id")), "id", "left_anti")
+    lonely = lambda some: notes.filter("dst <> 'Home'").join(some.select("dst"), "dst", "left_anti").join(some.select(F.col("src").alias("dst")), "dst", "left_anti")
     parts = [
-        ("files", pages), ("links", links), ("broken_links", links.join(notes, "dst", "left_anti")),
-        ("duplicate_ids", pages.filter("page_id IS NOT NULL").groupBy("page_id").count().filter("count > 1")),
-        ("unknown_ids", pages.filter("page_id IS NOT NULL").join(ids, "page_id", "left_anti")),
-        ("orphans", others.join(linked, "dst", "left_anti")), ("orphans_without_home", others.join(body_linked, "dst", "left_anti")),
+        ("files", pages), ("links", links), ("broken_links", links.join(notes, "dst", "left_anti")), ("duplicate_ids", nodes.groupBy("id").count().filter("count > 1")),
+        ("unknown_ids", named.join(ids.withColumnRenamed("id", "page_id"), "page_id", "left_anti")), ("unknown_sources", missing("source_id")), ("unknown_targets", missing("target_id")),
+        ("without_" + into, touched(into, "target_id")), ("without_" + outof, touched(outof, "source_id")),
+        ("orphans", lonely(links)), ("orphans_without_home", lonely(links.filter("src <> 'Home' AND dst <> 'Home'"))),
     ]
     out = finding(*parts[0])
     for part in parts[1:]:

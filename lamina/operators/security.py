@@ -10,8 +10,8 @@ from lamina.functions.text import col
 
 # The roles, and keywords that restrict a text to some of them, in order of precedence.
 ROLES = ("Admin", "HR", "Risk_Manager", "Staff", "Guest")
-HR_WORDS = ("nhân sự", "tuyển dụng", "tiền lương", "lương thưởng", "bảng lương", "kỷ luật", "sa thải", "bổ nhiệm", "miễn nhiệm", "hợp đồng lao động")
-RISK_WORDS = ("rủi ro", "nợ xấu", "dự phòng", "thanh khoản", "tín dụng", "bảo đảm", "kiểm toán", "kiểm soát nội bộ", "an toàn vốn", "rửa tiền", "gian lận")
+HR_WORDS = ("bảo hiểm", "nhân sự", "lương", "thưởng", "tuyển dụng", "bổ nhiệm", "lao động", "tập sự", "kỷ luật", "người lao động")
+RISK_WORDS = ("tín dụng", "rủi ro", "hạn mức", "phê duyệt", "cho vay", "tài sản bảo đảm", "tỷ lệ an toàn vốn", "ngoại hối", "quản lý dự trữ", "đầu tư gián tiếp", "thẩm định")
 HR_ROLES, RISK_ROLES = ("Admin", "HR"), ("Admin", "Risk_Manager", "Staff")
 
 
@@ -24,7 +24,7 @@ def _any_word(text: Column, words: tuple[str, ...]) -> Column:
 
 def allowed_roles(title: str | Column, text: str | Column) -> Column:
     """Roles that may see a row, by the first class of keywords that its title or text holds."""
-    both = F.lower(F.concat_ws(" ", F.coalesce(col(title), F.lit("")), F.coalesce(col(text), F.lit(""))))
+    both = F.lower(F.concat(F.coalesce(col(title), F.lit("")), F.lit(" "), F.coalesce(col(text), F.lit(""))))
     roles = lambda names: F.array(*[F.lit(x) for x in names])
     return F.when(_any_word(both, HR_WORDS), roles(HR_ROLES)).when(_any_word(both, RISK_WORDS), roles(RISK_ROLES)).otherwise(roles(ROLES))
 
@@ -60,11 +60,23 @@ def group_roles(tagged: DataFrame, key: str, roles: str = "roles") -> DataFrame:
     return tagged.select(key, F.explode(roles).alias("role")).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
 
 
-def leakage(cases: DataFrame, forbidden: DataFrame, permitted: DataFrame) -> DataFrame:
-    """Per case: leaked (target among what unauthorised roles got), found (among what authorised ones got), passed.
+def tag_audit(tagged: DataFrame, key: str, roles: str = "roles") -> DataFrame:
+    """Per role pattern: rows, and its first row by key as a sample; rows without any role stand under an empty pattern."""
+    return tagged.groupBy(F.array_join(F.coalesce(F.col(roles), F.array().cast("array<string>")), ",").alias("pattern")).agg(F.count("*").alias("n"), F.min(key).alias("sample"))
 
-    `cases` has query_id and target; the two result sets have query_id and id."""
-    hits = lambda df, name: cases.join(df.select("query_id", F.col("id").alias("target")), ["query_id", "target"]).select("query_id", F.lit(True).alias(name)).distinct()
-    rows = cases.join(hits(forbidden, "leaked"), "query_id", "left").join(hits(permitted, "found"), "query_id", "left")
-    rows = rows.withColumn("leaked", F.coalesce("leaked", F.lit(False))).withColumn("found", F.coalesce("found", F.lit(False)))
-    return rows.select("query_id", "target", "leaked", "found", (~F.col("leaked") & F.col("found")).alias("passed"))
+
+def leakage(cases: DataFrame, unauthorised: DataFrame, authorised: DataFrame) -> DataFrame:
+    """Per case: how many rows either side got, leaked (the target is among what unauthorised roles got), found (among what authorised
+    ones got), passed (found and not leaked).
+
+    `cases` has query_id, target and by_chunk; the results have query_id, id and document, all as text.  A target
+    is a chunk's id where by_chunk holds, else a document's, of which any chunk counts."""
+
+    def side(df: DataFrame, name: str, count: str) -> DataFrame:
+        met = cases.select("query_id", "target", "by_chunk").join(df, "query_id")
+        is_it = F.when(F.col("by_chunk"), F.col("id") == F.col("target")).otherwise(F.col("document") == F.col("target"))
+        return met.groupBy("query_id").agg(F.max(F.coalesce(is_it, F.lit(False))).alias(name), F.count("*").alias(count))
+
+    rows = cases.join(side(unauthorised, "leaked", "n_unauthorised"), "query_id", "left").join(side(authorised, "found", "n_authorised"), "query_id", "left")
+    rows = rows.fillna(False, ["leaked", "found"]).fillna(0, ["n_unauthorised", "n_authorised"])
+    return rows.select("query_id", "target", "n_unauthorised", "n_authorised", "leaked", "found", (~F.col("leaked") & F.col("found")).alias("passed"))

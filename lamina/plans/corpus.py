@@ -2,59 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions import text as t
 from lamina.operators import answers, chunking, hierarchy, quality
-from lamina.sources import files, table
+from lamina.plans.retrieval import children
+from lamina.plans.sql import BLANK, CHILD, NORM, SQUEEZED, STRIP, WORDS, windows_sql
+from lamina.sources import files, spread, table
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.page_documents(spread(table(spark, d, "raw_pages").select("source", "page", "text", "ocr_used")))
 
 
 def fixed_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """C01 over all documents."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return chunking.fixed_chunks(docs, key="doc_id").select("doc_id", "number", "start", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    """C01, F06, F07 over all scanned documents."""
+    rows = chunking.fixed_chunks(_pages(spark, d))
+    return rows.select("source", "number", "chunk_id", "page_start", "page_end", "start", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
 def joined_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages of each source as one text, with the places where pages end."""
-    rows = chunking.join_pages(table(spark, d, "raw_pages").filter("source IS NOT NULL AND page IS NOT NULL"))
-    return rows.select("source", F.size("page_numbers").alias("n_pages"), F.length("text").alias("n_chars"), F.element_at("page_ends", -1).alias("last_end"))
+    rows = chunking.join_pages(_pages(spark, d))
+    return rows.select("source", "page_count", "ocr_used", F.length("text").alias("n_chars"), F.element_at("page_ends", -1).alias("last_end"))
 
 
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Chunk lengths by source and strategy."""
-    return chunking.chunk_statistics(table(spark, d, "chunks"), ["source", "strategy"])
+    """Chunk lengths by source and strategy."""
+    rows = chunking.chunk_statistics(table(spark, d, "chunks"), ["source", "strategy"])
+    return rows.withColumn("label", t.length_label("length_min", "length_max"))
+
+
+def _solid(c: str) -> Column:
+    return F.length(F.regexp_replace(c, f"[{t.SPACE}]", ""))
+
+
+def _kept(rows: DataFrame, short: Column) -> DataFrame:
+    """Per source: what must hold of its chunks, and the characters they hold, white space aside."""
+    return rows.groupBy("source").agg(
+        F.sum(_solid("text")).alias("solid"), F.min(short).alias("within_limit"), (F.max("number") == F.count("*")).alias("numbered"),
+        F.min((F.col("page_start") >= 1) & (F.col("page_end") >= F.col("page_start"))).alias("pages_in_order"), F.max("page_end").alias("last_page"),
+    )
 
 
 def semantic_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """C02 over all scanned documents; sequential, so without SQL."""
-    docs = chunking.join_pages(table(spark, d, "raw_pages").filter("source IS NOT NULL AND page IS NOT NULL"))
-    return chunking.semantic_chunks(docs).select("source", "number", F.length("text").alias("n"))
+    """C02 over all scanned documents: no character is lost, none is over the limit, numbers and pages are in order."""
+    return _kept(chunking.semantic_chunks(_pages(spark, d)), F.length("text") <= 1200).select("source", "solid", "within_limit", "numbered", "pages_in_order")
 
 
 def hierarchical_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """C03 over all documents; sequential, so without SQL."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source"), "text")
-    return chunking.hierarchical_chunks(docs).select("source", "number", "article", "clause", F.length("text").alias("n"))
+    """C03 over all scanned documents: the same, but that a heading line is never cut; and the headings found."""
+    rows = chunking.hierarchical_chunks(_pages(spark, d))
+    kept = _kept(rows, (F.length("text") <= 1200) | ~F.contains("text", F.lit("\n")))
+    found = rows.groupBy("source").agg(F.count_distinct("structure.article").alias("n_articles"), F.max(F.col("warning").isNotNull()).alias("no_heading"))
+    return kept.join(found, "source").select("source", "solid", "within_limit", "numbered", "pages_in_order", "last_page", "n_articles", "no_heading")
 
 
 def text_flags(spark: SparkSession, d: str) -> DataFrame:
     """F04 over pages."""
-    pages = table(spark, d, "raw_pages").select("page_id", F.explode(t.text_problems("text")).alias("flag")).distinct()
+    pages = spread(table(spark, d, "raw_pages")).select("page_id", F.explode(t.text_problems(t.normalise("text"))).alias("flag")).distinct()
     return pages.groupBy("flag").agg(F.count("*").alias("n"))
 
 
+def dry_run(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that would be read by OCR, with their bad pages."""
+    rows = files.dry_run(spread(table(spark, d, "raw_pages")).filter("source IS NOT NULL AND page IS NOT NULL").withColumn("text", t.normalise("text")))
+    return rows.select("source", "would_use_ocr", F.array_join("bad_pages", ",").alias("bad_pages"), "n_pages")
+
+
 def token_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Tokens, distinct terms and mean length per source of documents."""
-    rows = table(spark, d, "documents").filter("text IS NOT NULL").select("source", t.tokens("text").alias("w"))
+    rows = spread(table(spark, d, "documents").select("source", "text")).filter("text IS NOT NULL").select("source", t.tokens("text").alias("w"))
     return rows.groupBy("source").agg(F.sum(F.size("w")).alias("n_tokens"), F.round(F.avg(F.size("w")), 4).alias("mean_tokens"), F.count("*").alias("n_documents"))
 
 
 def squeezed_titles(spark: SparkSession, d: str) -> DataFrame:
     """titles in plain form, and whether they name a loan."""
     rows = table(spark, d, "documents")
-    return rows.select("doc_id", t.squeeze("title").alias("title"), F.coalesce(t.contains_folded("title", "KHOẢN VAY"), F.lit(False)).alias("names_loan"))
+    return rows.select("doc_id", t.squeeze("title").alias("title"), t.preview(t.normalise("text")).alias("preview"), F.coalesce(t.contains_folded("title", "KHOẢN VAY"), F.lit(False)).alias("names_loan"))
 
 
 def composed_differs(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +90,9 @@ def composed_differs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_headings(spark: SparkSession, d: str) -> DataFrame:
-    """F05 over all lines of chunks."""
-    lines = table(spark, d, "chunks").filter("text IS NOT NULL").select("chunk_id", F.explode(F.split("text", "\n")).alias("line"))
+    """F05 over all lines of chunks and pages."""
+    rows = table(spark, d, "chunks").select("text").unionByName(table(spark, d, "raw_pages").select("text"))
+    lines = spread(rows).filter("text IS NOT NULL").select(F.explode(F.split("text", t.LINE_END)).alias("line"))
     return lines.select(t.heading_level("line").alias("level")).filter("level IS NOT NULL").groupBy("level").agg(F.count("*").alias("n"))
 
 
@@ -76,59 +103,64 @@ def legal_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_problems(spark: SparkSession, d: str) -> DataFrame:
-    """Chunk records by problem."""
+    """Chunk records by problem."""
     rows = quality.validate_chunks(table(spark, d, "chunks"), files.STRATEGIES)
     return rows.groupBy(F.coalesce("problem", F.lit("valid")).alias("problem")).agg(F.count("*").alias("n"))
 
 
-def _children(spark: SparkSession, d: str) -> DataFrame:
-    one = table(spark, d, "chunks").filter("strategy = 'hierarchical' AND chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
-    return hierarchy.resolve_hierarchy(one.withColumn("meta_chapter", F.col("structure.chapter")).withColumn("meta_article", F.col("structure.article")))
+def loader_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What loading the semantic chunks counts."""
+    rows = quality.validate_chunks(table(spark, d, "chunks"), files.STRATEGIES).withColumn("file", F.col("source"))
+    return files.loader_statistics(rows, "semantic")
 
 
 def hierarchy_children(spark: SparkSession, d: str) -> DataFrame:
-    """C08, W12."""
-    return _children(spark, d).select("chunk_id", "source", "number", "chapter", "article", "method", "ambiguous")
+    """C08, W12, F08, F09."""
+    rows = children(spark, d)
+    return rows.select("chunk_id", "source", "number", "chapter", "article", "clause", "point", "method", "ambiguous", F.array_join("warnings", "; ").alias("warnings"))
 
 
 def parent_windows(spark: SparkSession, d: str) -> DataFrame:
     """C09, A11, F10."""
-    return hierarchy.parent_windows(_children(spark, d), 2000)
+    rows = hierarchy.parent_windows(children(spark, d), 2000)
+    return rows.withColumn("child_ids", F.array_join("child_ids", ",")).withColumn("text", F.md5("text"))
 
 
 def hierarchy_audit(spark: SparkSession, d: str) -> DataFrame:
     """A09, A10, M13."""
-    children = _children(spark, d)
-    return hierarchy.hierarchy_audit(children, hierarchy.parent_windows(children, 2000))
+    rows = children(spark, d)
+    return hierarchy.hierarchy_audit(rows, hierarchy.parent_windows(rows, 2000))
 
 
 def _html(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as HTML: each line a paragraph, tags in either case, text between paragraphs that is none."""
     docs = table(spark, d, "documents").filter("text IS NOT NULL")
     text = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    page = F.concat(F.lit("<html><script>var p = '<p>';</script><p>"), F.replace(text, F.lit("\n"), F.lit('</p>\n<p class="x">')), F.lit("</p></html>"))
+    page = F.concat(F.lit("<html><script>var p = '<p>';</script>đầu trang không thuộc đoạn nào<P>"), F.replace(text, F.lit("\n"), F.lit('</P>phần đứng ngoài mọi đoạn văn<p class="x">')), F.lit("</p>cuối trang không thuộc đoạn nào</html>"))
     return chunking.html_chunks(docs.select("doc_id", page.alias("html")), "doc_id", "html")
 
 
 def html_chunks(spark: SparkSession, d: str) -> DataFrame:
     """F29, C05."""
-    return _html(spark, d).select("doc_id", "number", "chunk_id", F.length("text").alias("n"))
+    return _html(spark, d).select("doc_id", "number", "chunk_id", F.md5("text").alias("digest"))
 
 
 def chunk_edges(spark: SparkSession, d: str) -> DataFrame:
     """NEXT and PARENT_OF edges per document."""
-    rows = _html(spark, d)
+    rows = _html(spark, d).select("doc_id", "number", "chunk_id")
     a = chunking.next_edges(rows, "doc_id", "number", "chunk_id").withColumn("kind", F.lit("NEXT"))
     b = chunking.parent_edges(rows, "doc_id", "number", "chunk_id").withColumn("kind", F.lit("PARENT_OF"))
     return a.unionByName(b)
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    """Displays of chunks."""
+    """Displays of chunks."""
     rows = table(spark, d, "chunks").filter("page_start IS NOT NULL AND page_end IS NOT NULL AND source IS NOT NULL")
+    number = t.trailing_number(F.col("chunk_id"))
     return rows.select(
         "chunk_id", t.citation("source", "page_start", "page_end", "chunk_id").alias("display"), t.page_label("page_start", "page_end").alias("pages"),
-        t.trailing_number("chunk_id").alias("number"), t.structure_path("structure").alias("path"),
-        F.format_string("p.%d-%d (%.2f)", "page_start", "page_end", F.lit(0.5)).alias("short_display"),
+        number.alias("number"), t.structure_path("structure").alias("path"), t.chunk_id(t.file_stem("source"), "strategy", number).alias("made_id"),
+        t.scored_citation(F.lit("E1"), "source", "page_start", "page_end", F.lit(0.5)).alias("short_display"),
     ).distinct()
 
 
@@ -140,102 +172,107 @@ def variant_filter(spark: SparkSession, d: str) -> DataFrame:
     return answers.filter_variants(ask, near, 4)
 
 
-def cited_answers(spark: SparkSession, d: str) -> DataFrame:
-    """F32: labels in answers made citations; labels of nothing go."""
-    rows = spark.createDataFrame([(1, "Theo [E1] và [E2], xem [E99] rồi [E1]."), (2, "Không có nguồn [E7]."), (3, "Không nhãn.")], "query_id long, answer string")
-    known = spark.createDataFrame([(1, "E1", "<a>"), (1, "E2", "<b>"), (2, "E1", "<c>")], "query_id long, label string, display string")
-    return answers.cite(rows, known)
-
-
 def wiki_checks(spark: SparkSession, d: str) -> DataFrame:
-    """C11, F22, F23, M09, A23 on pages made from nations and their customers' segments."""
-    nation = table(spark, d, "nation").withColumn("id", F.col("n_nationkey").cast("string"))
-    region = F.col("n_regionkey").cast("string")
-    body = F.concat(F.lit("[["), ((F.col("n_nationkey") + 1) % 27).cast("string"), F.lit("|next]] [["), region, F.lit("]]"))
-    pages = nation.select(F.col("id").alias("note"), F.col("id").alias("page_id"), body.alias("body"))
-    return quality.validate_wiki(pages, nation.filter("n_nationkey < 20").select("id"))
+    """C11, F22, F23, M09, A23 on a wiki of all laws: each page links along the law's relations, Home to some pages; some pages
+    have ids that no law has."""
+    laws = table(spark, d, "law_metadata").filter("id IS NOT NULL").select("id").distinct()
+    rels = table(spark, d, "doc_relations").filter("other_doc_id <> ''").select(F.col("doc_id").alias("source_id"), F.coalesce("relationship_type", F.lit("")).alias("relationship_type"), F.col("other_doc_id").alias("target_id")).distinct()
+    lines = rels.groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- [["), "target_id", F.lit("|"), "relationship_type", F.lit("x]]")))), "\n").alias("l"))
+    stated = F.when(F.col("id").endswith("3"), F.concat(F.lit("X"), "id")).otherwise(F.col("id"))
+    body = F.concat(F.lit("---\ntype: VanBan\nid: "), stated, F.lit("\n---\n\n# "), "id", F.lit("\n"), F.coalesce("l", F.lit("")))
+    pages = laws.join(lines, "id", "left").select(F.col("id").alias("note"), body.alias("body"))
+    home = laws.filter(F.col("id").endswith("7")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("[["), "id", F.lit("]]")))), " ").alias("l"))
+    pages = pages.unionByName(home.select(F.lit("Home").alias("note"), F.concat(F.lit("---\nid: HOME\n---\n"), "l").alias("body")))
+    nodes = table(spark, d, "law_metadata").filter("id IS NOT NULL").select("id", F.lit("VanBan").alias("type"))
+    return quality.validate_wiki(pages, nodes, rels, ("VanBan", "SUA_DOI_BO_SUNG", "CAN_CU"))
 
 
 def formatted_values(spark: SparkSession, d: str) -> DataFrame:
-    """Display forms of orders and customers."""
+    """Display forms of customers."""
     c = table(spark, d, "customer")
     return c.select(
-        "c_custkey", t.money(F.round(F.col("c_acctbal") * 1000).cast("long")).alias("balance"), t.entity_title(F.col("c_custkey").cast("string"), "c_name").alias("title"),
-        t.file_name(F.concat("c_name", F.lit(':"?'))).alias("file"), t.edge_label("c_name", F.lit("IN"), "c_mktsegment").alias("label"),
+        "c_custkey", t.money(F.col("c_acctbal") * 1000).alias("balance"), t.money("c_name").alias("no_number"), t.entity_title(F.col("c_custkey").cast("string"), "c_name").alias("title"),
+        t.file_name(F.concat(F.lit("\t "), "c_name", F.lit(':"?'))).alias("file"), t.edge_label("c_name", F.lit("IN"), "c_mktsegment").alias("label"),
     )
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        fixed_chunks, joined_pages, chunk_stats, semantic_chunks, hierarchical_chunks, text_flags, token_statistics, squeezed_titles, composed_differs, line_headings, legal_refs, chunk_problems,
-        hierarchy_children, parent_windows, hierarchy_audit, html_chunks, chunk_edges, citations, variant_filter, cited_answers, wiki_checks, formatted_values,
+        fixed_chunks, joined_pages, chunk_stats, semantic_chunks, hierarchical_chunks, text_flags, dry_run, token_statistics, squeezed_titles, composed_differs, line_headings, legal_refs, chunk_problems,
+        loader_statistics, hierarchy_children, parent_windows, hierarchy_audit, html_chunks, chunk_edges, citations, variant_filter, wiki_checks, formatted_values,
     )
 }
 
-_CHILD = r"""one AS (SELECT DISTINCT ON (chunk_id) chunk_id, source, text, page_start, page_end, structure.chapter AS c0, structure.article AS a0 FROM chunks WHERE strategy = 'hierarchical'),
-r0 AS (SELECT *, coalesce(try_cast(nullif(regexp_extract(chunk_id, ':([0-9]+)$', 1), '') AS INT), 0) AS number, nullif(trim(c0), '') AS mc, nullif(trim(a0), '') AS ma,
-  nullif(regexp_extract(coalesce(text, ''), '(?i)^(Chương [IVXLCDM]+|Điều [0-9]+)', 1), '') AS h FROM one),
-r1 AS (SELECT *, CASE WHEN lower(h) LIKE 'điều%' THEN h END AS ha, CASE WHEN lower(h) NOT LIKE 'điều%' THEN h END AS hc, mc IS NOT NULL OR ma IS NOT NULL AS hm FROM r0),
-r2 AS (SELECT *, CASE WHEN hm THEN mc ELSE hc END AS oc, CASE WHEN hm THEN ma ELSE ha END AS oa FROM r1),
-r3 AS (SELECT *, last_value(oc IGNORE NULLS) OVER w AS cc, last_value(oa IGNORE NULLS) OVER w AS ca FROM r2 WINDOW w AS (PARTITION BY source ORDER BY number, chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-ch AS (SELECT chunk_id, source, number, CASE WHEN hm OR h IS NOT NULL THEN coalesce(oc, cc) ELSE cc END AS chapter, CASE WHEN hm OR h IS NOT NULL THEN oa ELSE ca END AS article,
-  CASE WHEN hm THEN 'metadata' WHEN h IS NOT NULL THEN 'inferred' WHEN cc IS NOT NULL OR ca IS NOT NULL THEN 'carried' ELSE 'fallback' END AS method,
-  coalesce(hm AND ha IS NOT NULL AND ma IS NOT NULL AND lower(ha) <> lower(ma), FALSE) AS ambiguous, text, page_start, page_end FROM r3)"""
-_WINDOWS = f"""{_CHILD},
-k AS (SELECT *, coalesce(article, 'document_fallback') AS article_key, length(text) AS n, row_number() OVER (PARTITION BY source, coalesce(article, 'document_fallback') ORDER BY number, chunk_id) AS i FROM ch WHERE text IS NOT NULL),
-f AS (SELECT source, article_key, i, chunk_id, 0 AS w, n::BIGINT AS used FROM k WHERE i = 1
-  UNION ALL SELECT k.source, k.article_key, k.i, k.chunk_id, CASE WHEN f.used + 1 + k.n > 2000 THEN f.w + 1 ELSE f.w END, CASE WHEN f.used + 1 + k.n > 2000 THEN k.n ELSE f.used + 1 + k.n END
-  FROM f JOIN k ON k.source IS NOT DISTINCT FROM f.source AND k.article_key = f.article_key AND k.i = f.i + 1),
-pw AS (SELECT k.source, k.article_key, f.w AS window_index, min(page_start) AS page_start, max(page_end) AS page_end, count(*) AS n_children, string_agg(k.chunk_id, ',' ORDER BY number, k.chunk_id) AS child_ids,
-  sum(n) + count(*) - 1 AS char_count, sum(ambiguous::INT) AS ambiguous_count FROM f JOIN k ON k.source IS NOT DISTINCT FROM f.source AND k.article_key = f.article_key AND k.i = f.i GROUP BY 1, 2, 3)"""
-_HTML = r"""docs AS (SELECT doc_id, '<html><script>var p = ''<p>'';</script><p>' || replace(text, chr(10), '</p>' || chr(10) || '<p class="x">') || '</p></html>' AS html FROM documents WHERE text IS NOT NULL AND NOT contains(text, '<')),
-parts AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<p(?: [^>]*)?>')[2:], lambda p: trim(regexp_replace(p, '<[^>]+>', '', 'g'), ' ')), lambda p: length(p) > 20) AS ps FROM docs),
-hc AS (SELECT doc_id, i - 1 AS number, doc_id || '_chunk_' || (i - 1) AS chunk_id, ps[i] AS text FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM parts))"""
+_HTML = f"""lines AS (SELECT doc_id, i, {STRIP.format('x')} AS text FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+hc AS (SELECT doc_id, r AS number, doc_id || '_chunk_' || r AS chunk_id, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS r FROM lines WHERE length(text) > 20))"""
+_PG = f"""pg AS (SELECT source, page, max(coalesce({NORM.format('text')}, '')) AS text, bool_or(coalesce(ocr_used, FALSE)) AS ocr FROM raw_pages WHERE source IS NOT NULL AND page IS NOT NULL GROUP BY source, page),
+ds AS (SELECT source, count(*) AS page_count, bool_or(ocr) AS ocr_used, max(page) AS last_page, string_agg(text, chr(10) || chr(10) ORDER BY page) AS text FROM pg GROUP BY source),
+pe AS (SELECT *, sum(length(text) + 2) OVER (PARTITION BY source ORDER BY page) - 2 AS e FROM pg)"""
+_LINES = r"regexp_split_to_array({}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{{2028}}\x{{2029}}]')"
+
+
+def _level(line: str) -> str:
+    end = r"([^\p{L}\p{N}_]|$)"
+    tests = [
+        ("chapter", rf"(?i)^{BLANK}*(CHƯƠNG|PHẦN){BLANK}+[IVXLCDM0-9]+{end}"), ("section", rf"(?i)^{BLANK}*MỤC{BLANK}+[IVXLCDM0-9]+{end}"), ("article", rf"(?i)^{BLANK}*ĐIỀU{BLANK}+\p{{Nd}}+{end}"),
+        ("clause", rf"^{BLANK}*\p{{Nd}}+\.{BLANK}+."), ("point", rf"(?i)^{BLANK}*[a-zđ]\){BLANK}+."),
+    ]
+    return "CASE " + " ".join(f"WHEN regexp_matches({line}, '{x}') THEN '{name}'" for name, x in tests) + " END"
+
+
+_FLAG = rf"""fl AS (SELECT page_id, source, page, list_filter([CASE WHEN solid = 0 THEN '{t.FLAGS[0]}' END, CASE WHEN contains(x, chr(65533)) THEN '{t.FLAGS[1]}' END, CASE WHEN regexp_matches(x, 'Ã.|Ä.|Â.|\x{{fffd}}') THEN '{t.FLAGS[2]}' END,
+  CASE WHEN len(regexp_extract_all(regexp_replace(x, '([A-Za-zĐđ])', '\1\1', 'g'), '[A-Za-zĐđ]\p{{Nd}}[A-Za-zĐđ]')) >= 3 THEN '{t.FLAGS[3]}' END,
+  CASE WHEN len(list_filter(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+'), lambda y: regexp_full_match(y, '[A-Za-zĐđ]*[a-zđ][A-ZĐ][A-Za-zĐđ]*'))) >= 3 THEN '{t.FLAGS[4]}' END,
+  CASE WHEN solid > 0 AND length(x) - length(regexp_replace(x, '[\x00-\x08\x0b-\x1f]', '', 'g')) > 0.02 * solid THEN '{t.FLAGS[5]}' END], lambda z: z IS NOT NULL) AS flags
+  FROM (SELECT page_id, source, page, x, length(regexp_replace(x, '{BLANK}', '', 'g')) AS solid FROM (SELECT page_id, source, page, coalesce({NORM.format('text')}, '') AS x FROM raw_pages)))"""
+_WIKI = """laws AS (SELECT DISTINCT id FROM law_metadata WHERE id IS NOT NULL), rl AS (SELECT DISTINCT doc_id AS s, coalesce(relationship_type, '') AS k, other_doc_id AS t FROM doc_relations WHERE other_doc_id <> ''),
+lk AS (SELECT s AS src, t AS dst FROM rl JOIN laws ON s = id UNION ALL SELECT 'Home', id FROM laws WHERE id LIKE '%7'), nt AS (SELECT id AS note FROM laws UNION ALL SELECT 'Home')"""
 
 SQL = {
-    "fixed_chunks": r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS number, start, length(x) AS n, md5(x) AS digest FROM (
-  SELECT doc_id, start, regexp_replace(substr(text, start + 1, 1200), '^\s+|\s+$', '', 'g') AS x FROM (SELECT doc_id, text, unnest(range(0, length(text), 1050)) AS start FROM documents WHERE length(text) > 0)) WHERE x <> ''""",
-    "joined_pages": "SELECT source, count(*) AS n_pages, sum(length(x)) + 2 * (count(*) - 1) AS n_chars, sum(length(x)) + 2 * (count(*) - 1) AS last_end FROM (SELECT source, page, max(coalesce(text, '')) AS x FROM raw_pages WHERE source IS NOT NULL AND page IS NOT NULL GROUP BY 1, 2) GROUP BY source",
-    "chunk_stats": "SELECT source, strategy, count(text) AS chunk_count, coalesce(min(length(text)), 0) AS length_min, coalesce(max(length(text)), 0) AS length_max, coalesce(round(avg(length(text)), 2), 0) AS length_avg FROM chunks GROUP BY source, strategy",
-    "text_flags": r"""WITH p AS (SELECT DISTINCT page_id, coalesce(text, '') AS t FROM raw_pages), f AS (
-  SELECT page_id, 'empty' AS flag FROM p WHERE trim(t) = '' UNION SELECT page_id, 'replacement' FROM p WHERE contains(t, chr(65533))
-  UNION SELECT page_id, 'mojibake' FROM p WHERE regexp_matches(t, 'Ã.|Â.|á»|áº|Ä‘|â€')
-  UNION SELECT page_id, 'digits_in_words' FROM p WHERE len(regexp_extract_all(t, '\p{L}\d+\p{L}')) >= 3
-  UNION SELECT page_id, 'mixed_case' FROM p WHERE len(regexp_extract_all(t, '\p{Ll}\p{Lu}')) >= 3
-  UNION SELECT page_id, 'control' FROM p WHERE length(t) - length(regexp_replace(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')) > 0.02 * length(regexp_replace(t, '\s', '', 'g')))
-SELECT flag, count(*) AS n FROM f GROUP BY flag""",
-    "token_statistics": "SELECT source, sum(len(w)) AS n_tokens, round(avg(len(w)), 4) AS mean_tokens, count(*) AS n_documents FROM (SELECT source, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL) GROUP BY source",
-    "squeezed_titles": r"SELECT doc_id, trim(regexp_replace(coalesce(title, ''), '\s+', ' ', 'g')) AS title, coalesce(contains(lower(title), 'khoản vay'), FALSE) AS names_loan FROM documents",
-    "composed_differs": "SELECT DISTINCT chunk_id, length(text) AS stored, length(replace(nfc_normalize(text), chr(13), chr(10))) AS composed FROM chunks WHERE text <> replace(nfc_normalize(text), chr(13), chr(10))",
-    "line_headings": r"""SELECT level, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(line, '(?i)^\s*Chương\s+[IVXLCDM\d]+') THEN 'chapter' WHEN regexp_matches(line, '(?i)^\s*Mục\s+\d+') THEN 'section'
-  WHEN regexp_matches(line, '(?i)^\s*Điều\s+\d+') THEN 'article' WHEN regexp_matches(line, '^\s*\d+\.\s') THEN 'clause' WHEN regexp_matches(line, '(?i)^\s*[a-zđ]\)\s') THEN 'point' END AS level
-  FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM chunks WHERE text IS NOT NULL)) WHERE level IS NOT NULL GROUP BY level""",
+    "fixed_chunks": rf"""WITH {_PG}, st AS (SELECT source, page_count, ocr_used, text, unnest(range(0, length(text), 1050)) AS start FROM ds),
+  cu AS (SELECT *, {STRIP.format('substr(text, start + 1, 1200)')} AS x FROM st), nu AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY start) AS number FROM cu WHERE x <> ''),
+  pp AS (SELECT nu.source, nu.number, coalesce(min(pe.page), 1) AS p FROM nu LEFT JOIN pe ON pe.source = nu.source AND length(pe.text) > 0 AND pe.e > nu.start GROUP BY 1, 2)
+  SELECT source, number, regexp_replace(source, '(.)\.[^.]*$', '\1') || ':fixed-size:' || lpad(number::VARCHAR, greatest(4, length(number::VARCHAR))::INT, '0') AS chunk_id, CASE WHEN ocr_used THEN 1 ELSE p END AS page_start, CASE WHEN ocr_used THEN page_count ELSE p END AS page_end, start, length(x) AS n, md5(x) AS digest FROM nu JOIN pp USING (source, number)""",
+    "joined_pages": f"WITH {_PG} SELECT source, page_count, ocr_used, length(text) AS n_chars, length(text) AS last_end FROM ds",
+    "chunk_stats": "SELECT *, length_min || '–' || length_max AS label FROM (SELECT source, strategy, count(text) AS chunk_count, coalesce(min(length(text)), 0) AS length_min, coalesce(max(length(text)), 0) AS length_max, coalesce(round(avg(length(text)), 2), 0) AS length_avg FROM chunks GROUP BY source, strategy)",
+    "semantic_chunks": f"WITH {_PG} SELECT source, length(regexp_replace(text, '{BLANK}', '', 'g')) AS solid, TRUE AS within_limit, TRUE AS numbered, TRUE AS pages_in_order FROM ds WHERE regexp_replace(text, '{BLANK}', '', 'g') <> ''",
+    "hierarchical_chunks": f"""WITH {_PG}, ln AS (SELECT source, page, unnest({_LINES.format('text')}) AS line FROM pg), lv AS (SELECT source, {_level('line')} AS level, {STRIP.format('line')} AS line FROM ln),
+  ha AS (SELECT source, count(*) FILTER (level IS NOT NULL) AS n, count(DISTINCT line) FILTER (level = 'article') AS n_articles FROM lv GROUP BY source)
+  SELECT source, length(regexp_replace(text, '{BLANK}', '', 'g')) AS solid, TRUE AS within_limit, TRUE AS numbered, TRUE AS pages_in_order, CASE WHEN ocr_used THEN page_count ELSE last_page END AS last_page, n_articles, n = 0 AS no_heading FROM ds JOIN ha USING (source) WHERE regexp_replace(text, '{BLANK}', '', 'g') <> ''""",
+    "text_flags": f"WITH {_FLAG} SELECT flag, count(DISTINCT page_id) AS n FROM (SELECT page_id, unnest(flags) AS flag FROM fl) GROUP BY flag",
+    "dry_run": f"WITH {_FLAG}, p AS (SELECT source, page, bool_or(len(flags) > 0) AS bad FROM fl WHERE source IS NOT NULL AND page IS NOT NULL GROUP BY 1, 2) SELECT source, bool_or(bad) AS would_use_ocr, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (bad), '') AS bad_pages, count(*) AS n_pages FROM p GROUP BY source",
+    "token_statistics": f"SELECT source, sum(len(w)) AS n_tokens, round(avg(len(w)), 4) AS mean_tokens, count(*) AS n_documents FROM (SELECT source, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL) GROUP BY source",
+    "squeezed_titles": f"SELECT doc_id, {SQUEEZED.format('title')} AS title, replace(substr({NORM.format('text')}, 1, 100), chr(10), ' ') AS preview, coalesce(contains(lower(title), 'khoản vay'), FALSE) AS names_loan FROM documents",
+    "composed_differs": f"SELECT DISTINCT chunk_id, length(text) AS stored, length({NORM.format('text')}) AS composed FROM chunks WHERE text <> {NORM.format('text')}",
+    "line_headings": f"SELECT level, count(*) AS n FROM (SELECT {_level('line')} AS level FROM (SELECT unnest({_LINES.format('text')}) AS line FROM (SELECT text FROM chunks UNION ALL SELECT text FROM raw_pages) WHERE text IS NOT NULL)) WHERE level IS NOT NULL GROUP BY level",
     "legal_refs": r"SELECT reference, count(*) AS n, count(DISTINCT doc_id) AS n_documents FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '(điều|khoản|điểm|chương|thông tư|nghị định|luật)\s+\d+')) AS reference FROM documents) GROUP BY reference",
     "chunk_problems": """SELECT problem, count(*) AS n FROM (SELECT CASE WHEN trim(coalesce(text, '')) = '' THEN 'skipped_blank' WHEN chunk_id IS NULL OR source IS NULL OR strategy IS NULL THEN 'missing_field'
   WHEN strategy NOT IN ('fixed-size', 'semantic', 'hierarchical') THEN 'bad_strategy' WHEN page_start IS NULL OR page_end IS NULL THEN 'missing_page' WHEN page_start < 1 THEN 'bad_page' WHEN page_start > page_end THEN 'page_order' ELSE 'valid' END AS problem FROM chunks) GROUP BY problem""",
-    "hierarchy_children": f"WITH {_CHILD} SELECT chunk_id, source, number, chapter, article, method, ambiguous FROM ch",
-    "parent_windows": f"WITH RECURSIVE {_WINDOWS} SELECT pw.*, substr(sha256(concat_ws('_', source, article_key, window_index::VARCHAR)), 1, 12) AS parent_id, char_count > 2000 AS oversize FROM pw",
-    "hierarchy_audit": f"""WITH RECURSIVE {_WINDOWS} SELECT 'method:' || method AS metric, count(*)::DOUBLE AS value FROM ch GROUP BY method UNION ALL SELECT 'parent_min', min(char_count) FROM pw
-  UNION ALL SELECT 'parent_max', max(char_count) FROM pw UNION ALL SELECT 'parent_median', median(char_count) FROM pw UNION ALL SELECT 'parents', count(*) FROM pw UNION ALL SELECT 'ambiguous', count(*) FILTER (ambiguous) FROM ch""",
-    "html_chunks": f"WITH {_HTML} SELECT doc_id, number, chunk_id, length(text) AS n FROM hc",
+    "loader_statistics": """SELECT count(DISTINCT source) AS files, count(*) AS records, count(*) FILTER (strategy = 'semantic') AS selected, count(*) FILTER (strategy = 'semantic' AND trim(coalesce(text, '')) = '') AS empty,
+  count(*) FILTER (strategy = 'semantic' AND trim(coalesce(text, '')) <> '' AND chunk_id IS NOT NULL AND source IS NOT NULL AND page_start >= 1 AND page_end >= page_start) AS valid FROM chunks""",
+    "hierarchy_children": f"WITH {CHILD} SELECT chunk_id, source, number, chapter, article, clause, point, method, ambiguous, warnings FROM ch",
+    "parent_windows": f"WITH RECURSIVE {windows_sql(2000)} SELECT * REPLACE (md5(text) AS text) FROM pw",
+    "hierarchy_audit": f"""WITH RECURSIVE {windows_sql(2000)} SELECT 'method:' || method AS metric, count(*)::DOUBLE AS value FROM ch GROUP BY method UNION ALL SELECT 'parent_min', min(char_count) FROM pw
+  UNION ALL SELECT 'parent_max', max(char_count) FROM pw UNION ALL SELECT 'parent_median', median(char_count) FROM pw UNION ALL SELECT 'parents', count(*) FROM pw UNION ALL SELECT 'oversized_parents', count(*) FROM pw WHERE oversize
+  UNION ALL SELECT 'children', count(*) FROM ch UNION ALL SELECT 'ambiguous', count(*) FILTER (ambiguous) FROM ch UNION ALL SELECT 'warnings', sum(CASE WHEN warnings = '' THEN 0 ELSE len(string_split(warnings, '; ')) END) FROM ch""",
+    "html_chunks": f"WITH {_HTML} SELECT doc_id, number, chunk_id, md5(text) AS digest FROM hc",
     "chunk_edges": f"""WITH {_HTML}, o AS (SELECT *, lag(chunk_id) OVER w AS p, first_value(chunk_id) OVER w AS f, row_number() OVER w AS r FROM hc WINDOW w AS (PARTITION BY doc_id ORDER BY number, chunk_id))
   SELECT p AS src, chunk_id AS dst, 'NEXT' AS kind FROM o WHERE p IS NOT NULL UNION ALL SELECT f, chunk_id, 'PARENT_OF' FROM o WHERE r > 1""",
-    "citations": """SELECT DISTINCT chunk_id, '[Nguồn: ' || source || ', ' || pages || ', chunk: ' || chunk_id || ']' AS display, pages, coalesce(try_cast(nullif(regexp_extract(chunk_id, ':([0-9]+)$', 1), '') AS BIGINT), 0) AS number,
-  concat_ws(' › ', structure.chapter, structure.section, structure.article, structure.clause, structure.point) AS path, 'p.' || page_start || '-' || page_end || ' (0.50)' AS short_display
-  FROM (SELECT *, CASE WHEN page_start = page_end THEN 'tr. ' || page_start ELSE 'tr. ' || page_start || '-' || page_end END AS pages FROM chunks WHERE page_start IS NOT NULL AND page_end IS NOT NULL AND source IS NOT NULL)""",
-    "variant_filter": r"""WITH d AS (SELECT doc_id, title FROM documents WHERE title IS NOT NULL), b AS (SELECT doc_id AS query_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS q0 FROM d WHERE doc_id % 100 = 0),
-  c AS (SELECT floor(doc_id / 100) * 100 + 100 AS query_id, doc_id AS n, trim(regexp_replace(substr(title, 1, 60), '\s+', ' ', 'g')) AS text FROM d),
-  k AS (SELECT c.query_id::BIGINT AS query_id, n, text, replace(lower(text), 'ß', 'ss') AS folded FROM c JOIN b USING (query_id) WHERE text <> '' AND length(text) <= 60 AND replace(lower(text), 'ß', 'ss') <> replace(lower(q0), 'ß', 'ss')
+    "citations": r"""SELECT DISTINCT chunk_id, '[Nguồn: ' || source || ', ' || pages || ', chunk: ' || chunk_id || ']' AS display, pages, number, coalesce(nullif(concat_ws(' › ', structure.chapter, structure.section, structure.article, structure.clause, structure.point), ''), '—') AS path,
+  regexp_replace(source, '(.)\.[^.]*$', '\1') || ':' || strategy || ':' || lpad(number::VARCHAR, greatest(4, length(number::VARCHAR))::INT, '0') AS made_id, '[E1] Nguồn: ' || source || ' (p.' || page_start || '-' || page_end || ') - Rerank Score: 0.50' AS short_display
+  FROM (SELECT *, coalesce(try_cast(nullif(regexp_extract(chunk_id, ':([0-9]+)$', 1), '') AS BIGINT), 0) AS number, CASE WHEN page_start = page_end THEN 'tr. ' || page_start ELSE 'tr. ' || page_start || '-' || page_end END AS pages FROM chunks WHERE page_start IS NOT NULL AND page_end IS NOT NULL AND source IS NOT NULL)""",
+    "variant_filter": rf"""WITH d AS (SELECT doc_id, title FROM documents WHERE title IS NOT NULL), b AS (SELECT doc_id AS query_id, {SQUEEZED.format('title')} AS q0 FROM d WHERE doc_id % 100 = 0),
+  c AS (SELECT floor(doc_id / 100) * 100 + 100 AS query_id, doc_id AS n, {SQUEEZED.format('title')} AS text FROM d),
+  k AS (SELECT c.query_id::BIGINT AS query_id, n, text, replace(lower(text), 'ß', 'ss') AS folded FROM c JOIN b USING (query_id) WHERE text <> '' AND length(text) <= 300 AND replace(lower(text), 'ß', 'ss') <> replace(lower(q0), 'ß', 'ss')
     AND len(list_filter(regexp_extract_all(lower(text), 'điều\s+\d+'), lambda x: NOT list_contains(regexp_extract_all(lower(q0), 'điều\s+\d+'), x))) = 0),
   u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n) AS r FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY query_id, folded ORDER BY n) = 1))
   SELECT query_id, 'Q0' AS variant_id, q0 AS text FROM b UNION ALL SELECT query_id, 'Q' || r, text FROM u WHERE r < 4""",
-    "cited_answers": "SELECT * FROM (VALUES (1::BIGINT, 'Theo <a> và <b>, xem  rồi <a>.', 'E1,E2', 1), (2, 'Không có nguồn .', '', 1), (3, 'Không nhãn.', '', 0)) t(query_id, answer, citations, n_warnings)",
-    "wiki_checks": """WITH p AS (SELECT n_nationkey::VARCHAR AS note, n_nationkey::VARCHAR AS page_id, [((n_nationkey + 1) % 27)::VARCHAR, n_regionkey::VARCHAR] AS ls FROM nation),
-  l AS (SELECT note AS src, unnest(ls) AS dst FROM p), known AS (SELECT n_nationkey::VARCHAR AS id FROM nation WHERE n_nationkey < 20)
-  SELECT 'files' AS check_name, count(*) AS n FROM p UNION ALL SELECT 'links', count(*) FROM l UNION ALL SELECT 'broken_links', count(*) FROM l WHERE dst NOT IN (SELECT note FROM p)
-  UNION ALL SELECT 'duplicate_ids', count(*) FROM (SELECT page_id FROM p GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'unknown_ids', count(*) FROM p WHERE page_id NOT IN (SELECT id FROM known)
-  UNION ALL SELECT 'orphans', count(*) FROM p WHERE note NOT IN (SELECT dst FROM l WHERE src <> dst) UNION ALL SELECT 'orphans_without_home', count(*) FROM p WHERE note NOT IN (SELECT dst FROM l WHERE src <> dst AND src <> 'Home')""",
-    "formatted_values": """SELECT c_custkey, format('{:,}', round(c_acctbal * 1000)::BIGINT) || ' VND' AS balance, CASE WHEN trim(c_name) IN ('', c_custkey::VARCHAR) THEN c_custkey::VARCHAR ELSE c_custkey || ' - ' || trim(c_name) END AS title,
+    "wiki_checks": f"""WITH {_WIKI} SELECT 'files' AS check_name, count(*) AS n FROM nt UNION ALL SELECT 'links', count(*) FROM lk UNION ALL SELECT 'broken_links', count(*) FROM lk WHERE dst NOT IN (SELECT note FROM nt)
+  UNION ALL SELECT 'duplicate_ids', count(*) FROM (SELECT id FROM law_metadata WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'unknown_ids', count(*) FROM laws WHERE id LIKE '%3' AND 'X' || id NOT IN (SELECT id FROM laws)
+  UNION ALL SELECT 'unknown_sources', count(*) FROM rl WHERE s NOT IN (SELECT id FROM laws) UNION ALL SELECT 'unknown_targets', count(*) FROM rl WHERE t NOT IN (SELECT id FROM laws)
+  UNION ALL SELECT 'without_SUA_DOI_BO_SUNG', count(*) FROM laws WHERE id NOT IN (SELECT t FROM rl WHERE k = 'SUA_DOI_BO_SUNG') UNION ALL SELECT 'without_CAN_CU', count(*) FROM laws WHERE id NOT IN (SELECT s FROM rl WHERE k = 'CAN_CU')
+  UNION ALL SELECT 'orphans', count(*) FROM laws WHERE id NOT IN (SELECT src FROM lk) AND id NOT IN (SELECT dst FROM lk) UNION ALL SELECT 'orphans_without_home', count(*) FROM laws WHERE id NOT IN (SELECT src FROM lk) AND id NOT IN (SELECT dst FROM lk WHERE src <> 'Home')""",
+    "formatted_values": r"""SELECT c_custkey, format('{:,.0f}', c_acctbal * 1000) || ' VNĐ' AS balance, c_name || ' VNĐ' AS no_number, CASE WHEN trim(c_name) IN ('', c_custkey::VARCHAR) THEN c_custkey::VARCHAR ELSE c_custkey || ' - ' || trim(c_name) END AS title,
   trim(translate(c_name || ':"?', '<>:"/\\|?*', '_________')) AS file, c_name || ' ==[IN]==> ' || c_mktsegment AS label FROM customer""",
 }

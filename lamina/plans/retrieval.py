@@ -1,56 +1,75 @@
-"""Retrieval queries over documents and embeddings, and their SQL."""
+"""Retrieval queries over documents, chunks and embeddings, and their SQL.
+
+Every document whose id is divisible by 100 asks with its title, and every such vector with itself."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina import api
 from lamina.functions.scores import cosine_distance, vector_problem
-from lamina.functions.text import citation, squeeze
-from lamina.operators import answers, dense, fusion, lexical, metrics
+from lamina.functions.text import citation, scored_citation, squeeze, tokens
+from lamina.operators import answers, dense, fusion, hierarchy, lexical, metrics
+from lamina.plans.sql import FILLED, SQUEEZED, WORDS, windows_sql
+from lamina.session import cut_lineage, shared_folder
 from lamina.sources import spread, table
 
-QUESTIONS = (
-    (100, "Điều kiện bảo đảm tiền vay và tài sản bảo đảm là gì?"),
-    (200, "Khi phát hiện rủi ro thanh khoản phải báo cáo trong bao lâu?"),
-    (300, "When may a borrower request an extension of the loan?"),
-)
-VARIANTS = (
-    (100, "Q0", QUESTIONS[0][1]), (100, "Q1", "tài sản bảo đảm của khoản vay"), (100, "Q2", "thế chấp và bảo lãnh"),
-    (200, "Q0", QUESTIONS[1][1]), (200, "Q1", "thời hạn báo cáo rủi ro"), (300, "Q0", QUESTIONS[2][1]), (300, "Q1", "extension of months for the borrower"),
-)
+MODES = ("bm25", "semantic", "hybrid", "hybrid_rerank")
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that hold a token."""
+    rows = table(spark, d, "documents").filter("doc_id % 100 = 0 AND title IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
+    return rows.filter(F.size(tokens("question")) > 0)
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "query_id long, question string")
+_STORED: dict[tuple, lexical.Index] = {}
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents").select("doc_id", "text"))
+def stored_index(spark: SparkSession, d: str, name: str, corpus: DataFrame) -> lexical.Index:
+    """The index of a table's texts (id, text), written once per session and state of the table's files."""
+    files = spark.read.parquet(f"{d}/{name}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*files.columns)).alias("h")).first()
+    key = (spark.sparkContext.applicationId, d, name, state["n"], state["h"])
+    if key not in _STORED:
+        path = f"{shared_folder(spark)}/lamina-index-{hashlib.md5(repr(key).encode()).hexdigest()}"
+        lexical.write_index(corpus, "id", "text", path)
+        _STORED[key] = lexical.read_index(spark, path)
+    return _STORED[key]
 
 
-def bm25(spark: SparkSession, d: str, asked: DataFrame, k: int) -> DataFrame:
-    return lexical.top_k(lexical.bm25_scores(corpus(spark, d), asked, "doc_id", "text"), k)
+def documents_index(spark: SparkSession, d: str) -> lexical.Index:
+    return stored_index(spark, d, "documents", spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")))
+
+
+def bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return lexical.bm25_top_k(documents_index(spark, d), questions(spark, d), k)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """Ten best documents for one question."""
-    return bm25(spark, d, questions(spark).filter("query_id = 100"), 10).select("id", "score", "rank")
+    asked = spark.createDataFrame([(ONE,)], "question string").select(F.lit(1).cast("long").alias("query_id"), "question")
+    return lexical.bm25_top_k(documents_index(spark, d), api.check_questions(asked), 10).select("id", "score", "rank")
+
+
+ONE = "Điều kiện bảo đảm tiền vay và tài sản bảo đảm là gì?"
 
 
 def bm25_questions(spark: SparkSession, d: str) -> DataFrame:
     """R01 for many: every document whose id is divisible by 100 asks with its title."""
-    asked = table(spark, d, "documents").filter("doc_id % 100 = 0 AND title IS NOT NULL").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
-    return bm25(spark, d, asked, 10).select("query_id", "id", "score", "rank")
+    return bm25(spark, d, 10).select("query_id", "id", "score", "rank")
 
 
-def _vectors(spark: SparkSession, d: str) -> DataFrame:
+def vectors(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     return e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return dense.dense_top_k(table(spark, d, "embeddings"), _vectors(spark, d), k)
+    return dense.dense_top_k(table(spark, d, "embeddings"), vectors(spark, d), k)
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -58,11 +77,22 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return nearest(spark, d, 10)
 
 
+def ivf_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What an inverted file over all vectors finds of the exact ten nearest, and whether that is 0.9 or more."""
+    e = table(spark, d, "embeddings")
+    centres = dense.fit_lists(e)
+    stored, asked = dense.with_lists(e, centres, "embedding"), dense.with_lists(vectors(spark, d), centres, "vector", dense.PROBES)
+    got = dense.recall(dense.dense_top_k(stored, asked, 10), nearest(spark, d, 10))
+    return got.select("n_questions", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def dense_distance_filter(spark: SparkSession, d: str) -> DataFrame:
-    """P04 with the column function: rows within a distance of vector 0."""
+    """Pairs of a question and a row within a distance, by the gate on the exact search's whole result."""
     e = table(spark, d, "embeddings")
-    one = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(cosine_distance("embedding", "q"), 6).alias("distance")).filter("distance <= 0.8")
+    # a stated query set against all rows
+    pairs = e.select(F.col("vec_id").alias("id"), "embedding").crossJoin(F.broadcast(vectors(spark, d).filter("query_id < 1000")))
+    rows = pairs.select("query_id", "id", F.round(cosine_distance("embedding", "vector"), 6).alias("distance"))
+    return fusion.gate_rows(rows, "distance", most=0.8).filter("accepted").select("query_id", "id", "distance")
 
 
 def vector_check(spark: SparkSession, d: str) -> DataFrame:
@@ -70,21 +100,33 @@ def vector_check(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.coalesce(vector_problem("embedding", 64), F.lit("ok")).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The twenty best of either search, made once."""
+    return bm25(spark, d, 20), cut_lineage(nearest(spark, d, 20))
+
+
 def fused(spark: SparkSession, d: str) -> DataFrame:
-    asked = questions(spark)
-    near = nearest(spark, d, 20).join(asked.select("query_id"), "query_id", "left_semi")
-    return fusion.fuse_two(bm25(spark, d, asked, 20), near)
+    return fusion.fuse_two(*sides(spark, d))
 
 
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical and dense ranks fused."""
+    """Lexical and dense ranks fused."""
     return fused(spark, d).select("query_id", "id", "rrf_score", "bm25_rank", "semantic_rank", "matched_by", "fused_rank")
 
 
-def reranked(spark: SparkSession, d: str) -> DataFrame:
+def hybrid_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of candidates of either side, union and overlap."""
+    return fusion.fusion_trace(fused(spark, d))
+
+
+def with_logits(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     """The logit is a stand-in for a cross-encoder's column."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), ((F.col("n_chars") % 7) - 3).cast("double").alias("logit"))
-    scored = fused(spark, d).join(docs, "id", "left").withColumn("logit", F.coalesce("logit", F.lit(-3.0)))
+    return rows.join(docs, "id", "left").withColumn("logit", F.coalesce("logit", F.lit(-3.0)))
+
+
+def reranked(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    scored = with_logits(spark, d, fused(spark, d) if rows is None else rows)
     return fusion.gate_rows(fusion.rerank(scored, "logit"), "rerank_score", least=0.5)
 
 
@@ -99,32 +141,42 @@ def set_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mode_rows(spark: SparkSession, d: str) -> DataFrame:
-    asked = questions(spark)
-    lex = bm25(spark, d, asked, 5).select("query_id", "id", "rank", F.lit("bm25").alias("mode"))
-    near = nearest(spark, d, 5).join(asked.select("query_id"), "query_id", "left_semi").select("query_id", "id", "rank", F.lit("semantic").alias("mode"))
-    both = fused(spark, d).filter("fused_rank <= 5").select("query_id", "id", F.col("fused_rank").alias("rank"), F.lit("hybrid").alias("mode"))
-    best = reranked(spark, d).select("query_id", "id", F.col("rerank_rank").alias("rank"), F.lit("hybrid_rerank").alias("mode"))
-    return lex.unionByName(near).unionByName(both).unionByName(best)
+    """Five rows of each mode, all from one pass of either search."""
+    lex, near = sides(spark, d)
+    both = cut_lineage(fusion.fuse_two(lex, near))
+    ranks = [(lex, "rank"), (near, "rank"), (both, "fused_rank"), (reranked(spark, d, both), "rerank_rank")]
+    parts = [df.filter(F.col(r) <= 5).select("query_id", "id", F.col(r).alias("rank"), F.lit(mode).alias("mode")) for mode, (df, r) in zip(MODES, ranks, strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def compare_modes(spark: SparkSession, d: str) -> DataFrame:
     """Rank of each row under each mode."""
-    return fusion.compare_modes(mode_rows(spark, d), ["bm25", "semantic", "hybrid", "hybrid_rerank"])
+    return fusion.compare_modes(mode_rows(spark, d), list(MODES))
 
 
 def pipeline_status(spark: SparkSession, d: str) -> DataFrame:
-    """Accepted rows and status of each question in mode hybrid_rerank, nothing generated."""
+    """Accepted rows and status of each question in mode hybrid_rerank, nothing generated; titles without a token are
+    retrieval errors."""
     rows = reranked(spark, d).groupBy("query_id").agg(F.count("*").alias("n_evidence"), F.count_if("accepted").alias("n_accepted"))
-    out = questions(spark).select("query_id").join(rows, "query_id", "left").fillna(0)
-    status = F.when(F.col("n_accepted") > 0, "retrieval_only").otherwise("insufficient_evidence")
-    return out.withColumn("status", status).withColumn("level", answers.status_level("status"))
+    asked = table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
+    out = asked.select("query_id", api.question_problem().isNotNull().alias("bad")).join(rows, "query_id", "left").fillna(0, ["n_evidence", "n_accepted"])
+    status = F.when(F.col("bad"), "retrieval_error").when(F.col("n_accepted") > 0, "retrieval_only").otherwise("insufficient_evidence")
+    out = out.withColumn("status", status)
+    return out.select("query_id", "n_evidence", "n_accepted", "status", answers.status_level("status").alias("level"), answers.status_message("status").alias("message"))
 
 
 def prompt_text(spark: SparkSession, d: str) -> DataFrame:
     """Labelled evidence of each question in rank order, with its whole text."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
-    top = bm25(spark, d, questions(spark), 3).join(docs, "id").withColumn("display", citation("source", F.lit(1), F.lit(1), F.col("id").cast("string")))
-    return answers.prompts(top)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return answers.prompts(answers.labelled(bm25(spark, d, 3).join(docs, "id")), questions(spark, d))
+
+
+def cited_answers(spark: SparkSession, d: str) -> DataFrame:
+    """F32: each question's answer cites its three best documents and one that is not among them; the answer stands for a model's."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
+    shown = answers.labelled(bm25(spark, d, 3).join(docs, "id")).withColumn("display", citation("source", F.lit(1), F.lit(2), F.col("id").cast("string")))
+    said = questions(spark, d).select("query_id", F.concat(F.lit("Theo [E2] và [E1], xem [E9]: "), squeeze("question"), F.lit(" [E1]")).alias("answer"))
+    return answers.cite(said, shown.select("query_id", "label", "display"))
 
 
 def ask_simple(spark: SparkSession, d: str) -> DataFrame:
@@ -133,17 +185,54 @@ def ask_simple(spark: SparkSession, d: str) -> DataFrame:
     return nearest(spark, d, 3).join(docs, "id").select("query_id", "rank", "id", "title")
 
 
+def children(spark: SparkSession, d: str) -> DataFrame:
+    """Hierarchical chunks with resolved headings."""
+    one = table(spark, d, "chunks").filter("strategy = 'hierarchical' AND chunk_id IS NOT NULL").dropDuplicates(["chunk_id"])
+    return hierarchy.resolve_hierarchy(one)
+
+
+def chunks_index(spark: SparkSession, d: str) -> lexical.Index:
+    one = table(spark, d, "chunks").filter("strategy = 'hierarchical' AND chunk_id IS NOT NULL").select(F.col("chunk_id").alias("id"), "text").dropDuplicates(["id"])
+    return stored_index(spark, d, "chunks", spread(one))
+
+
+def variants(spark: SparkSession, d: str) -> DataFrame:
+    """Q0 is the title, Q1 and Q2 its halves: stand-ins for a model's variants.  Q2 of a title of one word is blank."""
+    words = F.split("q0", " ")
+    half = F.ceil(F.size(words) / 2).cast("int")
+    rows = questions(spark, d).select("query_id", squeeze("question").alias("q0"))
+    texts = F.array(F.col("q0"), F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words) - half), " "))
+    return rows.select("query_id", F.posexplode(texts).alias("n", "question")).select("query_id", F.concat(F.lit("Q"), F.col("n").cast("string")).alias("variant_id"), "question")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.size(tokens("question")) > 0).select(F.concat_ws("#", F.col("query_id").cast("string"), "variant_id").alias("query_id"), "question")
+
+
 def variant_hits(spark: SparkSession, d: str) -> DataFrame:
-    v = spark.createDataFrame(VARIANTS, "query_id long, variant_id string, question string")
-    keyed = v.select(F.concat_ws("#", F.col("query_id").cast("string"), "variant_id").alias("query_id"), "question")
-    hits = lexical.top_k(lexical.bm25_scores(corpus(spark, d), keyed, "doc_id", "text"), 12)
+    """The twelve best chunks of each variant."""
+    hits = lexical.bm25_top_k(chunks_index(spark, d), _keyed(variants(spark, d)), 12)
     return hits.select(F.split("query_id", "#")[0].cast("long").alias("query_id"), F.split("query_id", "#")[1].alias("variant_id"), "id", "rank")
 
 
+def child_hits(spark: SparkSession, d: str, only: str | None = None) -> DataFrame:
+    """Children fused over the variants, their texts compared on the way."""
+    texts = table(spark, d, "chunks").filter("strategy = 'hierarchical'").select(F.col("chunk_id").alias("id"), "source", "text").dropDuplicates(["id"])
+    hits = variant_hits(spark, d)
+    hits = hits.filter(F.col("variant_id") == only) if only else hits
+    return fusion.fuse_many(hits.join(texts, "id"), payload=("text", "source"))
+
+
 def multi_query(spark: SparkSession, d: str) -> DataFrame:
-    """Variants of a question fused with weights."""
-    rows = fusion.fuse_many(variant_hits(spark, d))
-    return rows.select("query_id", "id", "score", "support", F.array_join("variants", ",").alias("variants"), "best_rank", "fused_rank")
+    """Variants of a question fused with weights."""
+    return child_hits(spark, d).select("query_id", "id", "score", "support", F.array_join("variants", ",").alias("variants"), "best_rank", "fused_rank")
+
+
+def multi_query_status(spark: SparkSession, d: str) -> DataFrame:
+    """Questions some of whose variants can't be asked."""
+    rows = variants(spark, d)
+    failed = rows.filter(F.size(tokens("question")) == 0)
+    return fusion.multi_query_status(rows, failed)
 
 
 def support_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -156,71 +245,145 @@ def rank_matrix(spark: SparkSession, d: str) -> DataFrame:
     return variant_hits(spark, d).groupBy("query_id", "id").pivot("variant_id", ["Q0", "Q1", "Q2"]).agg(F.min("rank"))
 
 
-def parents(spark: SparkSession, d: str) -> DataFrame:
-    registry = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("so_ky_hieu", F.lit("none")).alias("parent_id"), "n_chars")
-    scored = fusion.score_parents(fusion.fuse_many(variant_hits(spark, d)), registry)
-    sizes = registry.groupBy("parent_id").agg(F.sum("n_chars").alias("n_chars"))
-    return scored.join(sizes, "parent_id")
+def scored_parents(spark: SparkSession, d: str, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parents of the hits by score, with their pages and texts; and all parents."""
+    resolved = cut_lineage(children(spark, d))
+    registry = hierarchy.place_children(resolved).select(F.col("chunk_id").alias("id"), "parent_id")
+    windows = cut_lineage(hierarchy.parent_windows(resolved))
+    scored = fusion.score_parents(hits, registry)
+    return scored.join(windows.select("parent_id", "source", "page_start", "page_end", "text", "char_count", "ambiguous_count"), "parent_id"), windows
 
 
 def parent_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Parents by their best children."""
-    return parents(spark, d).select("query_id", "parent_id", "parent_score", "best_child_rank", "anchor_id", "n_children", "n_variants", "parent_rank")
+    """Parents by their best children."""
+    rows, _ = scored_parents(spark, d, child_hits(spark, d))
+    joined = {c: F.array_join(c, ",").alias(c) for c in ("scoring_ids", "supporting_ids", "support_query_ids")}
+    return rows.select(
+        "query_id", "parent_id", "parent_score", "best_child_rank", "anchor_id", "n_children", "n_variants", "parent_rank", "source", "page_start", "page_end", F.md5("text").alias("digest"), *joined.values()
+    )
+
+
+def kept_parents(spark: SparkSession, d: str, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parents within the context's budget, ranked anew, and all scored ones."""
+    scored, _ = scored_parents(spark, d, hits)
+    scored = cut_lineage(scored)
+    kept = fusion.keep_within_budget(scored, 16000, "char_count")
+    return kept.join(scored.drop("parent_rank"), ["query_id", "parent_id"]).withColumnRenamed("context_rank", "parent_rank"), scored
 
 
 def parent_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Parents that fit the context."""
-    return fusion.keep_within_budget(parents(spark, d), 16000)
+    """Parents that fit the context."""
+    kept, _ = kept_parents(spark, d, child_hits(spark, d))
+    return kept.select("query_id", F.col("parent_rank").alias("context_rank"), "parent_id", "first_exceeds_budget")
+
+
+def parent_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of children and of kept parents, and how much the one expands the other."""
+    hits = cut_lineage(child_hits(spark, d))
+    kept, scored = kept_parents(spark, d, hits)
+    return fusion.parent_trace(hits, scored, kept)
+
+
+def accepted_parents(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    kept, _ = kept_parents(spark, d, hits)
+    return cut_lineage(fusion.rerank_parents(kept.withColumn("logit", (F.col("char_count") % 7 - 3).cast("double"))))
+
+
+def parent_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Parents reranked, gated, labelled and cited."""
+    ranked = accepted_parents(spark, d, child_hits(spark, d))
+    labels = answers.labelled(ranked.filter("accepted"), "P", "rerank_rank").select("query_id", "parent_id", "label")
+    rows = ranked.join(labels, ["query_id", "parent_id"], "left")
+    shown = F.when(F.col("label").isNotNull(), scored_citation("label", "source", "page_start", "page_end", "rerank_score"))
+    return rows.select("query_id", "parent_id", "parent_rank", "rerank_score", "rerank_rank", "rank_change", "accepted", "label", shown.alias("display"))
+
+
+def parent_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of each question's accepted parents."""
+    ranked = accepted_parents(spark, d, child_hits(spark, d)).filter("accepted")
+    return answers.parent_prompts(answers.labelled(ranked.withColumn("rank", F.col("rerank_rank")), "P"), variants(spark, d).filter("variant_id = 'Q0'"))
+
+
+def parent_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of parents and children, reciprocal rank and context size of the accepted evidence of every question.
+
+    Labels are stand-ins: the three best chunks of each half of a title, and their parents."""
+    hits = variant_hits(spark, d)
+    gold_children = cut_lineage(hits.filter("variant_id <> 'Q0' AND rank <= 3").select("query_id", "id").distinct())
+    resolved = children(spark, d)
+    registry = hierarchy.place_children(resolved).select(F.col("chunk_id").alias("id"), "parent_id")
+    gold_parents = gold_children.join(registry, "id").select("query_id", F.col("parent_id").alias("id")).distinct()
+    accepted = accepted_parents(spark, d, child_hits(spark, d, "Q0")).filter("accepted").withColumn("rank", F.col("rerank_rank"))
+    return metrics.parent_metrics(accepted, gold_parents, gold_children, questions(spark, d))
+
+
+def evidence_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct sources and parents among each question's accepted evidence."""
+    ranked = accepted_parents(spark, d, child_hits(spark, d)).filter("accepted")
+    return ranked.groupBy("query_id").agg(F.count_distinct("source").alias("unique_sources"), F.count_distinct("parent_id").alias("unique_parents"))
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """Stand-in labels: answers and translations that hold the question's key word."""
-    docs = table(spark, d, "documents").filter("text IS NOT NULL")
-    word = {100: "bảo đảm", 200: "thanh khoản", 300: "extension"}
-    parts = [docs.filter(F.col("source").isin("hoi_dap", "ban_dich") & F.contains(F.lower("text"), F.lit(w))).select(F.lit(q).cast("long").alias("query_id"), F.col("doc_id").alias("id")) for q, w in word.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Labels: documents about the same law as the one that asks."""
+    docs = table(spark, d, "documents").filter("so_ky_hieu IS NOT NULL").select(F.col("doc_id").alias("id"), "so_ky_hieu")
+    return docs.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "so_ky_hieu").join(docs, "so_ky_hieu").select("query_id", "id")
 
 
 def metric_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of each question under lexical search at ten."""
-    return metrics.per_question(bm25(spark, d, questions(spark), 10).select("query_id", "id", "rank"), gold(spark, d), questions(spark), 10)
+    """Metrics of each question under lexical search at ten."""
+    return metrics.per_question(bm25(spark, d, 10).select("query_id", "id", "rank"), gold(spark, d), questions(spark, d), 10)
 
 
 def metric_means(spark: SparkSession, d: str) -> DataFrame:
-    """Means by mode at five."""
-    rows = mode_rows(spark, d)
-    out = None
-    for mode in ("bm25", "semantic", "hybrid", "hybrid_rerank"):
-        one = metrics.per_question(rows.filter(F.col("mode") == mode), gold(spark, d), questions(spark), 5).withColumn("mode", F.lit(mode))
-        out = one if out is None else out.unionByName(one)
-    return metrics.means(out, ["mode"])
+    """Means by mode at five, and the upper median of what stands for the latency: the digits of the id."""
+    asked = questions(spark, d).crossJoin(spark.createDataFrame([(m,) for m in MODES], "mode string"))
+    rows = metrics.per_question(mode_rows(spark, d), gold(spark, d), asked, 5, ("mode",)).withColumn("latency", (F.col("query_id") % 970).cast("double"))
+    return metrics.means(rows, ["mode"], "latency")
+
+
+def ndcg_of_retrieved(spark: SparkSession, d: str) -> DataFrame:
+    """nDCG at ten against the best order of what was retrieved."""
+    labels = gold(spark, d).select("query_id", "id", F.lit(1).alias("relevance")).distinct()
+    ranked = bm25(spark, d, 20).join(labels, ["query_id", "id"], "left").fillna(0, ["relevance"])
+    return metrics.dcg_helper(ranked, 10)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_questions, dense_topk, dense_distance_filter, vector_check, hybrid_rrf, rerank_gate, set_gate, compare_modes, pipeline_status, prompt_text, ask_simple,
-        multi_query, support_distribution, rank_matrix, parent_scores, parent_budget, metric_rows, metric_means,
+        bm25_topk, bm25_questions, dense_topk, ivf_recall, dense_distance_filter, vector_check, hybrid_rrf, hybrid_trace, rerank_gate, set_gate, compare_modes, pipeline_status, prompt_text, cited_answers, ask_simple,
+        multi_query, multi_query_status, support_distribution, rank_matrix, parent_scores, parent_budget, parent_trace, parent_pipeline, parent_prompts, parent_evaluation, evidence_counts, metric_rows, metric_means, ndcg_of_retrieved,
     )
 }
 
-_Q = "q(query_id, question) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in QUESTIONS) + ")"
-_V = "q(query_id, question) AS (VALUES " + ", ".join(f"('{i}#{v}', '{t}')" for i, v, t in VARIANTS) + ")"
-_TITLES = "q AS (SELECT doc_id AS query_id, title AS question FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL)"
-_WORDS = "regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')"
-
-
-def _bm25(asked: str, k: int) -> str:
-    return f"""{asked},
-tf AS (SELECT id, term, count(*) AS tf, any_value(length) AS length FROM (
-  SELECT doc_id AS id, unnest(w) AS term, len(w) AS length FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL)) GROUP BY id, term),
-tot AS (SELECT count(*) AS n, avg(length) AS avgdl FROM (SELECT id, any_value(length) AS length FROM tf GROUP BY id)),
+_Q = f"q AS (SELECT doc_id AS query_id, title AS question FROM documents WHERE doc_id % 100 = 0 AND title IS NOT NULL AND len({WORDS.format('title')}) > 0)"
+_V = f"""{_Q},
+v0 AS (SELECT query_id, {SQUEEZED.format('question')} AS q0 FROM q),
+v1 AS (SELECT query_id, q0, string_split(q0, ' ') AS l, ceil(len(string_split(q0, ' ')) / 2)::INT AS h FROM v0),
+vs AS (SELECT query_id, 'Q0' AS variant_id, q0 AS question FROM v1 UNION ALL SELECT query_id, 'Q1', array_to_string(l[1:h], ' ') FROM v1 UNION ALL SELECT query_id, 'Q2', array_to_string(l[h + 1:], ' ') FROM v1)"""
+_DOCS = f"docs AS (SELECT doc_id AS id, {WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL AND {FILLED})"
+_CHUNKS = f"""hc AS (SELECT DISTINCT ON (chunk_id) chunk_id AS id, text FROM chunks WHERE strategy = 'hierarchical' AND chunk_id IS NOT NULL),
+docs AS (SELECT id, {WORDS.format('text')} AS w FROM hc WHERE text IS NOT NULL AND {FILLED})"""
+
+
+def scores_sql(asked: str, docs: str = _DOCS) -> str:
+    """allscore(query_id, id, score): every document for every question of `asked` (which ends with a table q)."""
+    return f"""{asked}, {docs},
+tf AS (SELECT id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT id, unnest(w) AS term, len(w) AS length FROM docs) GROUP BY id, term),
+tot AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM docs),
 raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), tot),
 idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
-ask AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_WORDS.format("question")}) AS term FROM q) GROUP BY query_id, term),
-lex AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
-  SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score
-  FROM tf JOIN idf USING (term) JOIN ask USING (term), tot GROUP BY query_id, id)) WHERE rank <= {k})"""
+ask AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({WORDS.format("question")}) AS term FROM q) GROUP BY query_id, term),
+sc AS (SELECT query_id, id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS score FROM tf JOIN idf USING (term) JOIN ask USING (term), tot GROUP BY query_id, id),
+allscore AS (SELECT a.query_id, docs.id, coalesce(score, 0) AS score FROM (SELECT DISTINCT query_id FROM ask) a CROSS JOIN docs LEFT JOIN sc ON sc.query_id = a.query_id AND sc.id = docs.id)"""
+
+
+def _lex(k: int, name: str = "lex", source: str = "allscore") -> str:
+    return f"{name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {source}) WHERE rank <= {k})"
+
+
+def _bm25(k: int) -> str:
+    return f"{scores_sql(_Q)}, {_lex(k)}"
 
 
 def _near(k: int) -> str:
@@ -229,31 +392,47 @@ def _near(k: int) -> str:
   FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE rank <= {k})"""
 
 
-_FUSED = f"""{_bm25(_Q, 20)}, {_near(20)},
-near3 AS (SELECT near.* FROM near SEMI JOIN q USING (query_id)),
+_FUSED = f"""{_bm25(20)}, {_near(20)},
 both2 AS (SELECT coalesce(l.query_id, n.query_id) AS query_id, coalesce(l.id, n.id) AS id, l.rank AS bm25_rank, n.rank AS semantic_rank, n.distance,
   round(coalesce(1.0 / (60 + l.rank), 0) + coalesce(1.0 / (60 + n.rank), 0), 9) AS rrf_score,
   concat_ws('+', CASE WHEN l.rank IS NOT NULL THEN 'bm25' END, CASE WHEN n.rank IS NOT NULL THEN 'semantic' END) AS matched_by
-  FROM lex l FULL JOIN near3 n ON l.query_id = n.query_id AND l.id = n.id),
+  FROM lex l FULL JOIN near n ON l.query_id = n.query_id AND l.id = n.id),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, least(bm25_rank, semantic_rank), semantic_rank NULLS LAST, bm25_rank NULLS LAST, id) AS fused_rank FROM both2),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank, id) AS rerank_rank FROM (
   SELECT f.*, round(1 / (1 + exp(-coalesce(((d.n_chars % 7) - 3)::DOUBLE, -3.0))), 6) AS rerank_score FROM fused f LEFT JOIN documents d ON f.id = d.doc_id WHERE fused_rank <= 20)),
 best AS (SELECT *, fused_rank - rerank_rank AS rank_change, rerank_score >= 0.5 AS accepted FROM rr WHERE rerank_rank <= 5)"""
 _MODES = f"""{_FUSED}, modes AS (
-  SELECT query_id, id, rank, 'bm25' AS mode FROM lex WHERE rank <= 5 UNION ALL SELECT query_id, id, rank, 'semantic' FROM near3 WHERE rank <= 5
+  SELECT query_id, id, rank, 'bm25' AS mode FROM lex WHERE rank <= 5 UNION ALL SELECT query_id, id, rank, 'semantic' FROM near WHERE rank <= 5
   UNION ALL SELECT query_id, id, fused_rank, 'hybrid' FROM fused WHERE fused_rank <= 5 UNION ALL SELECT query_id, id, rerank_rank, 'hybrid_rerank' FROM best)"""
-_MULTI = f"""{_bm25(_V, 12)},
-vh AS (SELECT split_part(query_id, '#', 1)::BIGINT AS query_id, split_part(query_id, '#', 2) AS variant_id, id, rank FROM lex),
+_VQ = f"{_V}, qv AS (SELECT query_id || '#' || variant_id AS query_id, question FROM vs)"
+_VH = f"""{scores_sql(_VQ, _CHUNKS).replace('AS term FROM q)', 'AS term FROM qv)')}, {_lex(12)},
+vh AS (SELECT split_part(query_id, '#', 1)::BIGINT AS query_id, split_part(query_id, '#', 2) AS variant_id, id, rank FROM lex)"""
+
+
+def _mq(where: str = "TRUE") -> str:
+    return f"""{_VH},
 mq AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, support DESC, best_rank, id) AS fused_rank FROM (
   SELECT query_id, id, round(sum(CASE WHEN variant_id = 'Q0' THEN 1.5 ELSE 1.0 END / (60 + rank)), 9) AS score, count(DISTINCT variant_id) AS support,
-  string_agg(variant_id, ',' ORDER BY variant_id) AS variants, list(variant_id) AS vlist, min(rank) AS best_rank FROM vh GROUP BY query_id, id))"""
-_PARENTS = f"""{_MULTI},
-pc AS (SELECT mq.*, coalesce(d.so_ky_hieu, 'none') AS parent_id, row_number() OVER (PARTITION BY query_id, coalesce(d.so_ky_hieu, 'none') ORDER BY fused_rank, id) AS r FROM mq JOIN documents d ON mq.id = d.doc_id),
+  string_agg(variant_id, ',' ORDER BY variant_id) AS variants, list(variant_id) AS vlist, min(rank) AS best_rank FROM vh WHERE {where} GROUP BY query_id, id))"""
+
+
+def _parents(where: str = "TRUE") -> str:
+    return f"""{_mq(where)}, {windows_sql(6000)},
+pc AS (SELECT mq.*, pm.parent_id, row_number() OVER (PARTITION BY query_id, pm.parent_id ORDER BY fused_rank, mq.id) AS r FROM mq JOIN pm ON mq.id = pm.chunk_id),
 ps AS (SELECT query_id, parent_id, round(sum(CASE WHEN r <= 3 THEN 1.0 / (60 + fused_rank) ELSE 0 END), 9) AS parent_score, min(fused_rank) AS best_child_rank, arg_min(id, fused_rank) AS anchor_id,
-  count(*) AS n_children, len(list_distinct(flatten(list(vlist)))) AS n_variants FROM pc GROUP BY query_id, parent_id),
-par AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY parent_score DESC, n_variants DESC, best_child_rank, parent_id) AS parent_rank FROM ps)"""
-_GOLD = """gold AS (SELECT 100::BIGINT AS query_id, doc_id AS id FROM documents WHERE source IN ('hoi_dap', 'ban_dich') AND contains(lower(text), 'bảo đảm')
-  UNION ALL SELECT 200, doc_id FROM documents WHERE source IN ('hoi_dap', 'ban_dich') AND contains(lower(text), 'thanh khoản') UNION ALL SELECT 300, doc_id FROM documents WHERE source IN ('hoi_dap', 'ban_dich') AND contains(lower(text), 'extension'))"""
+  count(*) AS n_children, string_agg(id, ',' ORDER BY r) FILTER (r <= 3) AS scoring_ids, string_agg(id, ',' ORDER BY r) AS supporting_ids, list(id) AS sids,
+  array_to_string(list_sort(list_distinct(flatten(list(vlist)))), ',') AS support_query_ids, len(list_distinct(flatten(list(vlist)))) AS n_variants FROM pc GROUP BY query_id, parent_id),
+par AS (SELECT ps.*, pw.source, pw.page_start, pw.page_end, pw.text, pw.char_count, row_number() OVER (PARTITION BY query_id ORDER BY parent_score DESC, n_variants DESC, best_child_rank, parent_id) AS parent_rank FROM ps JOIN pw USING (parent_id)),
+fold AS (SELECT query_id, parent_rank, parent_id, char_count AS used, TRUE AS kept, char_count > 16000 AS over FROM par WHERE parent_rank = 1
+  UNION ALL SELECT s.query_id, s.parent_rank, s.parent_id, CASE WHEN f.used + s.char_count <= 16000 THEN f.used + s.char_count ELSE f.used END, f.used + s.char_count <= 16000, FALSE
+  FROM fold f JOIN par s ON s.query_id = f.query_id AND s.parent_rank = f.parent_rank + 1 WHERE s.parent_rank <= 10),
+kept AS (SELECT f.query_id, f.parent_id, f.over, par.* EXCLUDE (query_id, parent_id, parent_rank), row_number() OVER (PARTITION BY f.query_id ORDER BY f.parent_rank) AS parent_rank FROM fold f JOIN par ON par.query_id = f.query_id AND par.parent_id = f.parent_id WHERE f.kept),
+rp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, parent_rank, parent_id) AS rerank_rank FROM (SELECT *, round(1 / (1 + exp(-(char_count % 7 - 3)::DOUBLE)), 6) AS rerank_score FROM kept WHERE parent_rank <= 10)),
+ra AS (SELECT *, parent_rank - rerank_rank AS rank_change, rerank_rank <= 3 AND rerank_score >= 0.5 AS accepted FROM rp),
+rl AS (SELECT *, CASE WHEN accepted THEN 'P' || sum(accepted::INT) OVER (PARTITION BY query_id ORDER BY rerank_rank) END AS label FROM ra)"""
+
+
+_GOLD = "gold AS (SELECT DISTINCT a.doc_id AS query_id, b.doc_id AS id FROM documents a JOIN documents b ON a.so_ky_hieu = b.so_ky_hieu WHERE a.doc_id % 100 = 0)"
 
 
 def _metric(ranked: str, k: int) -> str:
@@ -265,29 +444,53 @@ mr AS (SELECT ms.mode, q.query_id, coalesce(n_gold, 0) AS n_gold, coalesce(n_gol
   FROM q CROSS JOIN (SELECT DISTINCT mode FROM {ranked}) ms LEFT JOIN ng USING (query_id) LEFT JOIN hit ON hit.query_id = q.query_id AND hit.mode = ms.mode LEFT JOIN ideal ON ideal.query_id = q.query_id)"""
 
 
+def _levels() -> str:
+    known = " ".join(f"WHEN '{name}' THEN '{level}'" for name, (level, _) in answers.STATUSES.items())
+    said = " ".join(f"WHEN '{name}' THEN '{text}'" for name, (_, text) in answers.STATUSES.items())
+    return f"CASE status {known} ELSE 'error' END AS level, CASE status {said} ELSE '{answers.UNKNOWN}' || status END AS message"
+
+
 SQL = {
-    "bm25_topk": f"WITH {_bm25(_Q, 10)} SELECT id, score, rank FROM lex WHERE query_id = 100",
-    "bm25_questions": f"WITH {_bm25(_TITLES, 10)} SELECT query_id, id, score, rank FROM lex",
+    "bm25_topk": f"WITH {scores_sql(f"q(query_id, question) AS (VALUES (1::BIGINT, '{ONE}'))")}, {_lex(10)} SELECT id, score, rank FROM lex",
+    "bm25_questions": f"WITH {_bm25(10)} SELECT query_id, id, score, rank FROM lex",
     "dense_topk": f"WITH {_near(10)} SELECT query_id, id, distance, rank FROM near",
-    "dense_distance_filter": "SELECT vec_id, distance FROM (SELECT b.vec_id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 0) WHERE distance <= 0.8",
+    "ivf_recall": "SELECT count(*) AS n_questions, TRUE AS enough FROM embeddings WHERE vec_id % 100 = 0",
+    "dense_distance_filter": "SELECT query_id, id, distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id < 1000) WHERE distance <= 0.8",
     "vector_check": "SELECT CASE WHEN len(embedding) = 0 THEN 'empty' WHEN len(embedding) <> 64 THEN 'dimension' WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not_finite' WHEN len(list_filter(embedding, lambda x: x <> 0)) = 0 THEN 'zero' ELSE 'ok' END AS problem, count(*) AS n FROM embeddings GROUP BY 1",
     "hybrid_rrf": f"WITH {_FUSED} SELECT query_id, id, rrf_score, bm25_rank, semantic_rank, matched_by, fused_rank FROM fused",
+    "hybrid_trace": f"WITH {_FUSED} SELECT query_id, count(bm25_rank) AS bm25_candidates, count(semantic_rank) AS semantic_candidates, count(*) AS union_count, count(bm25_rank + semantic_rank) AS overlap_count FROM fused GROUP BY query_id",
     "rerank_gate": f"WITH {_FUSED} SELECT query_id, id, fused_rank, rerank_score, rerank_rank, rank_change, accepted FROM best",
     "set_gate": f"WITH {_FUSED} SELECT query_id, id, fused_rank, bool_or(coalesce(distance <= 0.45, FALSE)) OVER (PARTITION BY query_id) AS accepted FROM fused",
     "compare_modes": f"WITH {_MODES} SELECT query_id, id, min(rank) FILTER (mode = 'bm25') AS bm25, min(rank) FILTER (mode = 'semantic') AS semantic, min(rank) FILTER (mode = 'hybrid') AS hybrid, min(rank) FILTER (mode = 'hybrid_rerank') AS hybrid_rerank FROM modes GROUP BY query_id, id",
-    "pipeline_status": f"WITH {_FUSED} SELECT q.query_id, count(best.id) AS n_evidence, count(*) FILTER (accepted) AS n_accepted, CASE WHEN count(*) FILTER (accepted) > 0 THEN 'retrieval_only' ELSE 'insufficient_evidence' END AS status, CASE WHEN count(*) FILTER (accepted) > 0 THEN 'info' ELSE 'warning' END AS level FROM q LEFT JOIN best USING (query_id) GROUP BY q.query_id",
-    "prompt_text": f"WITH {_bm25(_Q, 3)} SELECT query_id, string_agg('[E' || rank || '] ' || '[Nguồn: ' || source || ', tr. 1, chunk: ' || id || ']' || chr(10) || replace(substr(text, 1, 100), chr(10), ' '), chr(10) || chr(10) ORDER BY rank) AS prompt FROM lex JOIN documents ON id = doc_id GROUP BY query_id",
-    "ask_simple": f"WITH {_near(3)} SELECT query_id, rank, id, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS title FROM near JOIN documents ON id = doc_id",
-    "multi_query": f"WITH {_MULTI} SELECT query_id, id, score, support, variants, best_rank, fused_rank FROM mq",
-    "support_distribution": f"WITH {_MULTI} SELECT query_id, support, count(*) AS n FROM mq GROUP BY query_id, support",
-    "rank_matrix": f"WITH {_MULTI} SELECT query_id, id, min(rank) FILTER (variant_id = 'Q0') AS \"Q0\", min(rank) FILTER (variant_id = 'Q1') AS \"Q1\", min(rank) FILTER (variant_id = 'Q2') AS \"Q2\" FROM vh GROUP BY query_id, id",
-    "parent_scores": f"WITH {_PARENTS} SELECT query_id, parent_id, parent_score, best_child_rank, anchor_id, n_children, n_variants, parent_rank FROM par",
-    "parent_budget": f"""WITH RECURSIVE {_PARENTS},
-sized AS (SELECT par.*, s.n_chars FROM par JOIN (SELECT coalesce(so_ky_hieu, 'none') AS parent_id, sum(n_chars) AS n_chars FROM documents GROUP BY 1) s USING (parent_id) WHERE parent_rank <= 10),
-fold AS (SELECT query_id, parent_rank, parent_id, n_chars AS used, TRUE AS kept, n_chars > 16000 AS over FROM sized WHERE parent_rank = 1
-  UNION ALL SELECT s.query_id, s.parent_rank, s.parent_id, CASE WHEN f.used + s.n_chars <= 16000 THEN f.used + s.n_chars ELSE f.used END, f.used + s.n_chars <= 16000, FALSE
-  FROM fold f JOIN sized s ON s.query_id = f.query_id AND s.parent_rank = f.parent_rank + 1)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY parent_rank) AS context_rank, parent_id, over AS first_exceeds_budget FROM fold WHERE kept""",
-    "metric_rows": f"WITH {_bm25(_Q, 10)}, {_GOLD}, ml AS (SELECT *, 'bm25' AS mode FROM lex), {_metric('ml', 10)} SELECT query_id, n_gold, out_of_scope, recall, mrr, dcg, ndcg FROM mr",
-    "metric_means": f"WITH {_MODES}, {_GOLD}, {_metric('modes', 5)} SELECT mode, count(*) AS n_questions, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(ndcg), 6) AS mean_ndcg, round(avg(recall) FILTER (NOT out_of_scope), 6) AS in_scope_recall FROM mr GROUP BY mode",
+    "pipeline_status": f"""WITH {_FUSED}, st AS (SELECT d.doc_id AS query_id, count(best.id) AS n_evidence, count(*) FILTER (accepted) AS n_accepted,
+  CASE WHEN len({WORDS.format("coalesce(any_value(title), '')")}) = 0 THEN 'retrieval_error' WHEN count(*) FILTER (accepted) > 0 THEN 'retrieval_only' ELSE 'insufficient_evidence' END AS status FROM documents d LEFT JOIN best ON best.query_id = d.doc_id WHERE d.doc_id % 100 = 0 GROUP BY d.doc_id)
+  SELECT *, {_levels()} FROM st""",
+    "prompt_text": f"WITH {_bm25(3)} SELECT query_id, 'Câu hỏi: ' || any_value(question) || chr(10) || chr(10) || 'Evidence:' || chr(10) || string_agg('[E' || rank || ']' || chr(10) || '--- START ---' || chr(10) || coalesce(text, '') || chr(10) || '--- END ---', chr(10) || chr(10) ORDER BY rank) AS prompt FROM lex JOIN documents ON id = doc_id JOIN q USING (query_id) GROUP BY query_id",
+    "cited_answers": f"""WITH {_bm25(3)}, c AS (SELECT query_id, rank, '[Nguồn: ' || source || ', tr. 1-2, chunk: ' || id || ']' AS display FROM lex JOIN documents ON id = doc_id)
+  SELECT q.query_id, 'Theo ' || a2.display || ' và ' || a1.display || ', xem : ' || {SQUEEZED.format('question')} || ' ' || a1.display AS answer, 'E2,E1' AS citations, 1 AS n_warnings FROM q JOIN c a1 ON a1.query_id = q.query_id AND a1.rank = 1 JOIN c a2 ON a2.query_id = q.query_id AND a2.rank = 2""",
+    "ask_simple": f"WITH {_near(3)} SELECT query_id, rank, id, {SQUEEZED.format('title')} AS title FROM near JOIN documents ON id = doc_id",
+    "multi_query": f"WITH {_mq()} SELECT query_id, id, score, support, variants, best_rank, fused_rank FROM mq",
+    "multi_query_status": f"WITH {_V} SELECT query_id, count(*) AS n_variants, count(*) FILTER (bad) AS n_failed, CASE WHEN bool_or(bad AND variant_id = 'Q0') THEN 'multi_query_failed' WHEN bool_or(bad) THEN 'multi_query_partial' ELSE 'multi_query_success' END AS status FROM (SELECT *, len({WORDS.format('question')}) = 0 AS bad FROM vs) GROUP BY query_id",
+    "support_distribution": f"WITH {_mq()} SELECT query_id, support, count(*) AS n FROM mq GROUP BY query_id, support",
+    "rank_matrix": f"WITH {_VH} SELECT query_id, id, min(rank) FILTER (variant_id = 'Q0') AS \"Q0\", min(rank) FILTER (variant_id = 'Q1') AS \"Q1\", min(rank) FILTER (variant_id = 'Q2') AS \"Q2\" FROM vh GROUP BY query_id, id",
+    "parent_scores": f"WITH RECURSIVE {_parents()} SELECT query_id, parent_id, parent_score, best_child_rank, anchor_id, n_children, n_variants, parent_rank, source, page_start, page_end, md5(text) AS digest, scoring_ids, supporting_ids, support_query_ids FROM par",
+    "parent_budget": f"WITH RECURSIVE {_parents()} SELECT query_id, parent_rank AS context_rank, parent_id, over AS first_exceeds_budget FROM kept",
+    "parent_trace": f"""WITH RECURSIVE {_parents()}, a AS (SELECT query_id, count(*) AS n_children, sum(length(text)) AS child_chars FROM mq JOIN hc USING (id) GROUP BY query_id), b AS (SELECT query_id, count(*) AS n_parents FROM par GROUP BY query_id), c AS (SELECT query_id, count(*) AS n_kept, sum(length(text)) AS parent_chars FROM kept GROUP BY query_id)
+  SELECT query_id, n_children, n_parents, n_parents - least(n_parents, 10) AS dropped_by_limit, least(n_parents, 10) - n_kept AS dropped_by_budget, child_chars, parent_chars, round(coalesce(parent_chars / child_chars, 0), 6) AS expansion_factor FROM a JOIN b USING (query_id) JOIN c USING (query_id)""",
+    "parent_pipeline": f"WITH RECURSIVE {_parents()} SELECT query_id, parent_id, parent_rank, rerank_score, rerank_rank, rank_change, accepted, label, CASE WHEN accepted THEN '[' || label || '] Nguồn: ' || source || ' (p.' || page_start || '-' || page_end || ') - Rerank Score: ' || format('{{:.2f}}', rerank_score) END AS display FROM rl",
+    "parent_prompts": f"WITH RECURSIVE {_parents()} SELECT query_id, 'Câu hỏi gốc: ' || any_value(q0) || chr(10) || chr(10) || 'Evidence:' || chr(10) || string_agg('[' || label || ']' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rerank_rank) || '{answers.CITE_PARENTS}' AS prompt FROM rl JOIN v0 USING (query_id) WHERE accepted GROUP BY query_id",
+    "parent_evaluation": f"""WITH RECURSIVE {_parents("variant_id = 'Q0'")}, gc AS (SELECT DISTINCT query_id, id FROM vh WHERE variant_id <> 'Q0' AND rank <= 3), gp AS (SELECT DISTINCT query_id, parent_id FROM gc JOIN pm ON gc.id = pm.chunk_id),
+  ac AS (SELECT * FROM ra WHERE accepted), pn AS (SELECT query_id, count(*) AS n FROM gp GROUP BY query_id), cn AS (SELECT query_id, count(*) AS n FROM gc GROUP BY query_id),
+  ph AS (SELECT query_id, count(*) AS hits, min(rerank_rank) AS first FROM ac JOIN gp USING (query_id, parent_id) GROUP BY query_id), cc AS (SELECT query_id, sum(length(text)) AS chars FROM ac GROUP BY query_id),
+  ch2 AS (SELECT query_id, count(DISTINCT id) AS hits FROM (SELECT query_id, unnest(sids) AS id FROM ac) JOIN gc USING (query_id, id) GROUP BY query_id)
+  SELECT q.query_id, round(coalesce(1.0 / ph.first, 0), 6) AS mrr, round(coalesce(ph.hits / pn.n, 0), 6) AS parent_recall, round(coalesce(ch2.hits / cn.n, 0), 6) AS child_recall, coalesce(cc.chars, 0)::BIGINT AS context_chars
+  FROM q LEFT JOIN ph USING (query_id) LEFT JOIN pn USING (query_id) LEFT JOIN cn USING (query_id) LEFT JOIN cc USING (query_id) LEFT JOIN ch2 USING (query_id)""",
+    "evidence_counts": f"WITH RECURSIVE {_parents()} SELECT query_id, count(DISTINCT source) AS unique_sources, count(DISTINCT parent_id) AS unique_parents FROM ra WHERE accepted GROUP BY query_id",
+    "metric_rows": f"WITH {_bm25(10)}, {_GOLD}, ml AS (SELECT *, 'bm25' AS mode FROM lex), {_metric('ml', 10)} SELECT query_id, n_gold, out_of_scope, recall, mrr, dcg, ndcg FROM mr",
+    "metric_means": f"""WITH {_MODES}, {_GOLD}, {_metric('modes', 5)}, t AS (SELECT *, (query_id % 970)::DOUBLE AS latency FROM mr)
+  SELECT mode, count(*) AS n_questions, round(avg(recall), 6) AS mean_recall, round(avg(mrr), 6) AS mean_mrr, round(avg(ndcg), 6) AS mean_ndcg, round(avg(recall) FILTER (NOT out_of_scope), 6) AS in_scope_recall,
+  round(avg(latency), 6) AS latency_mean, list_sort(list(latency))[count(*) // 2 + 1] AS latency_p50 FROM t GROUP BY mode""",
+    "ndcg_of_retrieved": f"""WITH {_bm25(20)}, {_GOLD}, r AS (SELECT lex.query_id, rank, (gold.id IS NOT NULL)::INT AS rel FROM lex LEFT JOIN gold ON gold.query_id = lex.query_id AND gold.id = lex.id),
+  i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS ideal FROM r), s AS (SELECT query_id, coalesce(sum(rel / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg, coalesce(sum(rel / log2(ideal + 1)) FILTER (ideal <= 10), 0) AS best FROM i GROUP BY query_id)
+  SELECT query_id, round(dcg, 6) AS dcg, round(coalesce(dcg / nullif(best, 0), 0), 6) AS ndcg FROM s""",
 }

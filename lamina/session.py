@@ -27,15 +27,27 @@ def local_session(cores: int | str = 8, app: str = "lamina", memory: str = "8g",
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the folder of spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
-    spark = df.sparkSession
+_OWN: list[tempfile.TemporaryDirectory] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  Only where none is set and the master is local, as in tests, a folder of our
+    own that is removed when the process ends."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = tempfile.mkdtemp(prefix="lamina-checkpoint-")
-        context.setCheckpointDir(shared)
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        _OWN.append(tempfile.TemporaryDirectory(prefix="lamina-checkpoint-", ignore_cleanup_errors=True))
+        shared = _OWN[-1].name
+    context.setCheckpointDir(shared)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

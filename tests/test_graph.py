@@ -40,11 +40,36 @@ def test_roles_fail_closed(spark):
     assert parsed.filter(security.may_see("r", [])).count() == 0
 
 
-def test_leakage(spark):
-    cases = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id int, target string")
-    bad = spark.createDataFrame([(2, "b")], "query_id int, id string")
-    good = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, id string")
-    assert {r.query_id: r.passed for r in security.leakage(cases, bad, good).collect()} == {1: True, 2: False, 3: False}
+def test_leakage_is_caught(spark):
+    cases = spark.createDataFrame([(1, "a", True), (2, "L", False), (3, "c", True), (4, "M", False)], "query_id int, target string, by_chunk boolean")
+    bad = spark.createDataFrame([(2, "b", "L"), (1, "x", "a")], "query_id int, id string, document string")
+    good = spark.createDataFrame([(1, "a", None), (2, "b", "L"), (4, "z", "M"), (4, "y", None)], "query_id int, id string, document string")
+    assert {r.query_id: (r.leaked, r.found, r.passed) for r in security.leakage(cases, bad, good).collect()} == {
+        1: (False, True, True), 2: (True, True, False), 3: (False, False, False), 4: (False, True, True)
+    }
+
+
+def test_planted_leak(spark):
+    """A sensitive row whose stored roles were opened by mistake reaches guests, and the audit tells."""
+    from lamina.api import SecureRetriever
+
+    rows = [(1, "quy chế tiền lương", ["Admin", "HR"]), (2, "thưởng cuối năm cho cán bộ", ["Admin", "HR", "Guest"]), (3, "lịch làm việc", ["Admin", "HR", "Guest"])]
+    corpus = spark.createDataFrame([(i, None, None, None, t, r) for i, t, r in rows], "id long, title string, so_ky_hieu string, article string, text string, roles array<string>")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in (1, 2, 3)], "id long, embedding array<float>")
+    s = SecureRetriever(corpus, vectors, lambda df: df.withColumn("logit", F.lit(1.0)))
+    asked = corpus.filter("id < 3").select(F.col("id").alias("query_id"), F.col("text").alias("question"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("vector"))
+    cases = asked.select("query_id", F.col("query_id").cast("string").alias("target"), F.lit(True).alias("by_chunk"))
+    got = lambda role: s.ranked(asked, [role], "hybrid_rerank", 10).select("query_id", F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("document"))
+    assert {r.query_id: (r.leaked, r.passed) for r in security.leakage(cases, got("Guest"), got("HR")).collect()} == {1: (False, True), 2: (True, False)}
+
+
+def test_edges_that_roles_may_see(spark):
+    nodes = spark.createDataFrame([("a", ["Staff"]), ("b", ["Staff", "HR"]), ("c", ["HR"])], "id string, roles array<string>")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string")
+    assert [tuple(r) for r in graph.allowed_edges(edges, nodes, "src", "dst", ["Staff"]).collect()] == [("a", "b")]
+    hits = spark.createDataFrame([(1, "a"), (1, "z")], "query_id int, id string")
+    assert [tuple(r) for r in graph.next_hop(hits, edges).collect()] == [(1, "a", "b")]
+    assert graph.wipe({"n": nodes})["n"].count() == 0
 
 
 def test_quality_rows(spark):
@@ -57,8 +82,18 @@ def test_quality_rows(spark):
     assert got == sorted(["None", "self_loop", "unknown_source", "type_not_allowed", "no_evidence", "unknown_target"])
 
 
+def test_keywords_and_audit(spark):
+    rows = spark.createDataFrame([(1, "Bảo hiểm", "rủi ro"), (2, None, "phê duyệt hạn mức"), (3, None, "lao động"), (4, "x", None)], "id int, title string, text string").withColumn("roles", security.allowed_roles("title", "text"))
+    assert {r.id: len(r.roles) for r in rows.collect()} == {1: 2, 2: 3, 3: 2, 4: 5}
+    assert {r.pattern: (r.n, r.sample) for r in security.tag_audit(rows, "id").collect()}["Admin,HR"] == (2, 1)
+
+
 def test_parameters():
     Retrieval()
+    assert Retrieval.load({"FINAL_TOP_K": " 7 ", "MAX_DISTANCE": "0.5", "RRF_K": ""}) == Retrieval(final_top_k=7, max_distance=0.5)
+    for wrong in ({"FINAL_TOP_K": "x"}, {"RERANKER_BATCH": "65"}, {"EMBEDDING_SIZE": "64"}, {"FINAL_TOP_K": "1.5"}):
+        with pytest.raises(ValueError):
+            Retrieval.load(wrong)
     for wrong in ({"chunk_overlap": 1200}, {"final_top_k": 30}, {"bm25_weight": 0, "semantic_weight": 0}, {"min_rerank_score": 2}, {"context_max_chars": 1000}):
         with pytest.raises(ValueError):
             Retrieval(**wrong)

@@ -10,9 +10,9 @@ def folder(spark, tmp_path, **tables):
 
 def test_prompts_hold_the_whole_evidence(spark, tmp_path):
     text = "Tài sản bảo đảm.\n" + "x " * 200 + "hết"
-    d = folder(spark, tmp_path, documents=([(1, "a", text), (2, "b", "khác"), (3, "c", "nữa")], "doc_id long, source string, text string"))
+    d = folder(spark, tmp_path, documents=([(100, "a", text, "Tài sản"), (2, "b", "khác", None), (200, "c", "nữa", "...")], "doc_id long, source string, text string, title string"))
     got = {r.query_id: r.prompt for r in retrieval.prompt_text(spark, d).collect()}
-    assert text in got[100]
+    assert set(got) == {100} and text in got[100]
 
 
 def test_review_queue_has_every_relation(spark, tmp_path):
@@ -24,7 +24,7 @@ def test_review_queue_has_every_relation(spark, tmp_path):
 def test_html_keeps_documents_with_marks(spark, tmp_path):
     texts = ["nhóm hai, <C> là nợ cần chú ý & &lt;theo dõi&gt;", "đoạn một không có dấu gì cả", "dòng thứ hai: a < b và c > d, x & y"]
     d = folder(spark, tmp_path, documents=([(1, texts[0]), (2, "\n".join(texts[1:])), (3, None)], "doc_id long, text string"))
-    assert sorted(r.text.strip() for r in corpus._html(spark, d).collect()) == sorted(texts)
+    assert sorted(r.text for r in corpus._html(spark, d).collect()) == sorted(texts)
     assert {(r.doc_id, r.number) for r in corpus.html_chunks(spark, d).collect()} == {(1, 0), (2, 0), (2, 1)}
     assert {(r.src, r.dst, r.kind) for r in corpus.chunk_edges(spark, d).collect()} == {("2_chunk_0", "2_chunk_1", "NEXT"), ("2_chunk_0", "2_chunk_1", "PARENT_OF")}
 

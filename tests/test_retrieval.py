@@ -7,12 +7,14 @@ from lamina.functions.scores import sigmoid, vector_problem
 from pyspark.sql import functions as F
 
 
-def test_bm25_against_plain_okapi_and_ties(spark):
-    docs = {1: "lãi suất tài sản", 2: "tài sản bảo đảm", 3: "bảo đảm bảo đảm", 5: "tài sản bảo đảm", 6: None, 7: "..."}
+def test_bm25_against_plain_okapi_and_ties(spark, tmp_path):
+    docs = {1: "lãi suất tài sản", 2: "tài sản bảo đảm", 3: "bảo đảm bảo đảm", 5: "tài sản bảo đảm", 6: None, 7: "...", 8: " \n", 9: "khác hẳn"}
     corpus = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    asked = spark.createDataFrame([(1, "Tài sản, tài sản suất")], "query_id long, question string")
-    got = {r.id: r.score for r in lexical.bm25_scores(corpus, asked, "doc_id", "text").collect()}
-    words = {k: v.split() for k, v in docs.items() if v and v != "..."}
+    asked = spark.createDataFrame([(1, "Tài sản, tài sản suất"), (2, "chưa gặp"), (3, ",.")], "query_id long, question string")
+    lexical.write_index(corpus, "doc_id", "text", str(tmp_path / "i"))
+    index = lexical.read_index(spark, str(tmp_path / "i"))
+    got = {r.id: r.score for r in lexical.bm25_scores(index, asked).collect()}
+    words = {k: v.split() if v != "..." else [] for k, v in docs.items() if v and v.strip()}
     n, avg = len(words), sum(map(len, words.values())) / len(words)
     df = {t: sum(t in w for w in words.values()) for w in words.values() for t in w}
     raw = {t: math.log(n - d + 0.5) - math.log(d + 0.5) for t, d in df.items()}
@@ -24,6 +26,13 @@ def test_bm25_against_plain_okapi_and_ties(spark):
         if set(w) & {"tài", "sản", "suất"}:
             want[k] = round(s, 6)
     assert got == pytest.approx(want, abs=2e-6)
+    # all documents are ranked: those without a shared term at 0, before negative scores; a question of unknown terms gets the least ids
+    every = sorted(((want.get(k, 0.0), k) for k in words), key=lambda x: (-x[0], x[1]))
+    ranked = lexical.bm25_top_k(index, asked, 6).orderBy("query_id", "rank").collect()
+    assert [r.id for r in ranked if r.query_id == 1] == [k for _, k in every[:6]]
+    assert [(r.id, r.score) for r in ranked if r.query_id == 2] == [(k, 0.0) for k in sorted(words)[:6]] and not any(r.query_id == 3 for r in ranked)
+    few = spark.createDataFrame([(3,), (7,)], "id long")
+    assert [r.id for r in lexical.bm25_top_k(index, asked, 6, few).orderBy("rank").collect() if r.query_id == 1] == [3, 7]
     top = lexical.top_k(spark.createDataFrame([(1, 5, 0.5), (1, 2, 0.5), (1, 9, 0.1)], "query_id long, id long, score double"), 2)
     assert [r.id for r in top.orderBy("rank").collect()] == [2, 5]
 
@@ -42,6 +51,39 @@ def test_dense_against_brute_force(spark):
         assert [got[q, r] for r in range(1, 6)] == [int(i) for i in np.lexsort((np.arange(60), d))[:5]]
 
 
+def test_dense_in_parts_and_through_lists(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, [float(x) for x in centres[i % 6] + 0.2 * rng.normal(size=8)]) for i in range(240)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame(rows[::5], "query_id long, vector array<float>")
+    exact = sorted(map(tuple, dense.dense_top_k(corpus, asked, 5).collect()))
+    found = dense.fit_lists(corpus, lists=6, sample=100)
+    stored, probing = dense.with_lists(corpus, found, "embedding"), dense.with_lists(asked, found, "vector", 2)
+    got = dense.dense_top_k(stored, probing, 5)
+    assert stored.filter("lists IS NOT NULL").count() == 240 and dense.recall(got, dense.dense_top_k(corpus, asked, 5)).first().recall >= 0.9
+    monkeypatch.setattr(dense, "QUERY_BYTES", 1000)
+    monkeypatch.setattr(dense, "BLOCK", 3)
+    assert sorted(map(tuple, dense.dense_top_k(corpus, asked, 5).collect())) == exact
+    assert dense.dense_top_k(corpus.limit(0), asked, 5).count() == 0 and dense.dense_top_k(corpus, asked.limit(0), 5).count() == 0
+
+
+def test_collection(spark, tmp_path):
+    from datetime import datetime
+
+    store = dense.Collection.open(spark, str(tmp_path), "semantic", "m", 2)
+    schema = "id string, embedding array<float>, arrived timestamp"
+    store.upsert(spark.createDataFrame([("a", [1.0, 0.0], datetime(2024, 1, 1)), ("b", [1.0, 1.0], datetime(2024, 1, 1))], schema))
+    store.upsert(spark.createDataFrame([("a", [0.0, 1.0], datetime(2024, 1, 2))], schema))
+    again = dense.Collection.open(spark, str(tmp_path), "semantic", "m", 2)
+    assert {r.id: r.embedding for r in again.read().collect()} == {"a": [0.0, 1.0], "b": [1.0, 1.0]}
+    with pytest.raises(Exception, match="bad vector"):
+        again.upsert(spark.createDataFrame([("c", [0.0, 0.0], datetime(2024, 1, 2))], schema))
+    assert again.count() == 2 and dense.Collection.open(spark, str(tmp_path), "semantic", "m", 2, reset=True).count() == 0
+
+
 def test_upsert_and_manifest(spark):
     schema = "id string, embedding array<double>, arrived int"
     stored = spark.createDataFrame([("a", [1.0, 0.0], 0)], schema)
@@ -65,9 +107,14 @@ def test_rrf_expected_values(spark):
     assert fusion.fuse_two(lex, None, weights=(1.0, 0.0)).count() == 2
     with pytest.raises(ValueError):
         fusion.fuse_two(lex, sem, weights=(0.0, 0.0))
-    a = spark.createDataFrame([("c1", "x"), ("c2", "y")], "id string, text string")
-    b = spark.createDataFrame([("c1", "z"), ("c2", "y")], "id string, text string")
-    assert [r.id for r in fusion.same_payload(a, b, "id", ["text"]).collect()] == ["c1"]
+    told = lex.withColumn("text", F.lit("x")), sem.withColumn("text", F.lit("x"))
+    assert fusion.fuse_two(*told, payload=("text",)).filter("text = 'x'").count() == 3
+    with pytest.raises(Exception, match="metadata mismatch for c1"):
+        fusion.fuse_two(told[0], sem.withColumn("text", F.lit("y")), payload=("text",)).collect()
+    tie = fusion.fuse_two(lex.filter("id = 'c2'").withColumn("rank", F.lit(1)), sem.filter("id = 'c3'"), secure=True)
+    assert [r.id for r in tie.orderBy("fused_rank").collect()] == ["c2", "c3"]  # lexical rows first
+    t = fusion.fusion_trace(fusion.fuse_two(lex, sem)).first()
+    assert (t.bm25_candidates, t.semantic_candidates, t.union_count, t.overlap_count) == (2, 2, 3, 1)
 
 
 def test_multi_query_expected_values(spark):
@@ -77,11 +124,43 @@ def test_multi_query_expected_values(spark):
     assert [x for x, _ in sorted(rows.items(), key=lambda x: x[1].fused_rank)] == ["c1", "c2", "c3"]
 
 
+def test_multi_query_mismatch_and_status(spark):
+    hits = spark.createDataFrame([(1, "Q0", "c1", 1, "x"), (1, "Q10", "c1", 2, "x"), (1, "Q2", "c1", 2, "x")], "query_id int, variant_id string, id string, rank int, text string")
+    assert fusion.fuse_many(hits, payload=("text",)).first().variants == ["Q0", "Q2", "Q10"]
+    with pytest.raises(Exception, match="metadata mismatch for c1"):
+        fusion.fuse_many(hits.withColumn("text", F.col("variant_id")), payload=("text",)).collect()
+    variants = spark.createDataFrame([(q, v) for q in (1, 2, 3) for v in ("Q0", "Q1")], "query_id int, variant_id string")
+    failed = spark.createDataFrame([(1, "Q1"), (2, "Q0")], variants.schema)
+    assert {r.query_id: r.status for r in fusion.multi_query_status(variants, failed).collect()} == {1: "multi_query_partial", 2: "multi_query_failed", 3: "multi_query_success"}
+
+
+def test_parent_rerank_trace_and_metrics(spark):
+    p = spark.createDataFrame([(1, f"p{i}", i, x) for i, x in enumerate([0.1, -2.0, 3.0, 2.0], 1)], "query_id int, parent_id string, parent_rank int, logit double")
+    rows = {r.parent_id: r for r in fusion.rerank_parents(p, candidates=4, keep=3).collect()}
+    assert [(x, rows[x].rerank_rank, rows[x].rank_change, rows[x].accepted) for x in ("p3", "p4", "p1", "p2")] == [("p3", 1, 2, True), ("p4", 2, 2, True), ("p1", 3, -2, True), ("p2", 4, -2, False)]
+    assert round(rows["p2"].rerank_score, 3) == 0.119 and not fusion.rerank_parents(p.filter("logit < 0")).first().accepted
+    kids = spark.createDataFrame([(1, "aa"), (1, "bbb")], "query_id int, text string")
+    kept = spark.createDataFrame([(1, "x" * 12)], "query_id int, text string")
+    t = fusion.parent_trace(kids, p.select("query_id"), kept, 2).first()
+    assert (t.n_children, t.n_parents, t.dropped_by_limit, t.dropped_by_budget, t.child_chars, t.parent_chars, t.expansion_factor) == (2, 4, 2, 1, 5, 12, 2.4)
+    acc = spark.createDataFrame([(1, "p9", 1, ["a"], "xy"), (1, "p1", 2, ["b", "c"], "z")], "query_id int, parent_id string, rank int, supporting_ids array<string>, text string")
+    gold = lambda *x: spark.createDataFrame([(1, i) for i in x], "query_id int, id string")
+    asked = spark.createDataFrame([(1,), (2,)], "query_id int")
+    m = {r.query_id: tuple(r)[1:] for r in metrics.parent_metrics(acc, gold("p1", "p2"), gold("a", "b", "q", "r"), asked).collect()}
+    assert m == {1: (0.5, 0.5, 0.5, 3), 2: (0.0, 0.0, 0.0, 0)}
+    got = metrics.dcg_helper(spark.createDataFrame([(1, 1, 0), (1, 2, 1), (2, 1, 0)], "query_id int, rank int, relevance int"), 5).orderBy("query_id").collect()
+    assert got[0].ndcg == pytest.approx(1 / math.log2(3), abs=1e-6) and got[1].ndcg == 0.0
+
+
 def test_parent_score_and_budget(spark):
     kids = spark.createDataFrame([(1, f"c{i}", i, ["Q0"]) for i in range(1, 5)], "query_id int, id string, fused_rank int, variants array<string>")
     reg = spark.createDataFrame([("c1", "p1"), ("c2", "p1"), ("c3", "p2"), ("c4", "p3")], "id string, parent_id string")
     rows = {r.parent_id: r.parent_score for r in fusion.score_parents(kids, reg, cap=2).collect()}
     assert rows["p1"] == pytest.approx(1 / 61 + 1 / 62, abs=1e-8)
+    first = fusion.score_parents(kids, reg, cap=1).filter("parent_id = 'p1'").first()
+    assert (first.scoring_ids, first.supporting_ids, first.support_query_ids, first.anchor_id) == (["c1"], ["c1", "c2"], ["Q0"], "c1")
+    with pytest.raises(Exception, match="no parent: c4"):
+        fusion.score_parents(kids, reg.filter("id <> 'c4'")).collect()
     for sizes, kept in (((200, 1200, 100), ["p1", "p3"]), ((1200, 200, 100), ["p1"])):
         p = spark.createDataFrame([(1, f"p{i + 1}", i + 1, n) for i, n in enumerate(sizes)], "query_id int, parent_id string, parent_rank int, n_chars int")
         got = fusion.keep_within_budget(p, 1000).orderBy("context_rank").collect()
