@@ -115,8 +115,9 @@ def p9_judged(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_templates(spark: SparkSession, d: str) -> DataFrame:
     """Mined templates that are no prose, with their number of lines."""
-    lines = residue.lines_of(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    return residue.mine_templates(lines).filter("verdict <> 'prose'").select("template", "n_lines", "verdict")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    mined = residue.mine_templates(residue.lines_of(docs, "doc_id", "text"), residue.fit(docs, "doc_id", "text"))
+    return mined.filter("verdict <> 'prose'").select("template", "n_lines", "verdict")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,28 +1,41 @@
 """Template residue, filler and error-page text (problem 9).
 
-Lines of all documents are dropped into a fixed-depth prefix tree (token count, first
-tokens, last token, digits masked); a leaf is a message template.  Each template is
-classified once, on its representative line, as message, filler, furniture or prose,
-and the verdict is propagated to every line of the leaf.  Unresolved slots inside
-ordinary records are found separately by a grammar of slot delimiters and contents.
-A document is residue if it holds a slot or a filler line, or if messages make up
-most of its text without furniture.
-
-Defined cases: null, empty and blank texts are no residue; texts of any length are
-looked at whole; an empty table gives no rows.
+Lines of all documents are dropped into a fixed-depth prefix tree (token count, first DEPTH tokens, last token, digits
+masked).  What lies in a leaf is one message template where its lines are alike: the positions at which they differ
+become wildcards.  Each template is classified once and the verdict is propagated to every line that matches it;
+in a leaf of unlike lines, and for a line that does not match, the line is a template of its own.  Unresolved slots inside
+ordinary records are found separately, by a grammar of slot delimiters and contents.  A document is residue if it holds a slot
+or a filler line, or if messages make up most of its text without furniture.
+
+The classifier is a logistic model of words, pairs of neighbours and shape with four classes: message, filler, furniture
+and prose.  It is fitted here, on the labelled rows of residue_rows and on lines of at most SAMPLE_DOCUMENTS long documents
+(SAMPLE_LINES lines, PROSE_ROWS of them at first) as prose.  A long document is no message, so sampled lines that the
+first fit takes for one are added as prose and the model is fitted again.
+
+Defined cases: null, empty and blank texts are no residue; texts of any length are looked at whole; without long
+documents the labelled rows alone decide, and what is unlike all of them is prose; an empty table gives no rows; a
+null key is a document of its own; other columns play no part.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEPTH = 4
-SALTS = 8
+from lamina.llm import residue_rows
+
+DEPTH, ALIKE = 4, 0.5
+SAMPLE_DOCUMENTS, SAMPLE_LINES, PROSE_ROWS, LONG = 1500, 20_000, 4000, 1000
+SURE = 0.75
+WILD = "<*>"
+CLASSES = ("message", "filler", "furniture", "prose")
 
 # Words that field names and fill-in instructions begin with.
 _FIELD = (
@@ -31,12 +44,12 @@ _FIELD = (
 )
 _SNAKE = "[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+"
 _CAPS = "(?:[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|[A-Z]{5,})"
-_PHRASE = f"(?:(?:{_FIELD})(?![\\p{{L}}])[^\\[\\]{{}}<>«»\\n]{{0,40}}|{_SNAKE}|{_CAPS}|TBD|TODO|TBC|FIXME)"
-#: One alternative for each kind of delimiter.
+_PHRASE = f"(?:(?:{_FIELD})(?![\\p{{L}}])[^\\[\\]{{}}<>«»\\n]*+|{_SNAKE}|{_CAPS}|TBD|TODO|TBC|FIXME)"
+#: One alternative for each kind of delimiter.  What stands inside may be of any length, within its line.
 SLOTS = (
-    "\\{\\{[^{}\\n]{0,60}\\}\\}", "\\{[%#][^}\\n]{1,60}[%#}]\\}", "<%[^%\\n]{0,60}%>", "<<[^<>\\n]{1,60}>>", "\\[\\[[^\\[\\]\\n]{1,60}\\]\\]",
-    "\\$\\{[^{}\\n]{1,60}\\}", f"\\$(?:{_SNAKE}|[A-Z]{{4,}}|[a-z]{{4,}})\\$?(?![\\p{{L}}])", "%[A-Z][A-Z_0-9]{2,}%", "%\\([a-z_0-9]+\\)[sd]",
-    "__[A-Z][A-Z0-9_]*__", "#[A-Z][A-Z_0-9]{3,}#", ":[a-z]+(?:_[a-z]+)+:", "@Model\\.[a-z_A-Z]+", "@@[A-Za-z_]+@@", "&lt;[^&\\n]{1,60}&gt;",
+    "\\{\\{[^{}\\n]*+\\}\\}", "\\{[%#][^}\\n]++(?<=[%#])\\}", "<%[^%\\n]*+%>", "<<[^<>\\n]++>>", "\\[\\[[^\\[\\]\\n]++\\]\\]",
+    "\\$\\{[^{}\\n]++\\}", f"\\$(?:{_SNAKE}|[A-Z]{{4,}}|[a-z]{{4,}})\\$?(?![\\p{{L}}])", "%[A-Z][A-Z_0-9]{2,}%", "%\\([a-z_0-9]+\\)[sd]",
+    "__[A-Z][A-Z0-9_]*__", "#[A-Z][A-Z_0-9]{3,}#", ":[a-z]+(?:_[a-z]+)+:", "@Model\\.[a-z_A-Z]+", "@@[A-Za-z_]+@@", "&lt;[^&\\n]++&gt;",
     f"\\[\\s*{_PHRASE}\\s*\\]", f"\\{{\\s*(?:{_PHRASE}|[a-z]{{4,}})\\s*\\}}", f"<\\s*{_PHRASE}\\s*>", f"«\\s*{_PHRASE}\\s*»",
     "\\[\\s*(?:●|•|_+|\\?+|x{2,}|X{2,}|\\.{3,}| ?)\\s*\\]", "\\{\\s*(?:[0-9]{1,2}(?::[A-Z][0-9]?)?)?\\s*\\}", "(?<![\\p{L}\\d])(?:XX/XX/|[xX]{2}/[xX]{2}/|dd/mm/yyyy|DD/MM/YYYY)", "(?<![\\p{L}\\d])20XX(?![\\p{L}\\d])",
 )
@@ -44,65 +57,100 @@ SLOTS = (
 SLOT = "(?=[{\\[<$%_#:@&«])(?:" + "|".join(s for s in SLOTS if not s.startswith("(?<!")) + ")"
 DATE_SLOT = "|".join(s for s in SLOTS if s.startswith("(?<!"))
 
-# Wording of messages, in lower case with digits masked.
-_MESSAGE = re.compile(
-    r"không tìm thấy|not found|could(?: not|n't) be (?:found|located|loaded|opened)|forbidden|access (?:was |is )?denied|permission denied|not (?:allowed|authori[sz]ed|permitted) to|(?:don't|do not) have (?:the )?(?:permission|access)|"
-    r"(?:không có|chưa có|thiếu) quyền|bị từ chối truy cập|từ chối truy cập|http(?: status)? #|error #|lỗi #|service (?:temporarily )?unavailable|bad gateway|gateway time-?out|internal server error|"
-    r"temporarily (?:offline|unavailable|down)|too many (?:requests|attempts)|your address was|hệ thống (?:đang |tạm |hiện )?(?:được )?(?:bảo trì|quá tải|tạm ngừng|ngừng|bận|nâng cấp)|(?:phiên|lượt)[^.]{0,24}(?:hết hạn|bị ngắt|không còn hiệu lực|hết hiệu lực)|"
-    r"đăng nhập lại|session (?:has |was )?(?:expired|ended|closed|timed)|sign in again|log ?in again|(?:java)?script|tập lệnh|cookies?\b|(?:checking|verifying) your browser|traceback|exception|undefined (?:variable|index|offset)|member function|"
-    r"\bora-#|\bdb-#|sqlstate|nullpointer|fatal error|(?:key|value|type|name|index|attribute|runtime)error|\bfile \".{1,30}\", line #|^at [a-z_.]+|lỗi (?:tải|mở|chuyển|kết nối|máy chủ|hệ thống|hiển thị|đọc|ghi)|chuyển sang địa chỉ khác|không còn tồn tại|đã bị (?:gỡ|xóa)|"
-    r"truy vấn quá thời gian|mất kết nối|không mở được|trình duyệt|stack trace|exception report|page (?:has |is )?(?:expired|moved|gone)|link (?:has )?expired|(?:liên kết|đường dẫn) này|try again (?:later|in)|retry in|thử lại sau|trở lại sau|quay lại trang chủ|contact the (?:operator|administrator)|liên hệ quản trị|thử từ khóa khác|captcha|are (?:you )?(?:a )?(?:human|robot)"
-)
-_OPENS = re.compile(r"^(?:#|http|error|lỗi|traceback|file|at |java|warning|notice|fatal|ora-|db-|sqlstate|access|you |your |this |the (?:requested|selected)|too many|không tìm|hệ thống|phiên|lượt|tài khoản này|bạn|trang|bài|liên kết|please|xin|vui lòng|hãy|mời|cần|phải|noscript|javascript|tập lệnh|trình duyệt|checking|verifying|service|search|gazette|system|site|type exception|[a-z]+error)")
-_FILLER = re.compile(
-    r"(?:sẽ|đang|được|chưa|chờ)[^.]{0,12}(?:viết|bổ sung|cập nhật|biên tập|có dữ liệu|soạn)|(?:chưa có|đang chờ) (?:dữ liệu|nội dung|bài)|^(?:todo|tbd|tbc|fixme)\b|^(?:chèn|dán|đặt|thêm) [^.]{0,40}(?:chỗ trống|khung này|vào đây|ở đây)|"
-    r"(?:chữ|đoạn|văn bản|nội dung|câu|bài) (?:mẫu|giả|thử)\b|^(?:placeholder|dummy|sample|test|example|filler) (?:text|content|paragraph|title|heading|post|page)|(?:text|content|paragraph) goes here|replace before release|do not publish|your text here|^(?:tiêu đề|tên|phụ đề|tựa|mô tả)[^.]{0,24}(?:ở đây|số #)$|coming soon|under construction|to be (?:added|completed|written|announced)|lorem ipsum|chạy thử|(?:kiểm tra|thử) (?:đăng )?bài|thử nghiệm bài"
-)
-_FILLER_SHORT = re.compile(r"^(?:phần|mục|đoạn|nội dung|bài viết|chuyên mục|trang|văn bản|chương|bảng) (?:này )?(?:đang|sẽ|chưa|chờ)")
-#: The words of the customary Latin dummy text.
-LATIN_DUMMY = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
-)
-_MASH = re.compile(r"(?:(\w)\1{2,}|asdf|qwer|zxcv|hjkl|jkl|uiop|abc|xyz|foo|bar|baz|test|thử|\?{3,}|\.{3,}|…+|#)")
-_FURNITURE = re.compile(r"trang chủ|đăng nhập|đăng ký|trợ giúp|liên hệ|home »|library|©|mã theo dõi|bản quyền|copyright|menu|tra cứu \||^(?:node|edge|proxy|host|ref|id|code)[- #]*$")
-
-
-def classify(line: str) -> str:
-    """Verdict on a template's representative line: message, filler, furniture or prose."""
-    words = re.findall(r"[^\s]+", line)
-    if not words:
-        return "furniture"
-    bare = [w.strip(".,;:!?…\"'()") for w in words]
-    if len(words) >= 3 and sum(w in LATIN_DUMMY for w in bare) >= 0.7 * len(words):
-        return "filler"
-    if len(words) >= 2 and all(_MASH.fullmatch(w) or not w for w in bare) and any(w.isalpha() or "?" in w for w in words):
-        return "filler"
-    if len(words) == 1 and re.fullmatch(r"(?:(\w)\1{2,}|asdf\w*|qwer\w*|lorem|xyz|abc)", bare[0]):
-        return "filler"
-    if re.match(r"(?:todo|tbd|tbc|fixme)\b", line):
-        return "filler"
-    if len(words) <= 14 and (_FILLER.search(line) or _FILLER_SHORT.search(line)) and "“" not in line and not _DOMAIN.search(line):
-        return "filler"
-    if len(words) <= 24 and (m := _MESSAGE.search(line)) and "“" not in line and not _DOMAIN.search(line):
-        covered = sum(len(x.group()) for x in _MESSAGE.finditer(line))
-        if _OPENS.search(line) or covered >= 0.3 * len(line) or m.start() == 0:
-            return "message"
-    if len(words) <= 14 and _FURNITURE.search(line):
-        return "furniture"
-    if len(words) <= 2 and not line.endswith((".", ";")):
-        return "furniture"
-    return "prose"
-
-
-# Wording that shows a sentence reports on a message instead of being one.
-_DOMAIN = re.compile(r"giao dịch viên|nhật ký|hồ sơ được|biên bản|chi nhánh|tổ công nghệ|nhân viên|khách hàng|hướng dẫn khách|the audit|clerk|the branch|bút toán|người dùng thấy|quy định|hợp đồng|khoản vay|tổ trưởng|kiểm soát viên|điều khoản|câu cũ")
-
 
 def mask(line: str) -> str:
     """The line in lower case, spaces run together, digits masked."""
     return re.sub(r"\d+", "#", re.sub(r"[\s\xa0]+", " ", line).strip().lower())
 
 
+_TOKEN = re.compile(r"[^\W\d_]+|#|<\*>|[^\w\s]")
+
+
+def features(line: str) -> list[str]:
+    """Words, pairs of neighbours, first and last word, repetition and number of words of a masked line or template."""
+    words = _TOKEN.findall(line)
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    letters = [w for w in words if w[0].isalpha()]
+    shape = [f"=n{min(len(words), 12)}", f"=d{len(set(letters)) < 0.75 * len(letters)}", "^" + words[0] if words else "^", "$" + words[-1] if words else "$"]
+    runs = [f"=r{len(w)}" for w in letters if len(set(w)) == 1 and len(w) > 1]
+    return list(dict.fromkeys([*words, *pairs, *shape, *runs]))
+
+
+class Classifier:
+    """Logistic regression over string features; features it was not fitted on play no part."""
+
+    def __init__(self, rows: Iterable[tuple[str, int]], epochs: int = 10, rate: float = 0.5, seed: int = 1) -> None:
+        data = [(features(line), label) for line, label in rows]
+        self.place: dict[str, int] = {}
+        for names, _ in data:
+            for name in names:
+                self.place.setdefault(name, len(self.place))
+        self.weights = np.zeros((len(self.place), len(CLASSES)))
+        squares = np.full_like(self.weights, 1e-8)
+        known = [(np.array([self.place[n] for n in names]), label) for names, label in data]
+        rng = np.random.default_rng(seed)
+        for _ in range(epochs):
+            for i in rng.permutation(len(known)):
+                at, label = known[i]
+                slope = self._shares(at)
+                slope[label] -= 1
+                slope /= np.sqrt(len(at))
+                squares[at] += slope * slope
+                self.weights[at] -= rate * slope / np.sqrt(squares[at])
+
+    def _shares(self, at: np.ndarray) -> np.ndarray:
+        z = self.weights[at].sum(axis=0) / np.sqrt(max(1, len(at)))
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    def verdict(self, line: str) -> str:
+        """The class of a masked line.  It is residue where message and filler together reach SURE; a line of which more than
+        a third of the words is unknown is prose."""
+        words = _TOKEN.findall(line)
+        if not words or 3 * sum(w in self.place for w in words) < 2 * len(words):
+            return CLASSES[-1]
+        at = [p for n in features(line) if (p := self.place.get(n)) is not None]
+        shares = self._shares(np.array(at, dtype=int))
+        if shares[0] + shares[1] >= SURE:
+            return CLASSES[int(shares[1] > shares[0])]
+        return CLASSES[2] if shares[2] >= shares[3] else CLASSES[3]
+
+
+def labelled() -> list[tuple[str, int]]:
+    return [(mask(line), k) for k, text in enumerate((residue_rows.MESSAGE, residue_rows.FILLER, residue_rows.FURNITURE)) for line in text.strip().split("\n")]
+
+
+def train(prose: list[str]) -> Classifier:
+    """Fitted on the labelled rows and a part of the masked prose lines; then again with those of the rest that it took for messages."""
+    some = sorted(set(prose), key=lambda x: (zlib.crc32(x.encode()), x))
+    base = labelled() * 4
+    first = [(x, 3) for x in some[:PROSE_ROWS]]
+    model = Classifier([*base, *first])
+    wrong = [(x, 3) for x in some[PROSE_ROWS:] if model.verdict(x) == "message"]
+    return Classifier([*base, *first, *wrong * 4]) if wrong else model
+
+
+def fit(df: DataFrame, key: str, text: str) -> Classifier:
+    """The classifier of a table of documents.  The driver gets the sampled lines only, those of the least hash of their key."""
+    long = df.filter(F.length(text) >= LONG).select(F.col(key).alias("__id"), F.xxhash64(key).alias("__h"))
+    chosen = long.orderBy("__h").limit(SAMPLE_DOCUMENTS).select("__id")
+    lines = lines_of(df.join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("__id")), "left_semi"), key, text)
+    rows = lines.select("__line", F.xxhash64("__line").alias("__h")).orderBy("__h").limit(SAMPLE_LINES).select("__line").toPandas()
+    return train(rows["__line"].tolist())
+
+
+def template(lines: list[str]) -> tuple[str, float]:
+    """What masked lines of one leaf have in common, wildcards elsewhere, and the share of their tokens that agree."""
+    tokens = [x.split(" ") for x in lines]
+    same = [t if all(other[i] == t for other in tokens[1:]) else WILD for i, t in enumerate(tokens[0])]
+    return " ".join(same), sum(t != WILD for t in same) / len(same)
+
+
+def matches(line: str, shape: str) -> bool:
+    a, b = line.split(" "), shape.split(" ")
+    return len(a) == len(b) and all(y in (x, WILD) for x, y in zip(a, b, strict=True))
+
+
 def has_slot(text: str) -> Column:
     """Whether the text holds an unresolved slot; dates to be filled in are looked for only where XX or a mask of letters stands."""
     body = F.col(text)
@@ -111,40 +159,78 @@ def has_slot(text: str) -> Column:
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Non-blank lines of all texts: key, line, its leaf in the prefix tree and its length."""
+    """Non-blank lines of all texts, masked: key, line, its leaf in the prefix tree and its length."""
     rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.explode(F.split(F.col(text), "\n")).alias("__line"))
-    rows = rows.withColumn("__line", F.trim("__line")).filter("__line <> ''")
-    tokens = F.split("__line", "[\\s\\x{a0}]+")
-    path = F.regexp_replace(F.lower(F.concat_ws(" ", F.slice(tokens, 1, DEPTH), F.element_at(tokens, -1))), "[0-9]+", "#")
-    return rows.select("__id", "__line", F.xxhash64(F.size(tokens), path).alias("__leaf"), F.length("__line").alias("__size"))
-
-
-@F.pandas_udf(T.StringType())
-def _classify_batch(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda x: classify(mask(x)))
-
-
-def mine_templates(lines: DataFrame) -> DataFrame:
-    """One row per leaf: template id, representative line, number of lines, verdict."""
-    leaves = lines.groupBy("__leaf").agg(F.min("__line").alias("template"), F.count("*").alias("n_lines"))
-    return leaves.withColumn("verdict", _classify_batch("template"))
-
-
-def judge_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per key that holds residue: key, has_slot, filler_lines, message_share.
-
-    Verdicts other than prose are few; they are joined to the lines by leaf, salted, since one leaf
-    (a navigation line) may hold a large share of all lines."""
-    lines = lines_of(df, key, text)
-    verdicts = mine_templates(lines).filter("verdict <> 'prose'").select(F.col("__leaf").alias("__l"), "verdict", F.explode(F.array([F.lit(i) for i in range(SALTS)])).alias("__s"))
-    salted = lines.select("__id", "__leaf", "__size", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int").alias("__salt"))
-    marked = salted.join(verdicts, (F.col("__leaf") == F.col("__l")) & (F.col("__salt") == F.col("__s")), "left")
+    rows = rows.withColumn("__line", F.trim(F.regexp_replace("__line", "[\\s\\x{a0}]+", " "))).filter("__line <> ''")
+    rows = rows.select("__id", F.regexp_replace(F.lower("__line"), "\\p{Nd}+", "#").alias("__line"), F.length("__line").alias("__size"))
+    tokens = F.split("__line", " ")
+    return rows.withColumn("__leaf", F.xxhash64(F.size(tokens), F.concat_ws(" ", F.slice(tokens, 1, DEPTH), F.element_at(tokens, -1))))
+
+
+_MINED = T.StructType().add("template", T.StringType()).add("verdict", T.StringType())
+MIXED = "mixed"
+
+
+def mine_templates(lines: DataFrame, model: Classifier) -> DataFrame:
+    """One row per leaf: __leaf, template, n_lines, verdict.
+
+    A leaf's template comes from three of its lines, the least, the greatest and the one of the least hash; a leaf whose
+    lines are unlike, or are judged differently, is mixed: its lines are judged one by one."""
+    shared = lines.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(_MINED)
+    def judge(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.DataFrame:
+        m, out = shared.value, []
+        for x in zip(a, b, c, strict=True):
+            some = list(dict.fromkeys(x))
+            shape, alike = template(some)
+            said = {m.verdict(line) for line in some}
+            one = said.pop() if len(said) == 1 else MIXED
+            out.append((shape, one if one == "prose" or alike >= ALIKE else MIXED))
+        return pd.DataFrame(out, columns=["template", "verdict"])
+
+    leaves = lines.groupBy("__leaf").agg(
+        F.min("__line").alias("a"), F.max("__line").alias("b"), F.min_by("__line", F.xxhash64("__line")).alias("c"), F.count("*").alias("n_lines")
+    )
+    return leaves.select("__leaf", "n_lines", judge("a", "b", "c").alias("j")).select("__leaf", "n_lines", "j.*")
+
+
+def judge_lines(lines: DataFrame, model: Classifier) -> DataFrame:
+    """Lines with `verdict`: that of their template, or their own where they match none.
+
+    Only leaves that are not prose meet the lines again, with the lines' leaf, key and size; the masked line goes along for
+    the match.  They are few, and the planner broadcasts them while they are under its size bound; beyond it the join is
+    on leaf, and AQE splits a leaf that holds a large share of all lines, as both sides come as they are."""
+    shared = lines.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def settle(line: pd.Series, shape: pd.Series, verdict: pd.Series) -> pd.Series:
+        m = shared.value
+        own: dict[str, str] = {}
+        out = []
+        for x, y, v in zip(line, shape, verdict, strict=True):
+            if x is None or (v != MIXED and matches(x, y)):
+                out.append(v)
+                continue
+            if x not in own:
+                own[x] = m.verdict(x)
+            out.append(own[x])
+        return pd.Series(out, dtype=object)
+
+    found = mine_templates(lines, model).filter("verdict <> 'prose'").select(F.col("__leaf").alias("__l"), "template", "verdict")
+    met = lines.join(found, F.col("__leaf") == F.col("__l"), "left")
+    odd = F.col("__l").isNotNull()
+    said = settle(F.when(odd, F.col("__line")), F.when(odd, F.col("template")), F.when(odd, F.col("verdict")))
+    return met.select("__id", "__size", F.when(odd, said).otherwise("prose").alias("verdict"))
+
+
+def judge_documents(df: DataFrame, key: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:
+    """One row per key that holds residue: key, has_slot, filler_lines, message_share."""
+    model = model or fit(df, key, text)
+    marked = judge_lines(lines_of(df, key, text), model)
     size = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("__size")).otherwise(0))
-    per = marked.groupBy("__id").agg(
-        size("message").alias("__message"), F.count_if(F.col("verdict") == "filler").alias("filler_lines"),
-        F.sum(F.when(F.col("verdict").isNull(), F.col("__size")).otherwise(0)).alias("__prose"),
-    )
+    per = marked.groupBy("__id").agg(size("message").alias("__message"), size("prose").alias("__prose"), F.count_if(F.col("verdict") == "filler").alias("filler_lines"))
     per = per.withColumn("message_share", F.coalesce(F.try_divide(F.col("__message"), F.col("__message") + F.col("__prose")), F.lit(0.0)))
-    slots = df.filter(has_slot(text)).select(F.col(key).alias("__id"), F.lit(True).alias("__slot")).distinct()
-    out = per.join(slots, "__id", "left").withColumn("has_slot", F.coalesce("__slot", F.lit(False)))
+    slots = df.filter(has_slot(text)).select(F.col(key).alias("__slotted")).distinct()
+    out = per.join(slots, F.col("__id").eqNullSafe(F.col("__slotted")), "left").withColumn("has_slot", F.col("__slotted").isNotNull())
     return out.filter("has_slot OR filler_lines > 0 OR message_share >= 0.5").select(F.col("__id").alias(key), "has_slot", "filler_lines", "message_share")
