@@ -3,14 +3,16 @@
 An averaged-perceptron character editor predicts for each character to keep, replace,
 delete or insert, and for each line end to keep it or join the word broken over it.  It
 is trained here, on words of unscanned pages with noise of a fixed visual channel put
-in.  It runs where the text is in doubt: on words, and line ends, that unscanned pages
-do not attest, alone or with their neighbours; an edit stands only if it yields
-attested text.  A second perceptron removes running headers, footers and page numbers
+in and letters lost.  It reads every word in doubt: one that unscanned pages do not attest, or not next to its
+neighbours.  All readings that the editor's operations lead to and that are attested words are
+found, guided by the attested words' beginnings; the best by the editor's score and the neighbours stands,
+if it is better than what is written.  A second perceptron removes running headers, footers and page numbers
 by position on the page, shape, and what recurs at page edges, wherever it then stands.
 
-Bounds: the models are fitted on a sample of at most SAMPLE_WORDS words and
-SAMPLE_LINES lines; counts of words, neighbours and edge lines cover all pages, and
-the LEXICON_MOST, PAIRS_MOST and EDGE_MOST most frequent are what the models are given.
+Counts of words, neighbours and edge lines cover all pages.  What is attested is a matter of share, at every size: a
+word of WORD_SHARE of all words (and three of them), a pair of PAIR_SHARE (and two), a form of EDGE_SHARE of all edge lines (and
+three).  There can be no more than 1 / share of each, which bounds what is broadcast.
+The models alone are fitted on samples: words of at most SAMPLE_PAGES pages, SAMPLE_WORDS in all, and SAMPLE_LINES lines.
 
 Defined cases: a page that is known not to be scanned stays as it is; null text gives
 null, no mark; an empty page is clean; without unscanned pages nothing is attested and
@@ -23,7 +25,8 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -33,10 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.syllables import LETTERS
+from lamina.session import cut_lineage
 
-SAMPLE_WORDS, SAMPLE_LINES = 12_000, 20_000
-LEXICON_MOST, PAIRS_MOST, EDGE_MOST = 200_000, 600_000, 5_000
+SAMPLE_PAGES, SAMPLE_WORDS, SAMPLE_LINES = 600, 8000, 20_000
+WORD_SHARE, PAIR_SHARE, EDGE_SHARE = 1e-6, 5e-7, 1e-5
 EDGE_TOP, EDGE_BOTTOM = 2, 3
+EDIT, NEIGHBOUR, CONVINCED = 0.5, 4.0, 3.0
 
 # Characters and what a recogniser takes them for.
 CHANNEL = "n>ri h>b t>f g>9 i>í c>e u>ii đ>d o>0 l>1 m>rn rn>m B>8 I>l I>| l>I O>0 0>O 1>l 5>S 8>B d>cl e>c b>h f>t a>o v>y s>5 q>g ri>n cl>d Đ>D D>Đ T>F C>G E>F w>vv".split()
@@ -110,31 +115,47 @@ class Perceptron:
 
 @dataclass
 class Model:
-    """What the repair is given: attested words and pairs, edge lines, and the two perceptrons."""
+    """What the repair is given: attested words in order and pairs ("a b"), edge lines, and the two perceptrons."""
 
     words: frozenset[str] = frozenset()
-    pairs: frozenset[tuple[str, str]] = frozenset()
+    pairs: frozenset[str] = frozenset()
     edges: frozenset[str] = frozenset()
     editor: Perceptron = field(default_factory=Perceptron)
     furniture: Perceptron = field(default_factory=Perceptron)
     labels: dict[str, list[str]] = field(default_factory=dict)
     known: frozenset[str] = frozenset()
+    ordered: list[str] = field(default_factory=list)
+
+    def begins(self, text: str) -> bool:
+        """Whether some attested word begins with the text."""
+        i = bisect_left(self.ordered, text)
+        return i < len(self.ordered) and self.ordered[i].startswith(text)
 
 
 def features_at(word: str, i: int) -> list[str]:
-    w = "^^" + word + "$$"
+    w = "^^" + word + "$$$"
     j = i + 2
     a, b, c, d, e = w[j - 2], w[j - 1], w[j], w[j + 1], w[j + 2]
     return [c, b + c, c + d + ">", a + b + c, c + d + e + ">", b + c + d, f"{c}@{min(i, 2)}", f"{c}@-{min(len(word) - i, 3)}", f"{c}{'9' if any(x.isdigit() for x in word) else ''}#"]
 
 
+END = "$"
+
+
 def corrupt(word: str, rng: random.Random) -> tuple[str, list[str]]:
-    """The word with noise of the channel, and for each noisy character the edit that undoes it."""
-    out, ops, i, hits = [], [], 0, 0
+    """The word with noise of the channel and letters lost, and for each character, and the end, the edit that undoes it.
+
+    R<text> replaces the character, D deletes it, I<letter> inserts a letter before it, K keeps it."""
+    out, ops, i, lost = [], [], 0, ""
     while i < len(word):
         options = [x.split(">") for x in CHANNEL if word.startswith(x.split(">")[0], i)]
         slips = SLIPS.get(word[i], [])
-        if (options or slips) and rng.random() < 0.28:
+        chance = rng.random()
+        if lost:
+            out.append(word[i])
+            ops.append("I" + lost)
+            lost, i = "", i + 1
+        elif (options or slips) and chance < 0.28:
             if options and (not slips or rng.random() < 0.7):
                 good, bad = rng.choice(options)
             else:
@@ -142,21 +163,19 @@ def corrupt(word: str, rng: random.Random) -> tuple[str, list[str]]:
             out.append(bad)
             ops += [f"R{good}"] + ["D"] * (len(bad) - 1)
             i += len(good)
-            hits += 1
+        elif chance > 0.96 and i and len(word) > 3 and word[i].isalpha():
+            lost, i = word[i], i + 1
         else:
             out.append(word[i])
             ops.append("K")
             i += 1
-    return "".join(out), ops
+    return "".join(out), [*ops, "I" + lost if lost else "K"]
 
 
 def train_editor(words: list[str], seed: int = 5, epochs: int = 3) -> tuple[Perceptron, dict[str, list[str]]]:
     """The character editor and the edits it knows for each character.  Words come in a fixed order."""
     rng = random.Random(seed)
-    data = []
-    for w in words[:SAMPLE_WORDS]:
-        bad, ops = corrupt(w, rng)
-        data.append((bad, ops))
+    data = [corrupt(w, rng) for w in words[:SAMPLE_WORDS]]
     labels: dict[str, set[str]] = defaultdict(lambda: {"K"})
     for x in CHANNEL:
         good, bad = x.split(">")
@@ -166,60 +185,60 @@ def train_editor(words: list[str], seed: int = 5, epochs: int = 3) -> tuple[Perc
     for good, others in SLIPS.items():
         for bad in others:
             labels[bad].add(f"R{good}")
+    inserts = Counter((c, op) for bad, ops in data for c, op in zip(bad + END, ops, strict=True) if op[0] == "I")
+    for (c, op), n in inserts.items():
+        if n >= 2:
+            labels[c].add(op)
     known = {c: sorted(x) for c, x in labels.items()}
     model = Perceptron()
     for _ in range(epochs):
         rng.shuffle(data)
         for bad, ops in data:
             for i, op in enumerate(ops):
-                if (choice := known.get(bad[i])) and op in choice:
+                choice = known.get(bad[i] if i < len(bad) else END)
+                if choice and op in choice:
                     model.learn(features_at(bad, i), op, choice)
     model.average()
     return model, known
 
 
-def _edits(word: str, model: Model, beam: int = 48, most: int = 4) -> list[tuple[float, str]]:
-    """Readings of the word by rising cost: beams over the editor's operations, at most `most` edits."""
-    beams = [(0.0, "", 0)]
-    gaps = []
-    for i, c in enumerate(word):
-        choice = model.labels.get(c)
+def readings(word: str, model: Model) -> list[tuple[float, str]]:
+    """All attested words, other than the word itself, that the editor's operations make of it, with their least cost.
+
+    A cost is how far the editor's score for an edit falls behind that for keeping the character, plus EDIT; at most half
+    of the characters are edited (two in a short word).  The walk keeps to beginnings of attested words."""
+    most = max(2, (len(word) + 1) // 2)
+    plans = []
+    for i in range(len(word) + 1):
+        choice = model.labels.get(word[i] if i < len(word) else END)
         if not choice:
-            gaps.append([("K", 0.0)])
+            plans.append((("K", 0.0),))
             continue
         s = model.editor.scores(features_at(word, i), choice)
         keep = s["K"]
-        gaps.append([(op, keep - v) for op, v in s.items()])
-    for i, options in enumerate(gaps):
-        nxt = []
-        for cost, text, n in beams:
-            for op, extra in options:
-                if op == "K":
-                    nxt.append((cost, text + word[i], n))
-                elif n < most:
-                    nxt.append((cost + extra + 0.5, text + ("" if op == "D" else op[1:]), n + 1))
-        nxt.sort(key=lambda b: (b[0], b[2]))
-        beams = nxt[:beam]
-    seen, out = set(), []
-    for cost, text, n in beams:
-        if n and text not in seen:
-            seen.add(text)
-            out.append((cost, text))
-    return out
-
-
-def _single(word: str, model: Model) -> list[str]:
-    """Readings by one or two edits, complete: the exact check behind the beam for short words."""
-    out = set()
-    for i, c in enumerate(word):
-        for op in model.labels.get(c, ()):
-            if op == "D":
-                continue
-            if op != "K":
-                out.add(word[:i] + op[1:] + word[i + 1 :])
-                if i + 1 < len(word) and "D" in model.labels.get(word[i + 1], ()):
-                    out.add(word[:i] + op[1:] + word[i + 2 :])
-    return sorted(out)
+        plans.append(tuple((op, 0.0 if op == "K" else max(0.0, keep - v) + EDIT) for op, v in s.items()))
+    best: dict[str, float] = {}
+    seen: dict[tuple[int, str, bool], tuple[float, int]] = {}
+    todo = [(0.0, 0, "", 0, False)]
+    while todo:
+        cost, i, text, n, inserted = todo.pop()
+        old = seen.get((i, text, inserted))
+        if old is not None and old[0] <= cost and old[1] <= n:
+            continue
+        seen[i, text, inserted] = (cost, n)
+        low = text.lower()
+        if i == len(word) and low in model.words and n and low != word.lower() and cost < best.get(text, 1e9):
+            best[text] = cost
+        for op, extra in plans[i]:
+            kind, made = op[0], op[1:]
+            if kind == "I":
+                if not inserted and n < most and model.begins(low + made.lower()):
+                    todo.append((cost + extra, i, text + made, n + 1, True))
+            elif i < len(word):
+                new = text + word[i] if kind == "K" else text if kind == "D" else text + made
+                if (kind == "K" or n < most) and model.begins(new.lower()):
+                    todo.append((cost + extra, i + 1, new, n + (kind != "K"), False))
+    return sorted((c, t) for t, c in best.items())
 
 
 def _low(word: str) -> str:
@@ -229,49 +248,65 @@ def _low(word: str) -> str:
 _MEMORY: dict = {}
 
 
-def _readings(word: str, known: bool, model: Model) -> list[str]:
-    """Attested readings of a word, the editor's own order first; remembered per worker, as slips recur."""
+def _readings(word: str, model: Model) -> list[tuple[float, str]]:
+    """Readings remembered per worker, as slips recur."""
     if _MEMORY.get("model") is not model or len(_MEMORY) > 200_000:
         _MEMORY.clear()
         _MEMORY["model"] = model
-    if (word, known) not in _MEMORY:
-        every = [*([] if known else [t for _, t in _edits(word, model)]), *_single(word, model)]
-        low = word.lower()
-        _MEMORY[word, known] = [t for t in dict.fromkeys(every) if t.lower() in model.words and t.lower() != low]
-    return _MEMORY[word, known]
+    if word not in _MEMORY:
+        _MEMORY[word] = readings(word, model)
+    return _MEMORY[word]
+
+
+_LINKS = frozenset(a + n + b for a in ("", " ") for n in ("", "\n") for b in ("", " "))
 
 
 def fix_words(text: str, model: Model) -> tuple[str, int]:
-    """The text with doubtful words read anew, and how many were."""
+    """The text with doubtful words read anew, and how many were.
+
+    A reading's score is NEIGHBOUR for each neighbour with which it is attested, less its cost; it must be above
+    -CONVINCED.  A word that is itself attested gives way only to a reading that all its neighbours attest, more of
+    them than attest the word, and that costs no more than CONVINCED."""
     if not model.words:
         return text, 0
     found = list(_WORD.finditer(text))
-    lows = [_low(m.group()) for m in found]
-    linked = [False] + [bool(re.fullmatch(r"[ ]?\n?[ ]?", text[a.end() : b.start()])) for a, b in zip(found, found[1:], strict=False)] + [False]
+    if not found:
+        return text, 0
+    spans = [m.span() for m in found]
+    raw = [m.group() for m in found]
+    lows = list(map(_low, raw))
+    known = list(map(model.known.__contains__, lows))
+    paired = list(map(model.pairs.__contains__, map(" ".join, zip(lows, lows[1:], strict=False))))
+    linked = [text[a[1] : b[0]] in _LINKS for a, b in zip(spans, spans[1:], strict=False)]
+    # a gap between two known words that are linked but not attested together puts both in doubt
+    odd = [link and not pair and a and b for link, pair, a, b in zip(linked, paired, known, known[1:], strict=False)]
+    doubtful = [i for i, (k, a, b) in enumerate(zip(known, [False, *odd], [*odd, False], strict=True)) if not k or a or b]
     out, at, n = [], 0, 0
-    for i, m in enumerate(found):
-        w, low = m.group(), lows[i]
-        left = lows[i - 1] if linked[i] else None
-        right = lows[i + 1] if linked[i + 1] else None
+    for i in doubtful:
+        w, low = raw[i], lows[i]
         if low == "#":
             continue
-        known = low in model.words
-        attested = [(a, b) in model.pairs for a, b in ((left, low), (low, right)) if a is not None and b is not None and a in model.known and b in model.known]
-        if known and (not attested or all(attested)):
+        left = lows[i - 1] if i and linked[i - 1] else None
+        right = lows[i + 1] if i + 1 < len(lows) and linked[i] else None
+        here = low in model.words
+        sides = [(a, b) for a, b in ((left, low), (low, right)) if a is not None and b is not None and a in model.known and b in model.known]
+        attested = sum(f"{a} {b}" in model.pairs for a, b in sides)
+        if here and attested == len(sides):
             continue
-        best = None
-        for t in _readings(w, known, model):
+        best, score = None, -CONVINCED
+        for cost, t in _readings(w, model):
             tl = t.lower()
-            fit = sum((a, b) in model.pairs for a, b in ((left, tl), (tl, right)) if a is not None and b is not None)
-            if known and (fit <= sum(attested) or fit < len(attested)):
+            fit = sum(f"{a} {b}" in model.pairs for a, b in ((left, tl), (tl, right)) if a is not None and b is not None)
+            if here and (cost > CONVINCED or fit <= attested or fit < len(sides)):
                 continue
-            if best is None or fit > best[0]:
-                best = (fit, t)
-        if best is None or (known and best[0] == 0):
+            if NEIGHBOUR * fit - cost > score:
+                best, score = t, NEIGHBOUR * fit - cost
+        if best is None:
             continue
-        out += (text[at : m.start()], best[1])
-        at, n = m.end(), n + 1
-        lows[i] = best[1].lower()
+        a, b = spans[i]
+        out += (text[at:a], best)
+        at, n = b, n + 1
+        lows[i] = best.lower()
     return "".join([*out, text[at:]]) if n else text, n
 
 
@@ -294,17 +329,15 @@ def fix_breaks(text: str, model: Model) -> tuple[str, int]:
         return m.group()
 
     previous = None
-    while previous != text:
+    while previous != text:  # each join takes a line end away
         previous = text
         text = _BREAK.sub(join, text)
-        if n > 10_000_000:
-            break
     return text, n
 
 
 def break_features(a: str, hyphen: str, b: str, model: Model) -> list[str]:
     known = [w.lower() in model.words for w in (a, b, a + b)]
-    return [f"h{bool(hyphen)}", f"h{bool(hyphen)}k{known}", f"k{known}", f"u{b[:1].isupper()}h{bool(hyphen)}", f"p{(a.lower(), b.lower()) in model.pairs}"]
+    return [f"h{bool(hyphen)}", f"h{bool(hyphen)}k{known}", f"k{known}", f"u{b[:1].isupper()}h{bool(hyphen)}", f"p{a.lower() + ' ' + b.lower() in model.pairs}"]
 
 
 def train_breaks(model: Model, words: list[str], seed: int = 6) -> None:
@@ -461,21 +494,18 @@ def _scanned(flag: str) -> Column:
 def fit(pages: DataFrame) -> Model:
     """The model of a table of pages (source, page, ocr_used, text).
 
-    All counts are made by Spark over all pages; the driver gets the most frequent entries only,
-    and the bounded samples."""
+    All counts are made by Spark over all pages, words and their neighbours in one pass; the driver gets what reaches the shares
+    only, and the bounded samples."""
     has = pages.filter(F.col("text").isNotNull())
     clean = has.filter(~_scanned("ocr_used"))
-    words = F.expr("transform(regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0), x -> if(x rlike '^[0-9]+$', '#', x))")
-    tokens = clean.select(F.xxhash64("source", "page").alias("h"), words.alias("w"))
-    counted = tokens.select(F.explode("w").alias("w")).groupBy("w").count()
-    lexicon = [r["w"] for r in counted.filter("count >= 3 AND w <> '#'").orderBy(F.desc("count"), "w").limit(LEXICON_MOST).collect()]
-    # pairs do not reach over punctuation
-    runs = clean.select(F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}\\s]+|\\n\\s*\\n")).alias("run")).select(
-        F.expr("transform(regexp_extract_all(run, '[\\\\p{L}\\\\p{N}]+', 0), x -> if(x rlike '^[0-9]+$', '#', x))").alias("w")
-    )
-    couples = runs.filter(F.size("w") > 1).select(F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p"))
-    couples = couples.select("p.a", "p.b").groupBy("a", "b").count().filter("count >= 2").orderBy(F.desc("count"), "a", "b").limit(PAIRS_MOST)
-    pairs = [(r["a"], r["b"]) for r in couples.collect()]
+    words = lambda c: F.expr(f"transform(regexp_extract_all({c}, '[\\\\p{{L}}\\\\p{{N}}]+', 0), x -> if(x rlike '^[0-9]+$', '#', x))")
+    # pairs do not reach over punctuation; the last word of a run has no neighbour
+    runs = clean.select(F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{N}\\s]+|\\n\\s*\\n")).alias("run")).select(words("run").alias("w")).filter(F.size("w") > 0)
+    couples = runs.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.concat(F.slice("w", 2, F.size("w")), F.array(F.lit(None).cast("string"))).alias("b"))).alias("p"))
+    counted = cut_lineage(couples.groupBy("p.a", "p.b").agg(F.count("*").alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    lexicon = [r["a"] for r in counted.filter("a <> '#'").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3.0, WORD_SHARE * total)).orderBy("a").collect()]
+    pairs = [f"{r['a']} {r['b']}" for r in counted.filter(F.col("b").isNotNull() & (F.col("n") >= max(2.0, PAIR_SHARE * total))).collect()]
     lines = _page_lines(has)
     edge = (F.col("top") < EDGE_TOP) | (F.col("bottom") < EDGE_BOTTOM)
     short = (F.length(F.trim("line")) < 0.75 * F.col("width")) & ~F.col("line").rlike("[.;:,!?]\\s*$")
@@ -487,17 +517,19 @@ def fit(pages: DataFrame) -> Model:
         F.count_if(F.col("scanned") & F.col("edge") & F.col("short")).alias("n_edge"),
         F.count_if(~F.col("scanned") & ~F.col("form").startswith("^")).alias("clean"),
     )
-    recur = recur.filter("sources >= 2 AND n_edge >= 3 AND clean = 0 AND inside * 4 <= n_edge").orderBy(F.desc("n_edge"), "form").limit(EDGE_MOST)
-    edges = [r["form"] for r in recur.collect()]
-    sample = [r["w"] for r in tokens.orderBy("h").limit(SAMPLE_WORDS // 20).select(F.explode("w").alias("w")).filter("w <> '#'").limit(SAMPLE_WORDS).collect()]
+    recur = cut_lineage(recur.filter("n_edge >= 3").select("form", "n_edge", (F.expr("sources >= 2 AND clean = 0 AND inside * 4 <= n_edge")).alias("fair")))
+    at_edges = recur.agg(F.coalesce(F.sum("n_edge"), F.lit(0)).alias("n")).first()["n"]
+    edges = [r["form"] for r in recur.filter(F.col("fair") & (F.col("n_edge") >= max(3.0, EDGE_SHARE * at_edges))).collect()]
+    tokens = clean.select(F.xxhash64("source", "page").alias("h"), F.lower("text").alias("t")).orderBy("h").limit(SAMPLE_PAGES).select(F.posexplode(words("t")).alias("i", "w"), "h")
+    sample = [r["w"] for r in tokens.filter("w <> '#'").orderBy("h", "i").limit(SAMPLE_WORDS).collect()]
     shown = lines.filter(edge | (F.pmod("h", F.lit(7)) == 0)).orderBy("h", "top").limit(SAMPLE_LINES)
     rows = [(r["line"], r["top"], r["bottom"], r["page"], r["scanned"], r["width"]) for r in shown.collect()]
     return build(lexicon, pairs, edges, sample, rows)
 
 
-def build(lexicon: Iterable[str], pairs: Iterable[tuple[str, str]], edges: Iterable[str], sample: list[str], lines: list) -> Model:
+def build(lexicon: Iterable[str], pairs: Iterable[str], edges: Iterable[str], sample: list[str], lines: list) -> Model:
     lexicon = frozenset(lexicon)
-    model = Model(lexicon, frozenset(pairs), frozenset(edges), known=lexicon | {"#"})
+    model = Model(lexicon, frozenset(pairs), frozenset(edges), known=lexicon | {"#"}, ordered=sorted(lexicon))
     rng = random.Random(3)
     cased = [w.capitalize() if rng.random() < 0.12 else w.upper() if rng.random() < 0.04 else w for w in sample]
     model.editor, model.labels = train_editor(cased)

@@ -57,10 +57,41 @@ def test_noise_is_found_and_mended(spark):
 def test_training_data_round_trip():
     rng = random.Random(3)
     for word in ("nghiêm", "điều", "khoản", "Ban"):
-        for _ in range(20):
+        for _ in range(60):
             bad, ops = scans.corrupt(word, rng)
-            undone = "".join(c if op == "K" else "" if op == "D" else op[1:] for c, op in zip(bad, ops, strict=True))
-            assert undone == word
+            undone = "".join("" if op == "D" else op[1:] if op[0] == "R" else (op[1:] if op[0] == "I" else "") + c for c, op in zip(bad, ops[:-1], strict=True))
+            assert undone + (ops[-1][1:] if ops[-1][0] == "I" else "") == word
+
+
+def test_lost_letters_and_many_edits(spark):
+    df, _ = pages(spark)
+    model = scans.fit(df)
+    for good, bad in (("chuyển sang nhóm theo dõi", "chuyển sang nhó theo dõi"), ("khách hàng liên quan không", "khách hàng liê quan không"), ("nhóm khách hàng liên quan", "rihórn khách hàng liên quan")):
+        assert scans.fix_words(bad, model) == (good, 1)
+    assert scans.fix_words("chuyển sang zzzz theo dõi", model) == ("chuyển sang zzzz theo dõi", 0)
+    assert [t for _, t in scans.readings("rihóm", model)][0] == "nhóm"
+
+
+def test_readings_are_those_of_an_exhaustive_search():
+    """The guided walk finds every attested word that the editor's operations reach."""
+    from itertools import product
+
+    words = frozenset({"ban", "bar", "an", "ab", "nba", "bn", "b", "aban"})
+    model = scans.Model(words, known=words, ordered=sorted(words), labels={"a": ["K", "Ro", "D"], "n": ["K", "Rr", "Ib"], "b": ["K", "D"], "$": ["K", "In"]})
+    for word in ("ban", "abn", "na", "bo", "aab"):
+        most, want = max(2, (len(word) + 1) // 2), {}
+        for ops in product(*[model.labels.get(c, ["K"]) for c in word], model.labels["$"]):
+            for more in product((False, True), repeat=len(word)):  # an insertion and then any other operation on the same character
+                text, n = "", 0
+                for c, op, also in zip(word, ops, more, strict=False):
+                    for x in (["Ib"] if also and c == "n" and op != "Ib" else []) + [op]:
+                        n += x != "K"
+                        text += "" if x == "D" else x[1:] if x[0] == "R" else x[1:] + c if x[0] == "I" and x == op else x[1:] if x[0] == "I" else c
+                if ops[-1] == "In":
+                    text, n = text + "n", n + 1
+                if text in words and text != word and 0 < n <= most:
+                    want[text] = min(want.get(text, 9), n)
+        assert {t: round(c / scans.EDIT) for c, t in scans.readings(word, model)} == want
 
 
 def test_empty(spark):
