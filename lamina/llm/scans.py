@@ -205,9 +205,9 @@ def train_editor(words: list[str], seed: int = 5, epochs: int = 3) -> tuple[Perc
 def readings(word: str, model: Model) -> list[tuple[float, str]]:
     """All attested words, other than the word itself, that the editor's operations make of it, with their least cost.
 
-    A cost is how far the editor's score for an edit falls behind that for keeping the character, plus EDIT; at most half
-    of the characters are edited (two in a short word).  The walk keeps to beginnings of attested words."""
-    most = max(2, (len(word) + 1) // 2)
+    A cost is how far the editor's score for an edit falls behind that for keeping the character, plus EDIT; at most two
+    thirds of the characters are edited (two in a short word).  The walk keeps to beginnings of attested words."""
+    most = max(2, 2 * len(word) // 3)
     plans = []
     for i in range(len(word) + 1):
         choice = model.labels.get(word[i] if i < len(word) else END)

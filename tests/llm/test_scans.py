@@ -79,7 +79,7 @@ def test_readings_are_those_of_an_exhaustive_search():
     words = frozenset({"ban", "bar", "an", "ab", "nba", "bn", "b", "aban"})
     model = scans.Model(words, known=words, ordered=sorted(words), labels={"a": ["K", "Ro", "D"], "n": ["K", "Rr", "Ib"], "b": ["K", "D"], "$": ["K", "In"]})
     for word in ("ban", "abn", "na", "bo", "aab"):
-        most, want = max(2, (len(word) + 1) // 2), {}
+        most, want = max(2, 2 * len(word) // 3), {}
         for ops in product(*[model.labels.get(c, ["K"]) for c in word], model.labels["$"]):
             for more in product((False, True), repeat=len(word)):  # an insertion and then any other operation on the same character
                 text, n = "", 0
