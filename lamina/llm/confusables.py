@@ -2,8 +2,10 @@
 
 Look-alike classes are the transitive closure, by union-find, over strings and code
 points: compatibility forms (full-width, mathematical letters, ligatures), spaces,
-unseen characters, decomposed letters, and letters of other scripts drawn alike.
-The representative of a class is its most frequent member in the corpus.  Texts are
+unseen characters, decomposed letters, letters of other scripts drawn alike, and what the corpus itself shows: a letter that is
+no ordinary one joins the ordinary letter with which most of its words become words of the corpus.
+The representative of a class is its most frequent member in the corpus among the ordinary ones, or where there is none among
+those that are no compatibility form of another.  Texts are
 rewritten greedily, longest match first, by a multi-pattern automaton; a match
 inside a genuine word of another script, and typographic or mathematical signs,
 stay as they are.
@@ -11,25 +13,24 @@ stay as they are.
 Defined cases: null stays null, empty stays empty; columns with the names of the result
 give way, others pass through; texts of any length are processed
 whole; a tie in frequency is won by the member that is plain ASCII, then composed
-Vietnamese, then the smallest string.
+Vietnamese, then the smallest string; a letter that stands for two ordinary ones about equally often joins neither.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm.encoding import restore
 from lamina.llm.syllables import LETTERS, char_class, is_syllable
+from lamina.session import cut_lineage
 
 # Letters of other scripts and their Latin look-alikes, in pairs.
 CYRILLIC = "АA ВB ЕE ЅS ІI ЇÏ ЈJ КK МM НH ОO РP СC ТT УY ХX ԌG ԚQ ԜW ҮY ӀI аa еe ѕs іi їï јj оo рp сc уy хx һh ԁd ԛq ԝw ӏl ѵv"
@@ -39,6 +40,8 @@ LATIN = "ɖđ ƉĐ ðđ ÐĐ ɑa ɡg ıi ɩi ǃ! ƿp ǎă ǍĂ ꞌ'"
 SIGNS = "․. ‚, ‐- ‑- ‒- ꓸ. ꓹ, ՚' ՝' ː: ꞉: ׃: ։: ٪% ⁎* ∗* ﹡*"
 _TAGS = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<small>")
 _UNSEEN_EXTRA = "͏ᅟᅠ឴឵᠋᠌᠍᠎᠏ㅤﾠ︀︁︂︃︄︅︆︇︈︉︊︋︌︍︎️"
+LEAST_WORDS, CLEARLY = 3, 2  # words that must speak for an edge the corpus shows, and how many times those for the next letter
+_HOLE = "\ue000"
 _SPACES = "               　  "
 
 
@@ -79,10 +82,12 @@ def unseen() -> str:
     return "".join(sorted(set(formats + controls + tags + _UNSEEN_EXTRA)))
 
 
-@lru_cache(maxsize=1)
-def look_alikes() -> list[list[str]]:
-    """The look-alike classes; their number is fixed by the Unicode tables, whatever the corpus."""
+@lru_cache(maxsize=8)
+def look_alikes(shown: tuple[tuple[str, str], ...] = ()) -> list[list[str]]:
+    """The look-alike classes, with the edges that a corpus shows; their number is bounded by the Unicode tables."""
     uf = UnionFind()
+    for a, b in shown:
+        uf.join(a, b)
     for listing in (CYRILLIC, GREEK, OTHER, LATIN, SIGNS):
         for a, b in _pairs(listing):
             uf.join(a, b)
@@ -119,17 +124,18 @@ def look_alikes() -> list[list[str]]:
     return uf.classes()
 
 
-def representatives(counts: dict[str, int]) -> dict[str, str]:
+def representatives(counts: dict[str, int], shown: tuple[tuple[str, str], ...] = ()) -> dict[str, str]:
     """Member to representative, for members that are not their class's representative.
 
     A string's frequency is that of its rarest code point."""
 
     def rank(member: str) -> tuple:
         seen = min((counts.get(c, 0) for c in member), default=0)
-        return (-seen, not member.isascii(), not (member in LETTERS), len(member), member)
+        made = unicodedata.normalize("NFKC", member) != member
+        return (made, -seen, not member.isascii(), not (member in LETTERS), len(member), member)
 
     rules = {}
-    for members in look_alikes():
+    for members in look_alikes(shown):
         plain = [m for m in members if m.isascii() or m in LETTERS]
         best = min(plain or members, key=rank)
         rules |= {m: best for m in members if m != best}
@@ -199,12 +205,11 @@ class Rewriter:
         return spans[b][0] - spans[a][1] <= 12
 
     def rewrite(self, text: str) -> str:
-        """The text in its consistent form."""
-        for _ in range(3):
-            new = self._once(text)
-            if new == text:
-                break
-            text = new
+        """The text in its consistent form: rewritten until nothing changes, or until a form comes again."""
+        seen = set()
+        while text not in seen:
+            seen.add(text)
+            text = self._once(text)
         return text
 
     def _once(self, text: str) -> str:
@@ -259,33 +264,54 @@ def gate(column: Column) -> Column:
     return column.rlike(f"[^{char_class(ordinary)}]")
 
 
-def character_counts(df: DataFrame, column: str) -> DataFrame:
-    """Code point counts over all texts of a column; partial counts are made before the shuffle."""
+_ORDINARY = "A-Za-z" + char_class("".join(LETTERS))
+
+
+def word_counts(sources: list[tuple[DataFrame, str]]) -> DataFrame:
+    """(w, n) over all texts of the columns: words of ordinary letters, and words that hold any letter that is none.
+
+    Counts are made per task before they are shuffled, so the shuffle carries different words, not tokens."""
+    parts = [df.select(F.explode(F.split(F.col(column), "[\\s\\x{a0}.,;:!?()\\[\\]/\"'“”‘’–—-]+")).alias("w")) for df, column in sources]
+    words = parts[0]
+    for part in parts[1:]:
+        words = words.unionByName(part)
+    fair = F.col("w").rlike(f"^[{_ORDINARY}]{{3,}}$") | F.col("w").rlike(f"[^\\x00-\\x7f{_ORDINARY}]")
+    return words.filter(fair).groupBy("w").agg(F.count("*").alias("n"))
+
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        for frame in batches:
-            for text in frame[column]:
-                if text:
-                    total.update(text)
-        if total:
-            yield pd.DataFrame({"ch": list(total), "n": list(total.values())})
+def shown_edges(words: DataFrame) -> list[tuple[str, str]]:
+    """Edges between letters that the words of a corpus show: (letter that is none of ordinary writing, ordinary letter).
 
-    return df.select(column).mapInPandas(count, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
+    Words are brought to known forms first; one that then holds a single strange letter, and two others or more, is a pattern
+    with a hole, and the ordinary words that fill the hole vote for their letters.  For each strange letter the two
+    letters with most votes reach the driver, so no more rows than twice the letters of Unicode."""
+    known = {m: r for m, r in representatives({}).items() if len(m) == 1 and len(r) == 1}
+    plain = F.translate("w", "".join(known), "".join(known.values()))
+    strange = f"[^\\x{{0}}-\\x{{24f}}\\x{{1e00}}-\\x{{1eff}}\\P{{L}}\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}\\p{{IsHangul}}]"
+    odd = words.filter(F.col("w").rlike(strange)).select(plain.alias("w")).filter(F.col("w").rlike(f"^[{_ORDINARY}]*{strange}[{_ORDINARY}]*$") & (F.length("w") >= 3)).distinct()
+    odd = odd.select(F.regexp_replace("w", strange, _HOLE).alias("pattern"), F.regexp_extract("w", f"({strange})", 1).alias("odd"))
+    whole = words.filter(F.col("w").rlike(f"^[{_ORDINARY}]{{3,}}$"))
+    at = F.explode(F.sequence(F.lit(1), F.length("w")))
+    holes = whole.select("w", "n", at.alias("i")).select(F.concat(F.expr("substring(w, 1, i - 1)"), F.lit(_HOLE), F.expr("substring(w, i + 1)")).alias("pattern"), F.expr("substring(w, i, 1)").alias("letter"), "n")
+    votes = odd.join(holes, "pattern").groupBy("odd", "letter").agg(F.count_distinct("pattern").alias("words"), F.sum("n").alias("n"))
+    best = Window.partitionBy("odd").orderBy(F.desc("words"), F.desc("n"), "letter")
+    top = votes.withColumn("r", F.row_number().over(best)).filter("r <= 2").collect()
+    first = {r["odd"]: (r["letter"], r["words"]) for r in top if r["r"] == 1}
+    second = {r["odd"]: r["words"] for r in top if r["r"] == 2}
+    return sorted((c, letter) for c, (letter, n) in first.items() if n >= LEAST_WORDS and n >= CLEARLY * second.get(c, 0))
 
 
 def learn_rules(sources: list[tuple[DataFrame, str]]) -> dict[str, str]:
-    """Representatives by frequency over all rows of all given columns.
+    """Representatives by frequency over all rows of all given columns, for classes with the edges these show.
 
-    Only counts of the code points of look-alike classes reach the driver; their number is fixed
+    Besides the edges, only counts of the code points of look-alike classes reach the driver; their number is fixed
     by the Unicode tables (a few thousand), whatever the corpus."""
-    members = sorted({c for group in look_alikes() for m in group for c in m})
-    counts = None
-    for df, column in sources:
-        one = character_counts(df, column)
-        counts = one if counts is None else counts.unionByName(one)
-    known = counts.groupBy("ch").agg(F.sum("n").alias("n")).filter(F.col("ch").isin(members))
-    return representatives({r["ch"]: r["n"] for r in known.collect()})
+    words = cut_lineage(word_counts(sources))
+    shown = tuple(shown_edges(words))
+    members = sorted({c for group in look_alikes(shown) for m in group for c in m if not c.isascii()})
+    letters = words.filter(F.col("w").rlike(f"[^\\x00-\\x7f{_ORDINARY}]")).select(F.explode(F.split("w", "")).alias("ch"), "n")
+    known = letters.groupBy("ch").agg(F.sum("n").alias("n")).filter(F.col("ch").isin(members))
+    return representatives({r["ch"]: r["n"] for r in known.collect()}, shown)
 
 
 RESULT = T.StructType().add("form", T.StringType()).add("disguised", T.BooleanType())

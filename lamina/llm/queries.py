@@ -55,7 +55,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _forms(spark: SparkSession, d: str) -> DataFrame:
     parts = [("chunks", "chunk_id", "text"), ("documents", "doc_id", "text"), ("entities", "entity_id", "canonical_name")]
-    rules = confusables.learn_rules([(table(spark, d, n), c) for n, _, c in parts])
+    rules = confusables.learn_rules([(spread(table(spark, d, n).select(c)), c) for n, _, c in parts])
     texts = _keyed(spark, d, *parts[0]).unionByName(_keyed(spark, d, *parts[1]))
     names = _keyed(spark, d, *parts[2])
     return confusables.unify(texts, "text", rules).unionByName(confusables.unify(names, "text", rules, garbled_too=False))
