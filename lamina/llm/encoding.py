@@ -190,12 +190,12 @@ def _weight(spans: list[tuple[int, int, str]]) -> float:
     return total
 
 
-def undo_utf8(text: str, rounds: int = 4) -> tuple[str, int]:
-    """Text with its misread UTF-8 spans decoded, and how many spans there were."""
+def undo_utf8(text: str) -> tuple[str, int]:
+    """Text with its misread UTF-8 spans decoded, however often it was misread, and how many spans there were.
+
+    A decoded span is shorter than what is stored, so the rounds end."""
     n = 0
-    for _ in range(rounds):
-        if not _gate().search(text):
-            break
+    while _gate().search(text):
         odd = {c for c in text if ord(c) > 0x7F and (c not in LETTERS or c in "ÂÃ")}
         best, score = [], 0.0
         runs = _runs_of(text)
@@ -292,8 +292,8 @@ def _font_votes(token: str) -> dict[str, str]:
 def undo_fonts(text: str, least: int = 3) -> tuple[str, int]:
     """Text whose runs in a legacy Vietnamese font are converted, and the number of converted tokens.
 
-    A font is believed from `least` tokens on; between the first and last such token of a
-    line every token that the font turns into a syllable is converted."""
+    A font is believed from `least` different tokens on, and in a shorter text from two if all its words outside ASCII are such tokens; between the
+    first and last such token of a line every token that the font turns into a syllable is converted."""
     if not _gate().search(text):
         return text, 0
     words = list(_WORD.finditer(text))
@@ -304,7 +304,7 @@ def undo_fonts(text: str, least: int = 3) -> tuple[str, int]:
     if not counts:
         return text, 0
     font = max(counts, key=lambda f: len(counts[f]))
-    if len(counts[font]) < least:
+    if len(counts[font]) < least and not (len(counts[font]) == least - 1 and all(w.group() in counts[font] for w in words if not w.group().isascii() and any(c.isalpha() for c in w.group()))):
         return text, 0
     convert, out, at, n = FONTS[font], [], 0, 0
     voters = [m for m in words if font in _font_votes(m.group())]

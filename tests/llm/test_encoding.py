@@ -42,3 +42,11 @@ def test_table(spark):
     got = [(r.id, r.text_garbled, None if r.text_restored is None else len(r.text_restored)) for r in encoding.repair_encoding(df).orderBy("id").collect()]
     assert got == [("a", False, None), ("b", False, 0), ("c", True, 45000), ("c", True, 45000), ("d", False, 4)]
     assert encoding.repair_encoding(df.limit(0)).count() == 0
+
+
+def test_any_number_of_rounds():
+    text = "Giới hạn tín dụng"
+    garbled = text
+    for _ in range(6):
+        garbled = garbled.encode("utf-8").decode("latin-1")
+    assert encoding.undo_utf8(garbled)[0] == text
