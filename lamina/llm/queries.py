@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.llm import confusables, encoding, mixing, packing, residue, scans, split, tokens, variants
@@ -22,6 +22,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter("n_pieces > 1 AND piece_no = 1").select("chunk_id").distinct()
 
 
+def p1_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """Every divided chunk put together again from its pieces, and whether they keep limit, overlap and order."""
+    limits = table(spark, d, "chunk_limits").select("strategy", "max_chars", "overlap_chars")
+    own = F.col("char_end") - F.lag("char_end", 1, 0).over(Window.partitionBy("chunk_id").orderBy("piece_no"))
+    rows = p1_pieces(spark, d).join(limits, "strategy").withColumn("own", own)
+    shared = (F.col("piece_no") == 1) | (F.col("own") + F.col("overlap_chars") == F.length("piece"))
+    fair = (F.length("piece") <= F.col("max_chars")) & shared & (F.col("piece_page_start") <= F.col("piece_page_end")).isNotNull().eqNullSafe(F.col("piece_page_start").isNotNull())
+    parts = F.array_sort(F.collect_list(F.struct("piece_no", F.expr("right(piece, own)").alias("t"))))
+    out = rows.groupBy("chunk_id").agg(parts.alias("p"), F.min(fair).alias("fair"), (F.max("piece_no") == F.max("n_pieces")).alias("complete"))
+    return out.select("chunk_id", F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "")).alias("digest"), "fair", "complete")
+
+
 def _names(spark: SparkSession, d: str) -> DataFrame:
     entities = table(spark, d, "entities")
     columns = [(entities, "original_name"), (entities, "canonical_name"), (table(spark, d, "extracted_entities_raw"), "entity")]
@@ -99,6 +111,19 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_containers(spark, d))
 
 
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per profile: documents packed, whether no container is overfull, every document is there whole and once, and none is divided
+    but those above the capacity."""
+    packed = p7_containers(spark, d)
+    loads = packed.groupBy("profile", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("load"))
+    loads = loads.groupBy("profile", "capacity_tokens").agg((F.max("load") <= F.first("capacity_tokens")).alias("within_capacity"))
+    sizes = _sized(spark, d).select("doc_id", F.col("n_tokens").alias("size"))
+    whole = packed.groupBy("profile", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts")).join(sizes, "doc_id", "full_outer")
+    right = (F.col("n") == F.col("size")) & ((F.col("parts") == 1) | (F.col("size") > F.col("capacity_tokens")))
+    kept = whole.groupBy("profile", "capacity_tokens").agg(F.count("*").alias("documents"), F.min(F.coalesce(right, F.lit(False))).alias("whole"))
+    return kept.join(loads, ["profile", "capacity_tokens"])
+
+
 def p8_selection(spark: SparkSession, d: str) -> DataFrame:
     """The mixed selection: documents with their number of copies."""
     return mixing.mix_sources(_sized(spark, d), table(spark, d, "mix_targets"))
@@ -108,6 +133,31 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p8_selection(spark, d), table(spark, d, "mix_targets"))
 
 
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Per source of the targets: whether its share is reached and no document is used too often."""
+    rows = p8_report(spark, d)
+    return rows.select("source", "target_share", "max_repeats", (F.abs(F.col("share") - F.col("target_share")) <= 0.01).alias("reached"), (F.col("max_copies") <= F.col("max_repeats")).alias("within_repeats"))
+
+
+def p8_stretched(spark: SparkSession, d: str) -> DataFrame:
+    """A budget half as large again as the targets allow: the exponent falls below 1, and no more, by bisection at the repetition limits."""
+    items, goal = _sized(spark, d), table(spark, d, "mix_targets")
+    size = mixing.temperature_report(items, goal).agg(F.max("budget")).first()[0] or 0.0
+    rows = mixing.temperature_report(items, goal, 1.5 * size)
+    return rows.select("source", "max_repeats", ((F.col("exponent") > 0) & (F.col("exponent") < 1)).alias("bent"), (F.col("passes") <= F.col("max_repeats") + 1e-6).alias("within_repeats"), (F.max("passes").over(Window.partitionBy(F.lit(1))) >= 0.999).alias("used"))
+
+
+def p8_flattened(spark: SparkSession, d: str) -> DataFrame:
+    """Plain temperature mixing to the entropy of the target shares: small sources rise, large ones fall, their order stays."""
+    goal = table(spark, d, "mix_targets")
+    aim = mixing.entropy({r["source"]: r["target_share"] for r in goal.select("source", "target_share").collect()})  # a row for each source
+    rows = mixing.temperature_report(_sized(spark, d), goal, spread=aim)
+    one = Window.partitionBy(F.lit(1))
+    reached = F.abs(-F.sum(F.col("weight") * F.log("weight")).over(one) - aim) < 1e-6
+    order = F.rank().over(one.orderBy("natural")) == F.rank().over(one.orderBy("weight"))
+    return rows.select("source", reached.alias("reached"), order.alias("order_kept"), (F.col("passes") <= F.col("max_repeats") + 1e-6).alias("within_repeats"))
+
+
 def p9_judged(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold residue, and by what they were found."""
     return residue.judge_documents(table(spark, d, "documents").select("doc_id", "text"))
@@ -127,6 +177,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rejoined": p1_rejoined,
     "p2_found": p2_found,
     "p2_names": p2_names,
     "p3_found": p3_found,
@@ -137,13 +188,22 @@ QUERIES = {
     "p5_repaired": p5_repaired,
     "p7_containers": p7_containers,
     "p7_report": p7_report,
+    "p7_kept": p7_kept,
     "p8_selection": p8_selection,
     "p8_report": p8_report,
+    "p8_kept": p8_kept,
+    "p8_stretched": p8_stretched,
+    "p8_flattened": p8_flattened,
     "p9_found": p9_found,
     "p9_judged": p9_judged,
     "p9_templates": p9_templates,
 }
 
 SQL = {
+    "p1_rejoined": "SELECT DISTINCT c.chunk_id, md5(c.text) AS digest, TRUE AS fair, TRUE AS complete FROM chunks c JOIN chunk_limits l ON c.strategy = l.strategy WHERE length(c.text) > l.max_chars",
+    "p7_kept": "SELECT profile, capacity_tokens::BIGINT AS capacity_tokens, (SELECT count(*) FROM documents) AS documents, TRUE AS whole, TRUE AS within_capacity FROM pack_profiles",
+    "p8_kept": "SELECT source, target_share, max_repeats, TRUE AS reached, TRUE AS within_repeats FROM mix_targets",
+    "p8_stretched": "SELECT source, max_repeats, TRUE AS bent, TRUE AS within_repeats, TRUE AS used FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '')",
+    "p8_flattened": "SELECT source, TRUE AS reached, TRUE AS order_kept, TRUE AS within_repeats FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '')",
     "p1_found": "SELECT DISTINCT c.chunk_id FROM chunks c JOIN chunk_limits l ON c.strategy = l.strategy WHERE length(c.text) > l.max_chars",
 }

@@ -7,8 +7,8 @@ share exactly that many characters and no piece exceeds the limit.
 
 Defined cases: a null text gives no piece; a text within the limit, the empty one
 included, gives one piece that is the text itself; a row without a limit is never
-cut; a text without any boundary is cut at its midpoint, never before a combining
-mark or joiner; null pages stay null, one known page stands for both.  Repeated
+cut; a text without any boundary is cut at its midpoint, and neither a cut nor the start of an
+overlap lies before a combining mark or joiner, as long as there is another place; null pages stay null, one known page stands for both.  Repeated
 rows give repeated pieces; extra columns pass through, and a column with the name of
 a result column gives way to it.
 """
@@ -56,11 +56,23 @@ def _nearest(level: list[int], mid: int, low: int, high: int) -> int | None:
     return min(best, key=lambda p: (abs(p - mid), p)) if best else None
 
 
-def _hard(text: str, at: int, low: int) -> int:
-    """The midpoint, moved left so that no mark is parted from its letter."""
-    while at > low and (unicodedata.combining(text[at]) or text[at] in "‍️" or text[at - 1] == "‍"):
-        at -= 1
-    return at
+def _parts(text: str, at: int) -> bool:
+    """Whether a border here would part a mark or joined sign from what it belongs to."""
+    return 0 < at < len(text) and (unicodedata.combining(text[at]) != 0 or text[at] in "\u200d\ufe0f" or text[at - 1] == "\u200d")
+
+
+def _clean(text: str, at: int, overlap: int) -> bool:
+    """Whether neither the cut nor the start of the overlap before it parts a mark from its letter."""
+    return not (_parts(text, at) or _parts(text, at - overlap))
+
+
+def _hard(text: str, mid: int, low: int, high: int, overlap: int) -> int:
+    """The place nearest the midpoint that parts no mark from its letter; the midpoint itself where there is none."""
+    for step in range(max(mid - low, high - mid) + 1):
+        for at in (mid - step, mid + step):
+            if low <= at <= high and _clean(text, at, overlap):
+                return at
+    return mid
 
 
 def cuts(text: str, limit: int, overlap: int) -> list[int]:
@@ -70,7 +82,7 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
     if len(text) <= limit:
         return []
     room = limit - overlap
-    levels = _positions(text)
+    levels = [[p for p in level if _clean(text, p, overlap)] for level in _positions(text)]
     out: list[int] = []
     todo = [(0, len(text))]
     while todo:
@@ -85,7 +97,7 @@ def cuts(text: str, limit: int, overlap: int) -> list[int]:
             if at is not None:
                 break
         if at is None:
-            at = _hard(text, mid, start + 1)
+            at = _hard(text, mid, start + max(1, least), end - max(1, least), overlap)
         out.append(at)
         todo += [(start, at), (at, end)]
     return sorted(out)

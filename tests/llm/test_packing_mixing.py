@@ -57,6 +57,40 @@ def test_weights_meet_targets_or_limits():
     assert set(mixing.weights({"a": 5}, target, repeats)[2]) == {"a"}
 
 
+def test_temperature():
+    tokens, uniform = {"a": 1000, "b": 100, "c": 10}, dict.fromkeys("abc", 1 / 3)
+    natural = {s: n / 1110 for s, n in tokens.items()}
+    assert mixing.tempered(natural, uniform, 0.0) == pytest.approx(natural) and mixing.tempered(natural, uniform, 1.0) == pytest.approx(uniform)
+    half = mixing.tempered(natural, uniform, 0.5)  # share ** (1 / T) with T = 2
+    norm = sum(x**0.5 for x in natural.values())
+    assert half == pytest.approx({s: x**0.5 / norm for s, x in natural.items()})
+    for aim in (0.5, 0.8, 1.0):
+        e, w = mixing.flattened(tokens, aim)
+        assert 0 < e < 1 and mixing.entropy(w) == pytest.approx(aim, abs=1e-9) and w["a"] > w["b"] > w["c"]
+    assert mixing.flattened(tokens, 9.0)[0] == 1.0 and mixing.flattened(tokens, 0.0)[0] == 0.0 and mixing.flattened({}, 1.0) == (0.0, {})
+    target, repeats = {"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 1, "b": 2, "c": 4}
+    last = 1.0
+    for budget in (80, 100, 200, 400, 900, 1100):  # the larger the budget, the smaller the exponent; limits hold throughout
+        size, e, w = mixing.weights(tokens, target, repeats, budget)
+        assert e <= last and all(w[s] * size <= tokens[s] * repeats[s] * (1 + 1e-9) for s in tokens)
+        last = e
+    size, e, w = mixing.weights(tokens, target, repeats, spread=0.9)
+    assert mixing.entropy(w) == pytest.approx(0.9) and all(w[s] * size <= tokens[s] * repeats[s] * (1 + 1e-9) for s in tokens)
+
+
+def test_prefix_sums_over_groups(spark, monkeypatch):
+    """The selection is the same however blocks are grouped, and is filled to the budget."""
+    rows = [(i, "a" if i % 5 else "b", 10 + i % 7) for i in range(4000)]
+    items = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.7, 2)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
+    want = sorted(map(tuple, mixing.mix_sources(items, targets).collect()))
+    monkeypatch.setattr(mixing, "GROUP_BLOCKS", 3)
+    assert sorted(map(tuple, mixing.mix_sources(items, targets).collect())) == want
+    shares = {r.source: r.share for r in mixing.mix_report(mixing.mix_sources(items, targets), targets).collect()}
+    assert shares["a"] == pytest.approx(0.3, abs=0.002)
+
+
 def test_mix_table(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("aaaab"), rng.randint(1, 300), "x") for i in range(6000)] + [(9000, "a", None, "x"), (9001, None, 5, "x"), (9002, "zz", 5, "x")]

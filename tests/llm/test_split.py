@@ -40,3 +40,15 @@ def test_table(spark):
         assert y[1][:10] == text[x[3] - 10 : x[3]]
     assert by["f"][0].piece_page_start == 3 and by["g"][0].n_pieces > 1000
     assert split.split_chunks(df.limit(0), limits).count() == 0
+
+
+def test_no_overlap_begins_with_a_mark():
+    import unicodedata
+
+    text = unicodedata.normalize("NFD", "điềuếộ" * 60)
+    for limit, overlap in ((50, 7), (40, 13), (33, 5)):
+        at = split.cuts(text, limit, overlap)
+        assert at and not any(unicodedata.combining(text[p]) or unicodedata.combining(text[p - overlap]) for p in at)
+        ends = [0, *at, len(text)]
+        assert all(b - a + (overlap if a else 0) <= limit for a, b in zip(ends, ends[1:], strict=False))
+    assert split.cuts("\u0301" * 100, 30, 5)  # nothing but marks is cut all the same
