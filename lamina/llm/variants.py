@@ -4,9 +4,13 @@ Strings are read into an ordered list of plain tokens: look-alike characters, ty
 codes, run-together words, titles, commas and aliases in brackets are undone.
 Strings with the same tokens form a spelling group.  A group written in several ways
 stands for a name of its own; every other group is linked to the one name that it
-resembles most.  Candidates come from suffix blocking: the token suffixes of a name
-are indexed by their first two tokens (suffixes of one token by the token and the
-initial of the name), over the name and its rotations.  Candidates are compared by
+resembles most.  Candidates come from suffix blocking: what is indexed are token suffixes of at least MIN_TOKENS tokens and
+MIN_LETTERS letters, of the name, its rotations and their left parts; of each such part the shortest suffix long enough
+(a longer one gives a block within that block), once as it is and once with the token before its last left out,
+for a token that is mistyped.  Names of two tokens or with all but one end mistyped meet by one end and the other's initial.  Blocks are
+refined by the kind of entity and by the numbers in the name, which parts no pair that could be linked.  A suffix
+that is still common is not discarded, since that loses pairs which differ in all rarer ones: its block is dealt
+over tasks.  Candidates are compared by
 longest-common-subsequence ratio after initials and abbreviations are expanded along
 the name they are compared with.  Links form stars, whose components are the names.
 
@@ -30,7 +34,7 @@ from lamina.llm.syllables import TONES, is_syllable, strip_marks
 from lamina.session import cut_lineage
 
 THRESHOLD, TYPO, MARGIN, OWN_FORMS = 0.72, 0.82, 0.01, 3
-BLOCK_LIMIT = 2000
+BLOCK_LIMIT, MIN_TOKENS, MIN_LETTERS = 2000, 2, 4
 
 # Forms of address and degrees before a person's name.
 _TITLES = re.compile(r"^(?:(?:ông|bà|anh|chị|đ/c|đồng chí|mr|mrs|ms|dr|gs|pgs|ts|ths|ks|cn|bs|luật sư|ls|cử nhân|thạc sĩ|tiến sĩ|giáo sư)(?:\.|(?=\s))\s*)+", re.IGNORECASE)
@@ -182,12 +186,15 @@ def turns(tokens: tuple[str, ...]) -> list[tuple[str, ...]]:
     return [tokens, tokens[1:] + tokens[:1], tokens[-1:] + tokens[:-1]]
 
 
+def numbers_of(tokens: tuple[str, ...]) -> list[str]:
+    return sorted(re.findall(r"\d+", " ".join(tokens)))
+
+
 def resemblance(tokens: tuple[str, ...], name: tuple[str, ...]) -> float:
     """How well the tokens fit the name, 0 to 1: the LCS ratio of the expanded tokens and the name, the best
     over the rotations.  Numbers must agree; every token written out must stand in the name, typos aside.
     Tokens that all stand in the name in its order are a shortened form and score above any typo."""
-    digits = lambda x: sorted(re.findall(r"\d+", " ".join(x)))
-    if digits(tokens) != digits(name):
+    if numbers_of(tokens) != numbers_of(name):
         return 0.0
     target, best = "".join(name), 0.0
     for j, turned in enumerate(turns(tokens)):
@@ -221,18 +228,31 @@ def _in_order(tokens: tuple[str, ...], name: tuple[str, ...]) -> bool:
     return tokens[0][0] == name[0][0]
 
 
+def _suffix(tokens: tuple[str, ...], skip: bool = False) -> str | None:
+    """The shortest suffix that is long enough and has no abbreviation; with `skip` the token before the last left out."""
+    held: list[str] = []
+    for i, token in enumerate(reversed(tokens)):
+        if skip and i == 1:
+            continue
+        if token.endswith("."):
+            return None
+        held.insert(0, token)
+        if len(held) >= MIN_TOKENS and sum(map(len, held)) >= MIN_LETTERS:
+            return " ".join(held) + ("~" if skip else "")
+    return None
+
+
 def block_keys(tokens: tuple[str, ...]) -> list[str]:
-    """Keys of the suffix index."""
+    """Keys of the suffix index, each under the numbers that the name holds: these must agree (resemblance)."""
     keys = set()
     for turned in turns(tokens):
         plain = [t.rstrip(".") for t in turned]
-        for i in range(len(turned) - 1):
-            for j in (i + 1, i + 2):  # the second skips a token that is mistyped
-                if j < len(turned) and not turned[i].endswith(".") and not turned[j].endswith(".") and len(plain[i]) + len(plain[j]) >= 4:
-                    keys.add(f"{plain[i]} {plain[j]}" + "~" * (j - i - 1))
+        for end in range(1, len(turned) + 1):
+            keys |= {_suffix(turned[:end]), _suffix(turned[:end], True)}
         keys.add(f"{plain[-1]}|{plain[0][:1]}")
         keys.add(f"{plain[0]}|{plain[-1][:1]}|")
-    return sorted(keys)
+    numbers = ",".join(numbers_of(tokens))
+    return sorted(f"{numbers}:{k}" for k in keys - {None})
 
 
 _PLAIN = re.compile("(?:ngh|ng|nh|gh|gi|kh|ph|th|tr|ch|qu|[bcdghklmnpqrstvx])?(?:uye|uya|ieu|yeu|uou|oai|oay|uay|uoi|[aeiouy]{1,2})(?:ng|nh|ch|[cmnptiyou])?")
