@@ -4,8 +4,9 @@ References and parent keys are co-partitioned on (parent kind, key, salt) and so
 one linear merge of the two sorted streams (Spark's sort-merge join, which the plan
 asks for by hint) finds each reference's parent.  Before the merge the parents are
 reduced to one row per key that holds its validity intervals, so the merge is
-many-to-one and no group is ever held in memory.  The salt splits a key that holds a
-large share of all references over SALTS tasks; parents are copied once per salt.
+many-to-one and no group is ever held in memory.  References are counted per key first; a key with more than
+HOT_ROWS is split over as many tasks as it has HOT_ROWS, and only its parent is copied for them.  Of such keys there are no more
+than rows / HOT_ROWS.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+HOT_ROWS = 200_000
 
 # Relationship types whose target is an entity, with its entity_type.
 ENTITY_TARGETS = {"BAN_HANH_BOI": "CoQuan", "KY_BOI": "NguoiKy", "AP_DUNG_CHO": "DoiTuongApDung", "THUOC_LINH_VUC": "LinhVuc"}
@@ -33,20 +34,24 @@ def parent_intervals(parents: DataFrame) -> DataFrame:
     )
 
 
-def resolve_references(refs: DataFrame, parents: DataFrame, salts: int = SALTS) -> DataFrame:
+def resolve_references(refs: DataFrame, parents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds `status` to every reference: found, missing, deleted or late.
 
     `refs` has table_name, ref_field, row_id, kind, key, at.  A null or empty key is no reference
     and is left out.  found: a live record existed at `at` (untimed kinds: exists).  late: a live
     record exists but only later, or one of the two times is null.  deleted: only deleted records.
     missing: no record.  Repeated rows stay repeated; extra columns pass through; a column `status` gives way."""
-    if salts < 1:
-        raise ValueError("salts must be positive")
+    if hot_rows < 1:
+        raise ValueError("hot_rows must be positive")
+    asked = refs.filter(F.col("key").isNotNull() & (F.col("key") != ""))
+    hot = asked.groupBy(F.col("kind").alias("__hot_kind"), F.col("key").alias("__hot_key")).agg(F.count("*").alias("__n")).filter(F.col("__n") > hot_rows)
+    hot = hot.select("__hot_kind", "__hot_key", F.ceil(F.col("__n") / hot_rows).cast("int").alias("__parts"))
+    same = lambda kind, key: (F.col(kind) == F.col("__hot_kind")) & (F.col(key) == F.col("__hot_key"))
     known = parent_intervals(parents).select(
         F.col("kind").alias("__kind"), F.col("key").alias("__key"), F.col("live_from").alias("__live_from"), F.col("always").alias("__always"), F.col("ever_live").alias("__ever_live"),
-        F.explode(F.array([F.lit(i) for i in range(salts)])).alias("__psalt"),
     )
-    asked = refs.filter(F.col("key").isNotNull() & (F.col("key") != "")).withColumn("__salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
+    known = known.join(hot, same("__kind", "__key"), "left").withColumn("__psalt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__hot_kind", "__hot_key", "__parts")
+    asked = asked.join(hot, same("kind", "key"), "left").withColumn("__salt", F.pmod(F.xxhash64("row_id"), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__hot_kind", "__hot_key", "__parts")
     joined = asked.join(
         known.hint("merge"),
         (F.col("kind") == F.col("__kind")) & (F.col("key") == F.col("__key")) & (F.col("__salt") == F.col("__psalt")),

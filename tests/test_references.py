@@ -15,6 +15,8 @@ def test_statuses_nulls_hot_keys_and_clashing_names(spark):
     got = {x.row_id: x.status for x in op.resolve_references(r, spark.createDataFrame(parents, PARENTS)).collect()}
     assert {k: v for k, v in got.items() if k < 10} == {1: "found", 2: "late", 3: "deleted", 4: "missing", 7: "found", 8: "late"}
     assert all(got[100 + i] == "found" for i in range(50))
+    split = {x.row_id: x.status for x in op.resolve_references(r, spark.createDataFrame(parents, PARENTS), 7).collect()}
+    assert split == got  # a key over eight tasks gives what it gives in one
     found = op.orphans(r, spark.createDataFrame(parents, PARENTS)).collect()
     assert sorted(x.row_id for x in found) == [2, 3, 4, 8]
     report = {(x.month, x.status): x.n for x in op.orphan_report(r, spark.createDataFrame(parents, PARENTS)).collect()}
