@@ -160,13 +160,14 @@ def p8_flattened(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_judged(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold residue, and by what they were found."""
-    return residue.judge_documents(table(spark, d, "documents").select("doc_id", "text"))
+    return residue.judge_documents(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p9_templates(spark: SparkSession, d: str) -> DataFrame:
     """Mined templates that are no prose, with their number of lines."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text"))
-    mined = residue.mine_templates(residue.lines_of(docs, "doc_id", "text"), residue.fit(docs, "doc_id", "text"))
+    model = residue.fit(docs, "doc_id", "text")
+    mined = residue.mine_templates(residue.lines_of(residue.look_at(docs, "doc_id", "text", model)), model)
     return mined.filter("verdict <> 'prose'").select("template", "n_lines", "verdict")
 
 

@@ -1,6 +1,7 @@
 """Template residue, filler and error-page text (problem 9).
 
-Lines of all documents are dropped into a fixed-depth prefix tree (token count, first DEPTH tokens, last token, digits
+A first look at the single words of every line passes on those that may be no prose; it is made where the text lies, so
+nothing else travels.  These lines are dropped into a fixed-depth prefix tree (token count, first DEPTH tokens, last token, digits
 masked).  What lies in a leaf is one message template where its lines are alike: the positions at which they differ
 become wildcards.  Each template is classified once and the verdict is propagated to every line that matches it;
 in a leaf of unlike lines, and for a line that does not match, the line is a template of its own.  Unresolved slots inside
@@ -19,9 +20,11 @@ null key is a document of its own; other columns play no part.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,10 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.llm import residue_rows
+from lamina.session import cut_lineage
 
 DEPTH, ALIKE = 4, 0.5
 SAMPLE_DOCUMENTS, SAMPLE_LINES, PROSE_ROWS, LONG = 1500, 20_000, 4000, 1000
-SURE = 0.75
+SURE, POSSIBLE = 0.75, 0.05
 WILD = "<*>"
 CLASSES = ("message", "filler", "furniture", "prose")
 
@@ -116,27 +120,75 @@ class Classifier:
         return CLASSES[2] if shares[2] >= shares[3] else CLASSES[3]
 
 
+_STRIP = str.maketrans(dict.fromkeys(".,;:!?()[]{}<>\"'“”‘’«»…|/\\=-–—*", " ") | {str(i): "#" for i in range(10)})
+
+
+class _Scores(dict):
+    """Weights of words; a word that is not known weighs nothing."""
+
+    def __missing__(self, key: str) -> float:
+        return 0.0
+
+
+class FirstLook:
+    """Logistic regression over single words: whether a line may be anything but prose."""
+
+    def __init__(self, rows: Iterable[tuple[str, bool]], epochs: int = 10, rate: float = 0.5, seed: int = 2) -> None:
+        data = [(["", *self.words(line)], float(label)) for line, label in rows]
+        self.weights = _Scores()
+        squares = dict.fromkeys({w for words, _ in data for w in words}, 1e-8)
+        rng = np.random.default_rng(seed)
+        for _ in range(epochs):
+            for i in rng.permutation(len(data)):
+                words, label = data[i]
+                size = len(words) ** 0.5
+                slope = (1 / (1 + math.exp(-sum(map(self.weights.__getitem__, words)) / size)) - label) / size
+                for w in words:
+                    squares[w] += slope * slope
+                    self.weights[w] = self.weights[w] - rate * slope / squares[w] ** 0.5
+        self.least = math.log(POSSIBLE / (1 - POSSIBLE))
+
+    @staticmethod
+    def words(line: str) -> list[str]:
+        return line.lower().translate(_STRIP).split()
+
+    def passes(self, line: str) -> bool:
+        words = self.words(line)
+        return (self.weights[""] + sum(map(self.weights.__getitem__, words))) >= self.least * (len(words) + 1) ** 0.5
+
+
 def labelled() -> list[tuple[str, int]]:
     return [(mask(line), k) for k, text in enumerate((residue_rows.MESSAGE, residue_rows.FILLER, residue_rows.FURNITURE)) for line in text.strip().split("\n")]
 
 
-def train(prose: list[str]) -> Classifier:
+@dataclass
+class Model:
+    look: FirstLook
+    judge: Classifier
+
+    def verdict(self, line: str) -> str:
+        """Of a masked line."""
+        return self.judge.verdict(line) if self.look.passes(line) else CLASSES[-1]
+
+
+def train(prose: list[str]) -> Model:
     """Fitted on the labelled rows and a part of the masked prose lines; then again with those of the rest that it took for messages."""
     some = sorted(set(prose), key=lambda x: (zlib.crc32(x.encode()), x))
     base = labelled() * 4
     first = [(x, 3) for x in some[:PROSE_ROWS]]
-    model = Classifier([*base, *first])
-    wrong = [(x, 3) for x in some[PROSE_ROWS:] if model.verdict(x) == "message"]
-    return Classifier([*base, *first, *wrong * 4]) if wrong else model
+    look = FirstLook([(x, k < 3) for x, k in [*base, *first]])
+    judge = Classifier([*base, *first])
+    wrong = [(x, 3) for x in some[PROSE_ROWS:] if look.passes(x) and judge.verdict(x) == "message"]
+    return Model(look, Classifier([*base, *first, *wrong * 4]) if wrong else judge)
 
 
-def fit(df: DataFrame, key: str, text: str) -> Classifier:
-    """The classifier of a table of documents.  The driver gets the sampled lines only, those of the least hash of their key."""
+def fit(df: DataFrame, key: str, text: str) -> Model:
+    """The model of a table of documents.  The driver gets the sampled lines only, those of the least hash of their key."""
     long = df.filter(F.length(text) >= LONG).select(F.col(key).alias("__id"), F.xxhash64(key).alias("__h"))
     chosen = long.orderBy("__h").limit(SAMPLE_DOCUMENTS).select("__id")
-    lines = lines_of(df.join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("__id")), "left_semi"), key, text)
-    rows = lines.select("__line", F.xxhash64("__line").alias("__h")).orderBy("__h").limit(SAMPLE_LINES).select("__line").toPandas()
-    return train(rows["__line"].tolist())
+    few = df.join(F.broadcast(chosen), F.col(key).eqNullSafe(F.col("__id")), "left_semi").select(F.explode(F.split(text, "\n")).alias("__line"))
+    rows = few.select("__line", F.xxhash64("__line").alias("__h")).orderBy("__h").limit(SAMPLE_LINES).select("__line").toPandas()
+    return train([m for x in rows["__line"] if (m := mask(x))])
 
 
 def template(lines: list[str]) -> tuple[str, float]:
@@ -158,11 +210,39 @@ def has_slot(text: str) -> Column:
     return body.rlike(SLOT) | dated
 
 
-def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Non-blank lines of all texts, masked: key, line, its leaf in the prefix tree and its length."""
-    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.explode(F.split(F.col(text), "\n")).alias("__line"))
-    rows = rows.withColumn("__line", F.trim(F.regexp_replace("__line", "[\\s\\x{a0}]+", " "))).filter("__line <> ''")
-    rows = rows.select("__id", F.regexp_replace(F.lower("__line"), "\\p{Nd}+", "#").alias("__line"), F.length("__line").alias("__size"))
+def look_at(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
+    """Documents that hold a slot or a line which may be no prose: __id, has_slot, __prose (the size of all other lines), and those lines
+    masked with their sizes.  One scan of the texts; what is left is stored."""
+    kind = dict(df.dtypes)[key]
+    shared = df.sparkSession.sparkContext.broadcast(model.look)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        passes = shared.value.passes
+        for frame in batches:
+            out = []
+            for i, body, slot in zip(frame["__id"], frame["__text"], frame["has_slot"], strict=True):
+                prose, lines, sizes = 0, [], []
+                for line in body.split("\n"):
+                    line = line.strip()
+                    if not line:
+                        continue
+                    if passes(line):
+                        lines.append(mask(line))
+                        sizes.append(len(line))
+                    else:
+                        prose += len(line)
+                if slot or lines:
+                    out.append((i, slot, prose, lines, sizes))
+            if out:
+                yield pd.DataFrame(out, columns=["__id", "has_slot", "__prose", "__lines", "__sizes"])
+
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("__id"), F.col(text).alias("__text"), has_slot(text).alias("has_slot"))
+    return cut_lineage(rows.mapInPandas(look, f"__id {kind}, has_slot boolean, __prose long, __lines array<string>, __sizes array<int>"))
+
+
+def lines_of(looked: DataFrame) -> DataFrame:
+    """The lines of look_at: __id, __line, __size and the line's leaf in the prefix tree."""
+    rows = looked.select("__id", F.explode(F.arrays_zip("__lines", "__sizes")).alias("z")).select("__id", F.col("z.__lines").alias("__line"), F.col("z.__sizes").alias("__size"))
     tokens = F.split("__line", " ")
     return rows.withColumn("__leaf", F.xxhash64(F.size(tokens), F.concat_ws(" ", F.slice(tokens, 1, DEPTH), F.element_at(tokens, -1))))
 
@@ -171,7 +251,7 @@ _MINED = T.StructType().add("template", T.StringType()).add("verdict", T.StringT
 MIXED = "mixed"
 
 
-def mine_templates(lines: DataFrame, model: Classifier) -> DataFrame:
+def mine_templates(lines: DataFrame, model: Model) -> DataFrame:
     """One row per leaf: __leaf, template, n_lines, verdict.
 
     A leaf's template comes from three of its lines, the least, the greatest and the one of the least hash; a leaf whose
@@ -195,12 +275,11 @@ def mine_templates(lines: DataFrame, model: Classifier) -> DataFrame:
     return leaves.select("__leaf", "n_lines", judge("a", "b", "c").alias("j")).select("__leaf", "n_lines", "j.*")
 
 
-def judge_lines(lines: DataFrame, model: Classifier) -> DataFrame:
+def judge_lines(lines: DataFrame, model: Model) -> DataFrame:
     """Lines with `verdict`: that of their template, or their own where they match none.
 
-    Only leaves that are not prose meet the lines again, with the lines' leaf, key and size; the masked line goes along for
-    the match.  They are few, and the planner broadcasts them while they are under its size bound; beyond it the join is
-    on leaf, and AQE splits a leaf that holds a large share of all lines, as both sides come as they are."""
+    The planner broadcasts the templates while they are under its size bound; beyond it the join is on leaf, and AQE
+    splits a leaf that holds a large share of the lines, as both sides come as they are."""
     shared = lines.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
@@ -224,13 +303,15 @@ def judge_lines(lines: DataFrame, model: Classifier) -> DataFrame:
     return met.select("__id", "__size", F.when(odd, said).otherwise("prose").alias("verdict"))
 
 
-def judge_documents(df: DataFrame, key: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:
+def judge_documents(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """One row per key that holds residue: key, has_slot, filler_lines, message_share."""
     model = model or fit(df, key, text)
-    marked = judge_lines(lines_of(df, key, text), model)
+    looked = look_at(df, key, text, model)
+    marked = judge_lines(lines_of(looked), model)
     size = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("__size")).otherwise(0))
-    per = marked.groupBy("__id").agg(size("message").alias("__message"), size("prose").alias("__prose"), F.count_if(F.col("verdict") == "filler").alias("filler_lines"))
-    per = per.withColumn("message_share", F.coalesce(F.try_divide(F.col("__message"), F.col("__message") + F.col("__prose")), F.lit(0.0)))
-    slots = df.filter(has_slot(text)).select(F.col(key).alias("__slotted")).distinct()
-    out = per.join(slots, F.col("__id").eqNullSafe(F.col("__slotted")), "left").withColumn("has_slot", F.col("__slotted").isNotNull())
-    return out.filter("has_slot OR filler_lines > 0 OR message_share >= 0.5").select(F.col("__id").alias(key), "has_slot", "filler_lines", "message_share")
+    per = marked.groupBy("__id").agg(size("message").alias("__message"), size("prose").alias("__more"), F.count_if(F.col("verdict") == "filler").alias("filler_lines"))
+    docs = looked.groupBy("__id").agg(F.max("has_slot").alias("has_slot"), F.sum("__prose").alias("__prose"))
+    out = docs.join(per.withColumnRenamed("__id", "__of"), F.col("__id").eqNullSafe(F.col("__of")), "left").fillna(0, ["__message", "__more", "filler_lines"])
+    share = F.coalesce(F.try_divide(F.col("__message"), F.col("__message") + F.col("__more") + F.col("__prose")), F.lit(0.0))
+    out = out.select(F.col("__id").alias(key), "has_slot", "filler_lines", share.alias("message_share"))
+    return out.filter("has_slot OR filler_lines > 0 OR message_share >= 0.5")

@@ -34,7 +34,8 @@ def test_templates_have_wildcards():
 def test_a_line_that_is_unlike_its_leaf_is_judged_by_itself(spark, model):
     # the same size, first four tokens and last token, but another text
     rows = ["không tìm thấy trang nào cũ hơn này"] * 3 + ["không tìm thấy trang chủ hoặc liên này"]
-    lines = residue.lines_of(documents(spark, rows), "doc_id", "text")
+    lines = residue.lines_of(residue.look_at(documents(spark, rows), "doc_id", "text", model))
+    assert lines.count() == 4
     assert lines.select("__leaf").distinct().count() == 1
     own = {x: model.verdict(x) for x in set(rows)}
     assert [r.verdict for r in residue.judge_lines(lines, model).orderBy("__id").collect()] == [own[x] for x in rows]
