@@ -12,7 +12,8 @@ by position on the page, shape, and what recurs at page edges, wherever it then
 Counts of words, neighbours and edge lines cover all pages.  What is attested is a matter of share, at every size: a
 word of WORD_SHARE of all words (and three of them), a pair of PAIR_SHARE (and two), a form of EDGE_SHARE of all edge lines (and
 three).  There can be no more than 1 / share of each, which bounds what is broadcast.
-The models alone are fitted on samples: words of at most SAMPLE_PAGES pages, SAMPLE_WORDS in all, and SAMPLE_LINES lines.
+The models alone are fitted on samples: words of at most SAMPLE_PAGES pages, SAMPLE_WORDS in all, and lines of at most
+SAMPLE_LINE_PAGES pages, SAMPLE_LINES in all.
 
 Defined cases: a page that is known not to be scanned stays as it is; null text gives
 null, no mark; an empty page is clean; without unscanned pages nothing is attested and
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from lamina.llm.syllables import LETTERS
 from lamina.session import cut_lineage
 
-SAMPLE_PAGES, SAMPLE_WORDS, SAMPLE_LINES = 600, 8000, 20_000
+SAMPLE_PAGES, SAMPLE_WORDS, SAMPLE_LINE_PAGES, SAMPLE_LINES = 600, 6000, 3000, 20_000
 WORD_SHARE, PAIR_SHARE, EDGE_SHARE = 1e-6, 5e-7, 1e-5
 EDGE_TOP, EDGE_BOTTOM = 2, 3
 EDIT, NEIGHBOUR, CONVINCED = 0.5, 4.0, 3.0
@@ -125,6 +126,7 @@ class Model:
     labels: dict[str, list[str]] = field(default_factory=dict)
     known: frozenset[str] = frozenset()
     ordered: list[str] = field(default_factory=list)
+    breaks: dict[tuple[str, ...], bool] = field(default_factory=dict)  # what the editor says of features seen before
 
     def begins(self, text: str) -> bool:
         """Whether some attested word begins with the text."""
@@ -241,10 +243,6 @@ def readings(word: str, model: Model) -> list[tuple[float, str]]:
     return sorted((c, t) for t, c in best.items())
 
 
-def _low(word: str) -> str:
-    return "#" if word.isdigit() else word.lower()
-
-
 _MEMORY: dict = {}
 
 
@@ -258,6 +256,7 @@ def _readings(word: str, model: Model) -> list[tuple[float, str]]:
     return _MEMORY[word]
 
 
+_WORDS = re.compile(f"({_WORD.pattern})")
 _LINKS = frozenset(a + n + b for a in ("", " ") for n in ("", "\n") for b in ("", " "))
 
 
@@ -269,19 +268,16 @@ def fix_words(text: str, model: Model) -> tuple[str, int]:
     them than attest the word, and that costs no more than CONVINCED."""
     if not model.words:
         return text, 0
-    found = list(_WORD.finditer(text))
-    if not found:
-        return text, 0
-    spans = [m.span() for m in found]
-    raw = [m.group() for m in found]
-    lows = list(map(_low, raw))
+    parts = _WORDS.split(text)  # gaps at even places, words between them
+    raw, gaps = parts[1::2], parts[2:-1:2]
+    lows = ["#" if w.isdigit() else w for w in map(str.lower, raw)]
     known = list(map(model.known.__contains__, lows))
     paired = list(map(model.pairs.__contains__, map(" ".join, zip(lows, lows[1:], strict=False))))
-    linked = [text[a[1] : b[0]] in _LINKS for a, b in zip(spans, spans[1:], strict=False)]
+    linked = list(map(_LINKS.__contains__, gaps))
     # a gap between two known words that are linked but not attested together puts both in doubt
     odd = [link and not pair and a and b for link, pair, a, b in zip(linked, paired, known, known[1:], strict=False)]
     doubtful = [i for i, (k, a, b) in enumerate(zip(known, [False, *odd], [*odd, False], strict=True)) if not k or a or b]
-    out, at, n = [], 0, 0
+    n = 0
     for i in doubtful:
         w, low = raw[i], lows[i]
         if low == "#":
@@ -303,11 +299,8 @@ def fix_words(text: str, model: Model) -> tuple[str, int]:
                 best, score = t, NEIGHBOUR * fit - cost
         if best is None:
             continue
-        a, b = spans[i]
-        out += (text[at:a], best)
-        at, n = b, n + 1
-        lows[i] = best.lower()
-    return "".join([*out, text[at:]]) if n else text, n
+        parts[2 * i + 1], lows[i], n = best, best.lower(), n + 1
+    return "".join(parts) if n else text, n
 
 
 _BREAK = re.compile(rf"([^\W\d_]+)([{_HYPHEN}]?)[ \t]*\n[ \t]*([^\W\d_]+)")
@@ -321,9 +314,13 @@ def fix_breaks(text: str, model: Model) -> tuple[str, int]:
         nonlocal n
         a, hyphen, b = m.groups()
         joined = (a + b).lower()
-        f = break_features(a, hyphen, b, model)
-        s = model.editor.scores(f, ("J", "K"))
-        if s["J"] > s["K"] and (joined in model.words or hyphen):
+        if not hyphen and joined not in model.words:
+            return m.group()
+        f = tuple(break_features(a, hyphen, b, model))
+        if f not in model.breaks:
+            s = model.editor.scores(f, ("J", "K"))
+            model.breaks[f] = s["J"] > s["K"]
+        if model.breaks[f]:
             n += 1
             return a + b
         return m.group()
@@ -506,11 +503,8 @@ def fit(pages: DataFrame) -> Model:
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     lexicon = [r["a"] for r in counted.filter("a <> '#'").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3.0, WORD_SHARE * total)).orderBy("a").collect()]
     pairs = [f"{r['a']} {r['b']}" for r in counted.filter(F.col("b").isNotNull() & (F.col("n") >= max(2.0, PAIR_SHARE * total))).collect()]
-    lines = _page_lines(has)
     edge = (F.col("top") < EDGE_TOP) | (F.col("bottom") < EDGE_BOTTOM)
-    short = (F.length(F.trim("line")) < 0.75 * F.col("width")) & ~F.col("line").rlike("[.;:,!?]\\s*$")
-    numbered = F.array_contains(F.regexp_extract_all("line", F.lit("\\d+"), F.lit(0)), F.col("page").cast("string")) & (F.size(F.split(F.trim("line"), "\\s+")) <= 3)
-    masks = lines.filter(short | ~F.col("scanned") | (F.length("line") < 60)).select("source", "scanned", edge.alias("edge"), short.alias("short"), F.coalesce(numbered, F.lit(False)).alias("numbered"), F.explode(_forms_batch("line")).alias("form"))
+    masks = has.select("source", _scanned("ocr_used").alias("scanned"), F.explode(_forms_batch("text", "page", _scanned("ocr_used"))).alias("f")).select("source", "scanned", "f.*")
     recur = masks.groupBy("form").agg(
         F.countDistinct(F.when(F.col("scanned") & F.col("edge") & F.col("short"), F.col("source"))).alias("sources"),
         F.count_if(F.col("scanned") & ~F.col("edge") & F.col("short") & ~F.col("numbered")).alias("inside"),
@@ -522,7 +516,8 @@ def fit(pages: DataFrame) -> Model:
     edges = [r["form"] for r in recur.filter(F.col("fair") & (F.col("n_edge") >= max(3.0, EDGE_SHARE * at_edges))).collect()]
     tokens = clean.select(F.xxhash64("source", "page").alias("h"), F.lower("text").alias("t")).orderBy("h").limit(SAMPLE_PAGES).select(F.posexplode(words("t")).alias("i", "w"), "h")
     sample = [r["w"] for r in tokens.filter("w <> '#'").orderBy("h", "i").limit(SAMPLE_WORDS).collect()]
-    shown = lines.filter(edge | (F.pmod("h", F.lit(7)) == 0)).orderBy("h", "top").limit(SAMPLE_LINES)
+    some = _page_lines(has.orderBy(F.xxhash64("source", "page")).limit(SAMPLE_LINE_PAGES))
+    shown = some.filter(edge | (F.pmod("h", F.lit(7)) == 0)).orderBy("h", "top").limit(SAMPLE_LINES)
     rows = [(r["line"], r["top"], r["bottom"], r["page"], r["scanned"], r["width"]) for r in shown.collect()]
     return build(lexicon, pairs, edges, sample, rows)
 
@@ -546,9 +541,30 @@ def _page_lines(pages: DataFrame) -> DataFrame:
     return rows.withColumn("bottom", F.col("n") - 1 - F.col("top")).drop("n")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _forms_batch(lines: pd.Series) -> pd.Series:
-    return lines.map(lambda x: edge_forms(mask_line(x)))
+FORM = T.StructType().add("form", T.StringType()).add("edge", T.BooleanType()).add("short", T.BooleanType()).add("numbered", T.BooleanType())
+
+
+def page_forms(text: str, page: int | None, scanned: bool) -> list[tuple[str, bool, bool, bool]]:
+    """The forms of a page's lines, and of each whether its line stands at an edge, is short and open, and is the page's number.
+
+    Long lines of scanned pages are no furniture and left out; so are the beginnings of lines of unscanned pages."""
+    full = [x for x in text.splitlines() if x.strip()]
+    width = max(map(len, full), default=0)
+    out = []
+    for top, line in enumerate(full):
+        short = len(line.strip()) < 0.75 * width and not closed(line)
+        if scanned and not short and len(line) >= 60:
+            continue
+        edge = top < EDGE_TOP or len(full) - 1 - top < EDGE_BOTTOM
+        numbered = page is not None and len(line.split()) <= 3 and str(page) in re.findall(r"\d+", line)
+        out += [(f, edge, short, numbered) for f in edge_forms(mask_line(line)) if scanned or f[0] != "^"]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(FORM))
+def _forms_batch(texts: pd.Series, pages: pd.Series, scanned: pd.Series) -> pd.Series:
+    rows = zip(texts, pages, scanned, strict=True)
+    return pd.Series([[dict(zip(FORM.names, x, strict=True)) for x in page_forms(t, None if pd.isna(p) else int(p), bool(s))] for t, p, s in rows], dtype=object)
 
 
 RESULT = T.StructType().add("text", T.StringType()).add("joins", T.IntegerType()).add("words", T.IntegerType()).add("furniture", T.IntegerType())
