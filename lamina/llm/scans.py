@@ -43,6 +43,7 @@ SAMPLE_PAGES, SAMPLE_WORDS, SAMPLE_LINE_PAGES, SAMPLE_LINES = 600, 6000, 3000, 2
 WORD_SHARE, PAIR_SHARE, EDGE_SHARE = 1e-6, 5e-7, 1e-5
 EDGE_TOP, EDGE_BOTTOM = 2, 3
 EDIT, NEIGHBOUR, CONVINCED = 0.5, 4.0, 3.0
+WIDE = 8  # words of a full line that is content whatever stands in it
 
 # Characters and what a recogniser takes them for.
 CHANNEL = "n>ri h>b t>f g>9 i>í c>e u>ii đ>d o>0 l>1 m>rn rn>m B>8 I>l I>| l>I O>0 0>O 1>l 5>S 8>B d>cl e>c b>h f>t a>o v>y s>5 q>g ri>n cl>d Đ>D D>Đ T>F C>G E>F w>vv".split()
@@ -303,33 +304,34 @@ def fix_words(text: str, model: Model) -> tuple[str, int]:
     return "".join(parts) if n else text, n
 
 
-_BREAK = re.compile(rf"([^\W\d_]+)([{_HYPHEN}]?)[ \t]*\n[ \t]*([^\W\d_]+)")
+_TAIL = re.compile(rf"([^\W\d_]+)([{_HYPHEN}]?)$")
+_HEAD = re.compile(r"[^\W\d_]+")
 
 
 def fix_breaks(text: str, model: Model) -> tuple[str, int]:
-    """Line ends at which a broken word is joined, decided by the editor's line-join operation."""
-    n = 0
+    """Line ends at which a broken word is joined, decided by the editor's line-join operation; a joined line may be joined again."""
+    lines = text.split("\n")
+    out, held, n = [], lines[0], 0
+    for line in lines[1:]:
+        open_end, rest = held.rstrip(" \t"), line.lstrip(" \t")
+        tail = _TAIL.search(open_end.split()[-1]) if open_end and (open_end[-1].isalpha() or open_end[-1] in _HYPHEN) else None
+        head = _HEAD.match(rest) if tail else None
+        if head and _joins(tail.group(1), tail.group(2), head.group(), model):
+            held, n = open_end[: len(open_end) - len(tail.group(2))] + rest, n + 1
+        else:
+            out.append(held)
+            held = line
+    return "\n".join([*out, held]), n
 
-    def join(m: re.Match) -> str:
-        nonlocal n
-        a, hyphen, b = m.groups()
-        joined = (a + b).lower()
-        if not hyphen and joined not in model.words:
-            return m.group()
-        f = tuple(break_features(a, hyphen, b, model))
-        if f not in model.breaks:
-            s = model.editor.scores(f, ("J", "K"))
-            model.breaks[f] = s["J"] > s["K"]
-        if model.breaks[f]:
-            n += 1
-            return a + b
-        return m.group()
-
-    previous = None
-    while previous != text:  # each join takes a line end away
-        previous = text
-        text = _BREAK.sub(join, text)
-    return text, n
+
+def _joins(a: str, hyphen: str, b: str, model: Model) -> bool:
+    if not hyphen and (a + b).lower() not in model.words:
+        return False
+    f = tuple(break_features(a, hyphen, b, model))
+    if f not in model.breaks:
+        s = model.editor.scores(f, ("J", "K"))
+        model.breaks[f] = s["J"] > s["K"]
+    return model.breaks[f]
 
 
 def break_features(a: str, hyphen: str, b: str, model: Model) -> list[str]:
@@ -410,7 +412,9 @@ def evident(line: str, page: int | None, width: int, model: Model) -> bool:
 
 
 def is_furniture(line: str, top: int, bottom: int, page: int | None, width: int, model: Model) -> bool:
-    """Lines at an edge are all scored, those inside the page where there is evidence."""
+    """Lines at an edge are scored unless they are as wide as the page, those inside the page where there is evidence."""
+    if len(line) >= 0.75 * width and len(line.split()) > WIDE:
+        return False
     if top >= EDGE_TOP and bottom >= EDGE_BOTTOM and not evident(line, page, width, model):
         return False
     s = model.furniture.scores(line_features(line, top, bottom, page, width, model), ("F", "K"))
