@@ -32,7 +32,7 @@ _STORED: dict[tuple, lexical.Index] = {}
 def stored_index(spark: SparkSession, d: str, name: str, corpus: DataFrame) -> lexical.Index:
     """The index of a table's texts (id, text), written once per session and state of the table's files."""
     files = spark.read.parquet(f"{d}/{name}.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    state = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*files.columns)).alias("h")).first()
+    state = files.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*files.columns)).alias("h")).first()
     key = (spark.sparkContext.applicationId, d, name, state["n"], state["h"])
     if key not in _STORED:
         path = f"{shared_folder(spark)}/lamina-index-{hashlib.md5(repr(key).encode()).hexdigest()}"

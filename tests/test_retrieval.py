@@ -13,7 +13,7 @@ def test_bm25_against_plain_okapi_and_ties(spark, tmp_path):
     asked = spark.createDataFrame([(1, "Tài sản, tài sản suất"), (2, "chưa gặp"), (3, ",.")], "query_id long, question string")
     lexical.write_index(corpus, "doc_id", "text", str(tmp_path / "i"))
     index = lexical.read_index(spark, str(tmp_path / "i"))
-    got = {r.id: r.score for r in lexical.bm25_scores(index, asked).collect()}
+    got = {r.id: r.score for r in lexical.bm25_scores(index, lexical.asked_terms(asked)).collect()}
     words = {k: v.split() if v != "..." else [] for k, v in docs.items() if v and v.strip()}
     n, avg = len(words), sum(map(len, words.values())) / len(words)
     df = {t: sum(t in w for w in words.values()) for w in words.values() for t in w}
