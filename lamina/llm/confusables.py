@@ -20,11 +20,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,39 +260,68 @@ def disguised(text: str, rewriter: Rewriter) -> bool:
     return rewriter.rewrite(text) != text
 
 
-def gate(column: Column) -> Column:
-    """Texts that hold anything but ASCII, composed Vietnamese letters and common typographic signs."""
-    ordinary = "".join(map(chr, (9, 10, 13, *range(0x20, 0x7F)))) + "".join(LETTERS) + "–—‘’“”…«»•§©°²³½×"
-    return column.rlike(f"[^{char_class(ordinary)}]")
+#: Texts that hold anything but ASCII, composed Vietnamese letters and common typographic signs.  The class is a bit table in
+#: Python's engine, which is several times faster than the JVM's chain of ranges, the way to Python included.
+_ODD = re.compile("[^" + re.escape("".join(map(chr, (9, 10, 13, *range(0x20, 0x7F)))) + "".join(sorted(LETTERS)) + "–—‘’“”…«»•§©°²³½×") + "]")
+
+
+def gated(df: DataFrame, column: str) -> DataFrame:
+    """The rows whose text holds a character out of the ordinary."""
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            yield frame[[bool(t) and _ODD.search(t) is not None for t in frame[column]]]
+
+    return df.mapInPandas(keep, df.schema)
 
 
 _ORDINARY = "A-Za-z" + char_class("".join(LETTERS))
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def word_counts(sources: list[tuple[DataFrame, str]]) -> DataFrame:
-    """(w, n) over all texts of the columns: words of ordinary letters, and words that hold any letter that is none.
+    """(w, n) over all texts of the columns.  Digits and signs part words.
 
     Counts are made per task before they are shuffled, so the shuffle carries different words, not tokens."""
-    parts = [df.select(F.explode(F.split(F.col(column), "[\\s\\x{a0}.,;:!?()\\[\\]/\"'“”‘’–—-]+")).alias("w")) for df, column in sources]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for frame in batches:
+            for text in frame["t"]:
+                if text:
+                    total.update(_LETTERS.findall(text))
+            if len(total) > 200_000:
+                yield pd.DataFrame({"w": list(total), "n": list(total.values())})
+                total = Counter()
+        if total:
+            yield pd.DataFrame({"w": list(total), "n": list(total.values())})
+
+    parts = [df.select(F.col(column).alias("t")).mapInPandas(count, "w string, n long") for df, column in sources]
     words = parts[0]
     for part in parts[1:]:
         words = words.unionByName(part)
-    fair = F.col("w").rlike(f"^[{_ORDINARY}]{{3,}}$") | F.col("w").rlike(f"[^\\x00-\\x7f{_ORDINARY}]")
-    return words.filter(fair).groupBy("w").agg(F.count("*").alias("n"))
+    return words.groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def shown_edges(words: DataFrame) -> list[tuple[str, str]]:
+def shown_edges(odd_words: DataFrame, sources: list[tuple[DataFrame, str]]) -> list[tuple[str, str]]:
     """Edges between letters that the words of a corpus show: (letter that is none of ordinary writing, ordinary letter).
 
     Words are brought to known forms first; one that then holds a single strange letter, and two others or more, is a pattern
-    with a hole, and the ordinary words that fill the hole vote for their letters.  For each strange letter the two
-    letters with most votes reach the driver, so no more rows than twice the letters of Unicode."""
-    known = {m: r for m, r in representatives({}).items() if len(m) == 1 and len(r) == 1}
+    with a hole, and the ordinary words that fill the hole vote for their letters.  The words of all texts are counted
+    only where there is a pattern.  A letter that has a class already (a ligature) is none.  For each strange letter the two letters with most votes reach the driver, so no more
+    rows than twice the letters of Unicode."""
+    rules = representatives({})
+    known = {m: r for m, r in rules.items() if len(m) == 1 and len(r) == 1}
     plain = F.translate("w", "".join(known), "".join(known.values()))
     strange = f"[^\\x{{0}}-\\x{{24f}}\\x{{1e00}}-\\x{{1eff}}\\P{{L}}\\p{{IsHan}}\\p{{IsHiragana}}\\p{{IsKatakana}}\\p{{IsHangul}}]"
-    odd = words.filter(F.col("w").rlike(strange)).select(plain.alias("w")).filter(F.col("w").rlike(f"^[{_ORDINARY}]*{strange}[{_ORDINARY}]*$") & (F.length("w") >= 3)).distinct()
+    odd = odd_words.filter(F.col("w").rlike(strange)).select(plain.alias("w")).filter(F.col("w").rlike(f"^[{_ORDINARY}]*{strange}[{_ORDINARY}]*$") & (F.length("w") >= 3)).distinct()
     odd = odd.select(F.regexp_replace("w", strange, _HOLE).alias("pattern"), F.regexp_extract("w", f"({strange})", 1).alias("odd"))
-    whole = words.filter(F.col("w").rlike(f"^[{_ORDINARY}]{{3,}}$"))
+    odd = cut_lineage(odd)
+    if odd.isEmpty():
+        return []
+    whole = word_counts(sources).filter(F.col("w").rlike(f"^[{_ORDINARY}]{{3,}}$"))
     at = F.explode(F.sequence(F.lit(1), F.length("w")))
     holes = whole.select("w", "n", at.alias("i")).select(F.concat(F.expr("substring(w, 1, i - 1)"), F.lit(_HOLE), F.expr("substring(w, i + 1)")).alias("pattern"), F.expr("substring(w, i, 1)").alias("letter"), "n")
     votes = odd.join(holes, "pattern").groupBy("odd", "letter").agg(F.count_distinct("pattern").alias("words"), F.sum("n").alias("n"))
@@ -298,18 +329,20 @@ def shown_edges(words: DataFrame) -> list[tuple[str, str]]:
     top = votes.withColumn("r", F.row_number().over(best)).filter("r <= 2").collect()
     first = {r["odd"]: (r["letter"], r["words"]) for r in top if r["r"] == 1}
     second = {r["odd"]: r["words"] for r in top if r["r"] == 2}
-    return sorted((c, letter) for c, (letter, n) in first.items() if n >= LEAST_WORDS and n >= CLEARLY * second.get(c, 0))
+    return sorted((c, letter) for c, (letter, n) in first.items() if c not in rules and n >= LEAST_WORDS and n >= CLEARLY * second.get(c, 0))
 
 
-def learn_rules(sources: list[tuple[DataFrame, str]]) -> dict[str, str]:
+def learn_rules(sources: list[tuple[DataFrame, str]], odd: list[tuple[DataFrame, str]] | None = None) -> dict[str, str]:
     """Representatives by frequency over all rows of all given columns, for classes with the edges these show.
 
-    Besides the edges, only counts of the code points of look-alike classes reach the driver; their number is fixed
-    by the Unicode tables (a few thousand), whatever the corpus."""
-    words = cut_lineage(word_counts(sources))
-    shown = tuple(shown_edges(words))
+    `odd` are the texts of the sources that pass the gate, where these are known already: no other text holds a letter
+    that is counted.  Besides the edges, only counts of the code points of look-alike classes reach the driver; their
+    number is fixed by the Unicode tables (a few thousand), whatever the corpus."""
+    odd = odd or [(gated(df.select(column), column), column) for df, column in sources]
+    words = cut_lineage(word_counts(odd).filter(F.col("w").rlike(f"[^\\x00-\\x7f{_ORDINARY}]")))
+    shown = tuple(shown_edges(words, sources))
     members = sorted({c for group in look_alikes(shown) for m in group for c in m if not c.isascii()})
-    letters = words.filter(F.col("w").rlike(f"[^\\x00-\\x7f{_ORDINARY}]")).select(F.explode(F.split("w", "")).alias("ch"), "n")
+    letters = words.select(F.explode(F.split("w", "")).alias("ch"), "n")
     known = letters.groupBy("ch").agg(F.sum("n").alias("n")).filter(F.col("ch").isin(members))
     return representatives({r["ch"]: r["n"] for r in known.collect()}, shown)
 
@@ -321,7 +354,7 @@ def unify(df: DataFrame, column: str, rules: dict[str, str], garbled_too: bool =
     """Adds <column>_form, the consistent form, and <column>_disguised, whether it differs from the stored text.
 
     With garbled_too, a text that was decoded with the wrong encoding is first restored and is not
-    called disguised: what it shows are no look-alikes.  Only texts past the gate travel to Python."""
+    called disguised: what it shows are no look-alikes."""
     shared = df.sparkSession.sparkContext.broadcast(rules)
 
     @F.pandas_udf(RESULT)
@@ -329,8 +362,8 @@ def unify(df: DataFrame, column: str, rules: dict[str, str], garbled_too: bool =
         rewriter = _rewriter(shared)
         rows = []
         for text in texts:
-            if not text:
-                rows.append((text, False))
+            if not text or not _ODD.search(text):
+                rows.append((None, False))
                 continue
             garbled, source, _ = restore(text) if garbled_too else (False, text, "")
             form = rewriter.rewrite(source)
@@ -338,7 +371,7 @@ def unify(df: DataFrame, column: str, rules: dict[str, str], garbled_too: bool =
         return pd.DataFrame(rows, columns=["form", "disguised"])
 
     text = F.col(column)
-    out = df.withColumn("__form", rewrite(F.when(gate(text), text)))
+    out = df.withColumn("__form", rewrite(text))
     return (
         out.withColumn(f"{column}_form", F.coalesce("__form.form", text))
         .withColumn(f"{column}_disguised", F.coalesce("__form.disguised", F.lit(False)))

@@ -66,11 +66,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _forms(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that pass the gate, which are looked for once and stored, with their consistent forms."""
     parts = [("chunks", "chunk_id", "text"), ("documents", "doc_id", "text"), ("entities", "entity_id", "canonical_name")]
-    rules = confusables.learn_rules([(spread(table(spark, d, n).select(c)), c) for n, _, c in parts])
-    texts = _keyed(spark, d, *parts[0]).unionByName(_keyed(spark, d, *parts[1]))
-    names = _keyed(spark, d, *parts[2])
-    return confusables.unify(texts, "text", rules).unionByName(confusables.unify(names, "text", rules, garbled_too=False))
+    sources = [_keyed(spark, d, *p) for p in parts]
+    gated = cut_lineage(confusables.gated(sources[0].unionByName(sources[1]).unionByName(sources[2]), "text"))
+    rules = confusables.learn_rules([(df, "text") for df in sources], [(gated, "text")])
+    names = F.col("table_name") == "entities"
+    return confusables.unify(gated.filter(~names), "text", rules).unionByName(confusables.unify(gated.filter(names), "text", rules, garbled_too=False))
 
 
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:

@@ -52,6 +52,7 @@ def test_the_corpus_shows_edges(spark):
     assert rules_of(spark, "khưản đưàn vưi nhưm", as_o)[odd] == "ư"
     assert odd not in rules_of(spark, "khoản đoàn voi khưản đưàn vưi", as_o)  # as many for the one as for the other
     assert odd not in rules_of(spark, "khoản đoàn", as_o)  # too few
+    assert rules_of(spark, "file firms fish ile irms ish", "\ufb01le \ufb01rms \ufb01sh")["\ufb01"] == "fi"
     r = c.Rewriter(rules_of(spark, base + " đoàn voi nhom", as_o))
     assert r.rewrite(f"H{odd}{odd}, kh{odd}ản") == "Hoo, khoản"
 
