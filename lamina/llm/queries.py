@@ -116,10 +116,11 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     """Per profile: documents packed, whether no container is overfull, every document is there whole and once, and none is divided
     but those above the capacity."""
-    packed = p7_containers(spark, d)
+    counted = _sized(spark, d)
+    packed = cut_lineage(packing.pack_items(counted.select("doc_id", "n_tokens"), table(spark, d, "pack_profiles")))
     loads = packed.groupBy("profile", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("load"))
     loads = loads.groupBy("profile", "capacity_tokens").agg((F.max("load") <= F.first("capacity_tokens")).alias("within_capacity"))
-    sizes = _sized(spark, d).select("doc_id", F.col("n_tokens").alias("size"))
+    sizes = counted.select("doc_id", F.col("n_tokens").alias("size"))
     whole = packed.groupBy("profile", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts")).join(sizes, "doc_id", "full_outer")
     right = (F.col("n") == F.col("size")) & ((F.col("parts") == 1) | (F.col("size") > F.col("capacity_tokens")))
     kept = whole.groupBy("profile", "capacity_tokens").agg(F.count("*").alias("documents"), F.min(F.coalesce(right, F.lit(False))).alias("whole"))
