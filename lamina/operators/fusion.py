@@ -152,10 +152,11 @@ def parent_trace(children: DataFrame, scored: DataFrame, kept: DataFrame, candid
     """Per question: children, parents, parents dropped by the candidate limit and by the budget, characters of the
     children and of the kept parents, and how much the one expands the other (0 without children).
 
-    `children` has query_id and text, `scored` one row per parent, `kept` query_id and text."""
-    a = children.groupBy("query_id").agg(F.count("*").alias("n_children"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("child_chars"))
+    `children` has query_id and text or n_chars, `scored` one row per parent, `kept` query_id and text or n_chars."""
+    chars = lambda df: F.coalesce(F.sum("n_chars" if "n_chars" in df.columns else F.length("text")), F.lit(0))
+    a = children.groupBy("query_id").agg(F.count("*").alias("n_children"), chars(children).alias("child_chars"))
     b = scored.groupBy("query_id").agg(F.count("*").alias("n_parents"))
-    c = kept.groupBy("query_id").agg(F.count("*").alias("n_kept"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("parent_chars"))
+    c = kept.groupBy("query_id").agg(F.count("*").alias("n_kept"), chars(kept).alias("parent_chars"))
     rows = a.join(b, "query_id", "left").join(c, "query_id", "left").fillna(0)
     factor = F.round(F.coalesce(F.try_divide(F.col("parent_chars"), F.col("child_chars")), F.lit(0.0)), 6)
     tried = F.least(F.col("n_parents"), F.lit(candidates))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.functions.text import leading_heading, parent_key, trailing_number
+from lamina.session import among, cut_lineage
 
 BLOCK = 2048
 METHODS = ("metadata", "heading_inferred", "carried_forward", "document_fallback")  # fixed values
@@ -39,18 +40,22 @@ def carried(rows: DataFrame, group: str, block: Column, order: list, values: lis
     return met.drop("__block", "__group", "__b", *[f"__before_{v}" for v in values])
 
 
-def resolve_hierarchy(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
+def resolve_hierarchy(chunks: DataFrame, block: int = BLOCK, texts: bool = True) -> DataFrame:
     """Chapter and article of every chunk: chunk_id, source, number, chapter, article, clause, point, method, ambiguous,
     warnings, text, page_start, page_end.
 
     `chunks` has chunk_id, source, text, page_start, page_end and structure.  Stored headings win over a leading heading of the
     text, that over what the chunks before it in the same source resolved to; a chunk with none of them falls back to
     the document.  Under a stored heading nothing is carried; a leading chapter names no article, a leading article
-    keeps the carried chapter.  A leading heading that is not exactly the stored one is ambiguous.  An empty stored heading is none."""
+    keeps the carried chapter.  A leading heading that is not exactly the stored one is ambiguous.  An empty stored heading is none.
+
+    Without `texts`, n_chars and digest stand for the text, which then isn't shuffled, and a chunk that is stored twice counts once."""
+    held = {"text": F.col("text")} if texts else {"n_chars": F.length("text"), "digest": F.xxhash64("text")}
     rows = chunks.select(
-        "chunk_id", "source", "text", "page_start", "page_end", trailing_number("chunk_id").alias("number"), leading_heading("text").alias("h"),
+        "chunk_id", "source", *[c.alias(name) for name, c in held.items()], "page_start", "page_end", trailing_number("chunk_id").alias("number"), leading_heading("text").alias("h"),
         *[_given(F.col(f"structure.{x}")).alias(f"meta_{x}") for x in ("chapter", "article", "clause", "point")],
     )
+    rows = rows if texts else rows.dropDuplicates(["chunk_id"])
     is_article = F.lower("h").startswith("điều")
     rows = rows.withColumn("head_article", F.when(is_article, F.col("h"))).withColumn("head_chapter", F.when(~is_article, F.col("h")))
     stored = F.col("meta_chapter").isNotNull() | F.col("meta_article").isNotNull()
@@ -72,7 +77,7 @@ def resolve_hierarchy(chunks: DataFrame, block: int = BLOCK) -> DataFrame:
     warnings = F.array_compact(F.array(*warn))
     return rows.select(
         "chunk_id", "source", "number", chapter.alias("chapter"), article.alias("article"), F.col("meta_clause").alias("clause"), F.col("meta_point").alias("point"),
-        method.alias("method"), (F.size(warnings) > 0).alias("ambiguous"), warnings.alias("warnings"), "text", "page_start", "page_end",
+        method.alias("method"), (F.size(warnings) > 0).alias("ambiguous"), warnings.alias("warnings"), *held, "page_start", "page_end",
     )
 
 
@@ -130,11 +135,12 @@ def _entries(blocks: DataFrame, most: int) -> DataFrame:
 
 
 def place_children(children: DataFrame, most: int = 6000, block: int = BLOCK) -> DataFrame:
-    """Children (with text) and the window_index, from 1, of the parent each belongs to, with article_key and parent_id.
+    """Children (with text, or n_chars and digest) and the window_index, from 1, of the parent each belongs to, with article_key and parent_id.
 
     Greedy in order: a child that does not fit what the open window holds and a line feed opens the next one."""
-    rows = children.filter(F.col("text").isNotNull()).withColumn("article_key", F.coalesce("article", F.lit(FALLBACK)))
-    entry = F.struct("number", "chunk_id", F.length("text").alias("n"), "page_start", "page_end", "ambiguous", "text")
+    held, n = ("text", F.length("text")) if "text" in children.columns else ("digest", F.col("n_chars"))
+    rows = children.filter(n.isNotNull()).withColumn("article_key", F.coalesce("article", F.lit(FALLBACK)))
+    entry = F.struct("number", "chunk_id", n.alias("n"), "page_start", "page_end", "ambiguous", held)
     blocks = rows.withColumn("block", F.floor(F.col("number") / block)).groupBy("source", "article_key", "block").agg(F.array_sort(F.collect_list(entry)).alias("cs"))
     met = blocks.join(_entries(blocks, most), F.col("source").eqNullSafe(F.col("__s")) & (F.col("article_key") == F.col("__a")) & (F.col("block") == F.col("__b")), "left")
     start = F.struct(F.coalesce("opened", F.lit(0)).cast("long").alias("w"), F.coalesce("used", F.lit(-1)).cast("long").alias("used"), F.array().cast("array<long>").alias("ws"))
@@ -152,17 +158,38 @@ def place_children(children: DataFrame, most: int = 6000, block: int = BLOCK) ->
 
 def parent_windows(children: DataFrame, most: int = 6000, block: int = BLOCK) -> DataFrame:
     """Parents: parent_id, source, article_key, window_index, page_start, page_end, n_children, child_ids (array), text
-    (the children's joined by line feeds), char_count, ambiguous_count, oversize (a single child above `most`)."""
+    (the children's joined by line feeds), char_count, ambiguous_count, oversize (a single child above `most`).
+
+    Of children without texts, child_digests stands for the text, see parent_texts."""
     rows = place_children(children, most, block)
-    ordered = F.array_sort(F.collect_list(F.struct("number", "chunk_id", "text")))
+    held, name = ("text", "text") if "text" in rows.columns else ("digest", "child_digests")
+    ordered = F.array_sort(F.collect_list(F.struct("number", "chunk_id", held)))
     out = rows.groupBy("parent_id", "source", "article_key", "window_index").agg(
         F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.count("*").alias("n_children"), ordered.alias("__cs"), F.count_if("ambiguous").alias("ambiguous_count"),
+        (F.sum("n") + F.count("*") - 1).cast("int").alias("__n"),
     )
-    text = F.array_join(F.transform("__cs", lambda x: x["text"]), "\n")
-    out = out.withColumn("child_ids", F.transform("__cs", lambda x: x["chunk_id"])).withColumn("text", text).withColumn("char_count", F.length("text")).drop("__cs")
+    each = F.transform("__cs", lambda x: x[held])
+    out = out.withColumn("child_ids", F.transform("__cs", lambda x: x["chunk_id"])).withColumn(name, F.array_join(each, "\n") if held == "text" else each)
+    out = out.withColumn("char_count", F.col("__n")).drop("__cs", "__n")
     return out.withColumn("oversize", (F.col("char_count") > most) & (F.col("n_children") == 1))
 
 
+def registry(windows: DataFrame) -> DataFrame:
+    """(id, parent_id) of every child."""
+    return windows.select(F.explode("child_ids").alias("id"), "parent_id")
+
+
+def parent_texts(windows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(parent_id, text) of parents without texts (parent_id, child_ids, child_digests), from the chunks' (chunk_id, text).
+
+    A chunk that is stored twice counts once; of two texts under one id the one that was placed counts."""
+    kids = windows.select("parent_id", F.posexplode(F.arrays_zip("child_ids", "child_digests")).alias("place", "c"))
+    kids = cut_lineage(kids.select("parent_id", "place", F.col("c.child_ids").alias("chunk_id"), F.col("c.child_digests").alias("digest")))
+    texts = among(chunks.select("chunk_id", "text"), kids, "chunk_id").withColumn("digest", F.xxhash64("text"))
+    whole = kids.join(texts, ["chunk_id", "digest"]).groupBy("parent_id").agg(F.array_sort(F.collect_set(F.struct("place", "text"))).alias("ts"))
+    return whole.select("parent_id", F.array_join(F.transform("ts", lambda x: x["text"]), "\n").alias("text"))
+
+
 def hierarchy_audit(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Counts by resolution method, of ambiguous children, warnings and oversized parents, and sizes of the parents, as
     (metric, value) rows."""

@@ -43,10 +43,11 @@ def dcg_helper(ranked: DataFrame, k: int) -> DataFrame:
 def parent_metrics(accepted: DataFrame, gold_parents: DataFrame, gold_children: DataFrame, questions: DataFrame) -> DataFrame:
     """Per question over all accepted evidence, without a cut: mrr, parent_recall, child_recall, context_chars.
 
-    `accepted` has query_id, parent_id, rank (of the accepted), supporting_ids, text; the gold tables have query_id and id."""
+    `accepted` has query_id, parent_id, rank (of the accepted), supporting_ids, text or n_chars; the gold tables have query_id and id."""
+    chars = "n_chars" if "n_chars" in accepted.columns else F.length("text")
     parents = gold_parents.select("query_id", F.col("id").alias("parent_id"), F.lit(True).alias("good")).distinct()
     hit = accepted.join(parents, ["query_id", "parent_id"], "left").groupBy("query_id").agg(
-        F.count_if("good").alias("hits"), F.min(F.when(F.col("good"), F.col("rank"))).alias("first"), F.sum(F.length("text")).alias("context_chars")
+        F.count_if("good").alias("hits"), F.min(F.when(F.col("good"), F.col("rank"))).alias("first"), F.sum(chars).alias("context_chars")
     )
     seen = accepted.select("query_id", F.explode("supporting_ids").alias("id")).distinct().join(gold_children.select("query_id", "id").distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("child_hits"))
     count = lambda df, name: df.select("query_id", "id").distinct().groupBy("query_id").agg(F.count("*").alias(name))

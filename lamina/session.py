@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -15,6 +16,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.ui.enabled": "false",
 }
+#: Keys that go to every executor at once.
+KEYS = 100_000
 
 
 def local_session(cores: int | str = 8, app: str = "lamina", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -51,3 +54,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """checkpoint() into the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def among(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of `df` whose key `wanted` has, found where they lie, so that the others are not shuffled by the join to come.
+
+    More than KEYS keys are left to that join.  `wanted` is read twice."""
+    keys = wanted.select(key).distinct()
+    return df.join(F.broadcast(keys), key, "left_semi") if keys.limit(KEYS + 1).count() <= KEYS else df

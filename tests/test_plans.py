@@ -1,3 +1,4 @@
+from lamina.operators import hierarchy
 from lamina.plans import corpus, law, retrieval
 
 
@@ -34,3 +35,33 @@ def test_variants_are_whole_titles(spark, tmp_path):
     rows = [(100, "Hỏi"), (1, long + "bảo đảm"), (2, long + "theo Điều 9"), (3, "dài " * 80)]
     d = folder(spark, tmp_path, documents=(rows, "doc_id long, title string"))
     assert [(r.variant_id, r.text) for r in corpus.variant_filter(spark, d).orderBy("variant_id").collect()] == [("Q0", "Hỏi"), ("Q1", long + "bảo đảm")]
+
+
+CHUNK = "chunk_id string, strategy string, source string, page_start int, page_end int, text string, structure struct<chapter:string,section:string,article:string,clause:string,point:string>"
+
+
+def law_chunks(spark, tmp_path):
+    none = (None, None, None, None, None)
+    rows = [(f"s{s}:hierarchical:{n:04}", "hierarchical", f"s{s}.pdf", n, n + 1, f"Điều {n // 3 + 1} tài sản {s} " + "x " * (900 * (n % 3)), none) for s in range(3) for n in range(7)]
+    rows = [*rows, rows[4], ("s0:hierarchical:0009", "hierarchical", "s0.pdf", 9, 9, None, none)]
+    docs = [(100, "Điều 1 tài sản", "a"), (200, "tài sản 2 Điều 3", "b"), (3, "khác", None)]
+    return folder(spark, tmp_path, chunks=(rows, CHUNK), documents=(docs, "doc_id long, title string, so_ky_hieu string"))
+
+
+def test_no_text_of_a_chunk_or_parent_is_carried_along(spark, tmp_path, monkeypatch):
+    """Texts are not stored between steps, and parents and sizes are those of parents with texts."""
+    d, cut = law_chunks(spark, tmp_path), retrieval.cut_lineage
+
+    def small(df):
+        assert "text" not in df.columns
+        return cut(df)
+
+    monkeypatch.setattr(retrieval, "cut_lineage", small)
+    kept = {(r.query_id, r.parent_id) for r in retrieval.parent_budget(spark, d).collect()}
+    assert {q for q, _ in kept} == {100, 200}
+    whole = {r.parent_id: r for r in hierarchy.parent_windows(retrieval.children(spark, d)).collect()}
+    light = retrieval.parents(spark, d)
+    assert {r.parent_id: (r.child_ids, r.char_count, r.oversize) for r in light.collect()} == {k: (r.child_ids, r.char_count, r.oversize) for k, r in whole.items()}
+    # a chunk that is stored twice stands once in a parent's text
+    texts = {r.parent_id: r.text for r in hierarchy.parent_texts(light, retrieval.chunk_rows(spark, d)).collect()}
+    assert texts == {k: r.text for k, r in whole.items()} and {p for _, p in kept} <= set(texts)
