@@ -1,3 +1,4 @@
+from lamina import session
 from lamina.operators import hierarchy
 from lamina.plans import corpus, law, retrieval
 
@@ -65,3 +66,11 @@ def test_no_text_of_a_chunk_or_parent_is_carried_along(spark, tmp_path, monkeypa
     # a chunk that is stored twice stands once in a parent's text
     texts = {r.parent_id: r.text for r in hierarchy.parent_texts(light, retrieval.chunk_rows(spark, d)).collect()}
     assert texts == {k: r.text for k, r in whole.items()} and {p for _, p in kept} <= set(texts)
+
+
+def test_prompt_finds_texts_where_they_lie(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "id long, text string")
+    wanted = spark.createDataFrame([(1,), (1,), (3,), (9,)], "id long")
+    assert sorted(r.id for r in session.among(docs, wanted, "id").collect()) == [1, 3]
+    monkeypatch.setattr(session, "KEYS", 2)
+    assert session.among(docs, wanted, "id").count() == 5  # left to the join
