@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def per_question(ranked: DataFrame, gold: DataFrame, questions: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+def per_question(ranked: DataFrame, gold: DataFrame, questions: DataFrame, k: int, by: tuple[str, ...] = (), n_gold: DataFrame | None = None) -> DataFrame:
     """Recall, reciprocal rank, DCG and nDCG at k of every question, and of every value of the columns `by`.
 
     `ranked`: query_id, id, rank and `by`; `gold`: query_id, id; `questions`: query_id and `by`.  A question without gold
-    scores 0 and is marked out_of_scope."""
+    scores 0 and is marked out_of_scope.  Where `n_gold` (query_id, n_gold) has the number of labels, `gold` need hold none that is not ranked."""
     keys = ["query_id", *by]
     labels = gold.select("query_id", "id").distinct()
-    n_gold = labels.groupBy("query_id").agg(F.count("*").alias("n_gold"))
+    n_gold = labels.groupBy("query_id").agg(F.count("*").alias("n_gold")) if n_gold is None else n_gold
     hits = ranked.filter(F.col("rank") <= k).join(labels, ["query_id", "id"]).groupBy(*keys).agg(
         F.count("*").alias("n_hit"), F.min("rank").alias("first_hit"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg")
     )

@@ -74,3 +74,14 @@ def test_prompt_finds_texts_where_they_lie(spark, monkeypatch):
     assert sorted(r.id for r in session.among(docs, wanted, "id").collect()) == [1, 3]
     monkeypatch.setattr(session, "KEYS", 2)
     assert session.among(docs, wanted, "id").count() == 5  # left to the join
+
+
+def test_labels_are_counted_without_pairs(spark, tmp_path):
+    """All pairs of documents about one law are never made; a document under two laws counts once."""
+    rows = [(i, "A") for i in range(100, 140)] + [(200, "B"), (201, "B"), (110, "B"), (200, "A"), (300, None), (400, "C")]
+    d = folder(spark, tmp_path, documents=(rows, "doc_id long, so_ky_hieu string"))
+    pairs = {(q, i) for q, a in rows for i, b in rows if a and a == b and q % 100 == 0}
+    ranked = spark.createDataFrame([(q, i, 1) for q in (100, 200, 300, 400) for i in (110, 139, 201, 300, 400)], "query_id long, id long, rank int")
+    got = [(r.query_id, r.id) for r in retrieval.gold(spark, d, ranked).collect()]
+    assert sorted(got) == sorted(pairs & {(r.query_id, r.id) for r in ranked.collect()})
+    assert {r.query_id: r.n_gold for r in retrieval.gold_counts(spark, d).collect()} == {q: sum(a == q for a, _ in pairs) for q in (100, 200, 400)}
