@@ -11,7 +11,7 @@ from lamina.operators import chunking, dense, graph, quality, security
 from lamina.operators.references import ENTITY_TARGETS
 from lamina.plans.retrieval import _Q, children, documents_index, questions, scores_sql, vectors
 from lamina.plans.sql import SQUEEZED
-from lamina.session import cut_lineage
+from lamina.session import among, cut_lineage
 from lamina.sources import files, table
 
 ALLOWED = ("THAM_CHIEU", "SUA_DOI_BO_SUNG", "THAY_THE_BOI", *ENTITY_TARGETS)
@@ -364,7 +364,8 @@ def secure_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 def blocked_rows(spark: SparkSession, d: str) -> DataFrame:
     """How many of an administrator's twenty best rows a guest may not see."""
-    top = secure(spark, d).ranked(questions(spark, d), ["Admin"], "bm25", 20).join(_tagged(spark, d).select(F.col("doc_id").alias("id"), "roles"), "id")
+    best = secure(spark, d).ranked(questions(spark, d), ["Admin"], "bm25", 20)
+    top = best.join(among(_tagged(spark, d).select(F.col("doc_id").alias("id"), "roles"), best, "id"), "id")
     return top.groupBy("query_id").agg(F.count_if(~security.may_see("roles", ["Guest"])).alias("n_blocked"), F.count("*").alias("n"))
 
 

@@ -209,3 +209,14 @@ def test_metrics_expected_values(spark):
     assert metrics.per_question(ranked, gold, asked, 2).filter("query_id = 1").first().recall == 0.5
     v = spark.createDataFrame([("m", float(x)) for x in (1, 2, 3, 4)], "mode string, ms double")
     assert metrics.upper_median(v, ["mode"], "ms", "p50").first().p50 == 3.0
+
+
+def test_documents_are_left_out_where_they_lie(spark, monkeypatch):
+    """Whichever ids are few, terms are not shuffled; with many on both sides the rows are the same."""
+    documents = spark.range(20).selectExpr("id", "array('a') AS terms")
+    for most, keep in ((30, range(1, 40)), (3, range(2, 40)), (3, (5, 5, 7)), (1, range(4, 9))):
+        monkeypatch.setattr(lexical, "KEYS", most)
+        got = lexical._only(documents, spark.createDataFrame([(i,) for i in keep], "id long"))
+        assert sorted(r.id for r in got.collect()) == sorted(set(keep) & set(range(20)))
+        shuffled = "SortMergeJoin" in got._jdf.queryExecution().optimizedPlan().toString() or "strategy=broadcast" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert shuffled == (most == 1)
